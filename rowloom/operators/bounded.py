@@ -1,0 +1,48 @@
+"""Joins with a side that may or may not be small, and with keys that may be hot."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+FEW_ROWS = 1000
+HOT_SALTS = 64
+
+
+def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """The same rows, held on the driver and broadcast if they are at most ``rows``; else ``df``.
+
+    Looks at no more than ``rows + 1`` rows of the result.
+    """
+    found = df.limit(rows + 1).collect()
+    if len(found) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+def attach_to_rows(df: DataFrame, groups: DataFrame, keys: Sequence[str], count: str, spread: Column) -> DataFrame:
+    """Left join of rows with one value row per key, where a key may hold much of ``df``.
+
+    Keys with at least a thousandth of all rows number at most a thousand, so they can be
+    broadcast. Their rows are salted by ``spread`` and their value row is repeated per salt; all
+    other keys keep salt 0. Keys are compared null-safely.
+    """
+    keys = list(keys)
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = groups.filter(F.col(count) >= max(total / FEW_ROWS, FEW_ROWS)).select(*keys).limit(FEW_ROWS)
+    marked = _null_safe(df, broadcast_if_few(hot.withColumn("__hot", F.lit(True))), keys)
+    marked = marked.withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
+    ).drop("__hot")
+    is_hot = F.col(count) >= max(total / FEW_ROWS, FEW_ROWS)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    values = groups.withColumn("__salt", F.explode(salts))
+    return _null_safe(marked, values, [*keys, "__salt"]).drop("__salt")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys]
+    return left.join(renamed, on, "left").drop(*[f"__r_{k}" for k in keys])
