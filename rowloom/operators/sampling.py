@@ -135,9 +135,9 @@ def eval_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.filter(_in_head(key, salt, cut_after(df, key, salt, round(fraction * n), n)))
 
 
-def preview(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def preview(df: DataFrame, key: str, n: int, seed: int | str = 0) -> DataFrame:
     """``n`` rows for a look, the same on every call."""
-    order = bucket(f"{seed}:preview", key)
+    order = bucket(seed, key)
     return df.orderBy(order, F.col(key).cast("string")).limit(n)
 
 

@@ -91,10 +91,13 @@ def read_split_orient(spark: SparkSession, path: str, schema: T.StructType) -> D
     )
 
 
-def format_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per format of documents that map a key to name, description and columns."""
+def format_catalog(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One row per format of documents that map a key to name, description and columns.
+
+    A file is one document, or with ``multiline=False`` every line is.
+    """
     entry = "struct<name: string, description: string, format: map<string, string>>"
-    docs = spark.read.schema(f"dataset_formats map<string, {entry}>").option("multiLine", "true").json(path)
+    docs = spark.read.schema(f"dataset_formats map<string, {entry}>").option("multiLine", multiline).json(path)
     return docs.select(F.explode("dataset_formats").alias("key", "f")).select(
         "key", "f.name", "f.description", F.map_keys("f.format").alias("columns")
     )
