@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,22 +13,22 @@ AUTOMATED_READABILITY = (4.71, 0.5, -21.43)
 
 
 def words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+    return F.regexp_count(text, F.lit("[A-Za-z0-9]++"))
 
 
 def sentences(text: Column) -> Column:
-    return F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
+    return F.greatest(F.regexp_count(text, F.lit("[.!?]++")), F.lit(1))
 
 
 def characters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^A-Za-z0-9]", ""))
+    return F.length(text) - F.length(F.translate(text, ascii_letters + digits, ""))
 
 
 def syllables(text: Column) -> Column:
     """Vowel groups, and one for each word that has none."""
-    groups = F.regexp_count(text, F.lit("[AEIOUYaeiouy]+"))
-    silent = F.regexp_count(text, F.lit("(?<![A-Za-z0-9])[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz0-9]+(?![A-Za-z0-9])"))
-    return groups + silent
+    group = "[AEIOUYaeiouy]++"
+    silent = "(?<![A-Za-z0-9])[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz0-9]++(?![A-Za-z0-9])"
+    return F.regexp_count(text, F.lit(f"{group}|{silent}"))
 
 
 def flesch_kincaid(text: Column) -> Column:

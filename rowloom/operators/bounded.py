@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 FEW_ROWS = 1000
 HOT_SALTS = 64
+HOT_ROWS = 1_000_000
 
 
 def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
@@ -22,24 +23,36 @@ def broadcast_if_few(df: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
-def attach_to_rows(df: DataFrame, groups: DataFrame, keys: Sequence[str], count: str, spread: Column) -> DataFrame:
+def attach_to_rows(
+    df: DataFrame, groups: DataFrame, keys: Sequence[str], count: str, spread: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left join of rows with one value row per key, where a key may hold much of ``df``.
 
-    Keys with at least a thousandth of all rows number at most a thousand, so they can be
-    broadcast. Their rows are salted by ``spread`` and their value row is repeated per salt; all
-    other keys keep salt 0. Keys are compared null-safely.
+    The at most thousand largest keys with ``hot_rows`` rows or more are looked up first. Their
+    rows are salted by ``spread`` and their value row is repeated per salt. No other key holds a
+    thousandth of the rows. Keys are compared null-safely.
     """
     keys = list(keys)
-    total = groups.agg(F.sum(count)).first()[0] or 0
-    hot = groups.filter(F.col(count) >= max(total / FEW_ROWS, FEW_ROWS)).select(*keys).limit(FEW_ROWS)
-    marked = _null_safe(df, broadcast_if_few(hot.withColumn("__hot", F.lit(True))), keys)
-    marked = marked.withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(F.lit(0)).cast("int")
-    ).drop("__hot")
-    is_hot = F.col(count) >= max(total / FEW_ROWS, FEW_ROWS)
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    values = groups.withColumn("__salt", F.explode(salts))
-    return _null_safe(marked, values, [*keys, "__salt"]).drop("__salt")
+    largest = groups.filter(F.col(count) >= hot_rows).orderBy(F.col(count).desc()).select(*keys).limit(FEW_ROWS)
+    found = largest.collect()
+    if not found:
+        return _null_safe(df, groups, keys)
+    hot = F.broadcast(df.sparkSession.createDataFrame(found, largest.schema).withColumn("__hot", F.lit(True)))
+    salt = F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS)).cast("int")
+    salts = F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))
+    rows = _null_safe(df, hot, keys).withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    values = _null_safe(groups, hot, keys)
+    values = values.withColumn("__salt", F.explode(F.when(F.col("__hot"), salts).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return _null_safe(rows, values, [*keys, "__salt"]).drop("__salt")
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """For work that costs far more than moving the rows: use all cores on a small input.
+
+    An input with as many splits as there are cores, as any large one has, stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,6 +19,9 @@ Metric = Callable[[Column, Column], Column]
 VERSION = "v1"
 TOXIC_FROM = 0.5
 
+# Accuracy of the sketch that brackets a quantile.
+ACCURACY = 20_000
+
 _COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("hits", "predicted", "wanted")])
 
 
@@ -66,17 +69,22 @@ def exact_match(prediction: Column, target: Column) -> Column:
     return prediction.eqNullSafe(target).cast("double")
 
 
+def _score_of(counts: Column) -> Column:
+    return _let(counts, lambda c: f_score(c.getField("hits"), c.getField("predicted"), c.getField("wanted")))
+
+
 def rouge1(prediction: Column, target: Column) -> Column:
     """Unigram F-score with clipped counts, inside the row and without a shuffle."""
-    both = F.array(rouge_tokens(prediction), rouge_tokens(target))
-    return _let(
-        both,
-        lambda t: f_score(
-            F.size(F.array_intersect(_numbered(F.get(t, F.lit(0))), _numbered(F.get(t, F.lit(1))))),
-            F.nullif(F.size(F.get(t, F.lit(0))), F.lit(0)),
-            F.nullif(F.size(F.get(t, F.lit(1))), F.lit(0)),
-        ),
-    )
+
+    def counts(t: Column) -> Column:
+        given, wanted = F.get(t, F.lit(0)), F.get(t, F.lit(1))
+        return F.struct(
+            F.size(F.array_intersect(_numbered(given), _numbered(wanted))).alias("hits"),
+            F.nullif(F.size(given), F.lit(0)).alias("predicted"),
+            F.nullif(F.size(wanted), F.lit(0)).alias("wanted"),
+        )
+
+    return _score_of(_let(F.array(rouge_tokens(prediction), rouge_tokens(target)), counts))
 
 
 @F.pandas_udf(_COUNTS)
@@ -89,10 +97,6 @@ def _summary_counts(prediction: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([summary_hits(p, t) for p, t in zip(prediction, target)], columns=_COUNTS.names)
 
 
-def _score_of(counts: Column) -> Column:
-    return _let(counts, lambda c: f_score(c.getField("hits"), c.getField("predicted"), c.getField("wanted")))
-
-
 def rouge_l(prediction: Column, target: Column) -> Column:
     """F-score of the longest common subsequence of the whole texts."""
     return _score_of(_sequence_counts(F.lower(prediction), F.lower(target)))
@@ -140,52 +144,69 @@ def long_form(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> Data
     return wide.unpivot(list(ids), list(metrics), "metric", "value").filter(F.col("value").isNotNull())
 
 
-def exact_quantile(long: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = 20_000) -> DataFrame:
-    """The linearly interpolated quantile per group, exact at any size.
-
-    A mergeable sketch brackets the wanted rank within a few parts in ``accuracy``; counting says
-    how many values lie below the bracket; only the values inside it are ranked, after equal ones
-    have collapsed. So no task sees a whole group.
-    """
-    keys, x = list(keys), F.col(value)
+def _brackets(long: DataFrame, keys: list[str], value: str, q: float, accuracy: int) -> DataFrame:
+    """Per group size, mean, variance, and two values between which the quantile lies for certain."""
     ends = [max(0.0, q - 3.0 / accuracy), min(1.0, q + 3.0 / accuracy)]
-    bracket = long.groupBy(*keys).agg(
+    found = long.groupBy(*keys).agg(
         F.count(value).alias("__n"),
+        F.avg(value).alias("__mean"),
+        F.var_pop(value).alias("__variance"),
         F.min(value).alias("__min"),
         F.max(value).alias("__max"),
         F.percentile_approx(value, ends, accuracy).alias("__ends"),
     )
     # A small group is its own bracket.
     small = F.col("__n") <= 4 * accuracy
-    low = F.when(small, F.col("__min")).otherwise(F.get("__ends", F.lit(0)))
-    high = F.when(small, F.col("__max")).otherwise(F.get("__ends", F.lit(1)))
-    joined = long.join(broadcast_if_few(bracket.select(*keys, "__n", low.alias("__low"), high.alias("__high"))), keys)
+    low = F.when(small, F.col("__min")).otherwise(F.get("__ends", F.lit(0))).alias("__low")
+    high = F.when(small, F.col("__max")).otherwise(F.get("__ends", F.lit(1))).alias("__high")
+    return broadcast_if_few(found.select(*keys, "__n", "__mean", "__variance", low, high))
+
+
+def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    x = F.col(value)
+    joined = long.join(brackets.select(*keys, "__n", "__low", "__high"), keys)
     inside = (x >= F.col("__low")) & (x <= F.col("__high"))
+    # Values below the bracket become one row per group, those above it are not needed.
     counted = (
-        joined.groupBy(*keys, "__n", F.when(inside, x).alias("__x"), (x < F.col("__low")).alias("__below"))
+        joined.filter(x <= F.col("__high"))
+        .groupBy(*keys, "__n", F.when(inside, x).alias("__x"))
         .agg(F.count("*").alias("__c"))
-        .filter(F.col("__x").isNotNull() | F.col("__below"))
     )
-    # Values below the bracket form one row per group and come first.
     order = Window.partitionBy(*keys).orderBy(F.col("__x").asc_nulls_first())
     upto = counted.withColumn("__upto", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.lit(q) * (F.col("__n") - 1)
     floor, ceil = F.floor(rank), F.ceil(rank)
-    known = F.col("__x").isNotNull()
-    return upto.groupBy(*keys).agg(
-        F.min(F.when(known & (F.col("__upto") > floor), F.col("__x"))).alias("__lo"),
-        F.min(F.when(known & (F.col("__upto") > ceil), F.col("__x"))).alias("__hi"),
+    found = upto.groupBy(*keys).agg(
+        F.min(F.when(F.col("__upto") > floor, F.col("__x"))).alias("__lo"),
+        F.min(F.when(F.col("__upto") > ceil, F.col("__x"))).alias("__hi"),
         F.max(rank - floor).alias("__part"),
-    ).select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")).alias("quantile"))
+    )
+    return found.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")).alias("quantile"))
+
+
+def exact_quantile(long: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+    """The linearly interpolated quantile per group, exact at any size.
+
+    A mergeable sketch brackets the wanted rank within a few parts in ``accuracy``; counting says
+    how many values lie below the bracket; only the values inside it are ranked, after equal ones
+    have collapsed. So no task sees a whole large group.
+    """
+    rows = long.filter(F.col(value).isNotNull())
+    return _quantile(rows, _brackets(rows, list(keys), value, q, accuracy), list(keys), value, q)
 
 
 def metric_aggregates(df: DataFrame, run: str, metrics: Sequence[str]) -> DataFrame:
-    """Mean, population variance and 90th percentile per run and metric, in long form."""
-    long = long_form(df, [run], metrics)
-    moments = long.groupBy(run, "metric").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
-    p90 = exact_quantile(long, [run, "metric"], "value", 0.9).withColumnRenamed("quantile", "p90")
-    wide = moments.join(p90, [run, "metric"])
-    return wide.unpivot([run, "metric"], ["mean", "variance", "p90"], "aggregate", "score").select(
+    """Mean, population variance and 90th percentile per run and metric, in long form.
+
+    Reads the metric columns twice; write costly ones out first.
+    """
+    keys, long = [run, "metric"], long_form(df, [run], metrics)
+    brackets = _brackets(long, keys, "value", 0.9, ACCURACY)
+    p90 = _quantile(long, brackets, keys, "value", 0.9)
+    wide = brackets.join(p90, keys).select(
+        *keys, F.col("__mean").alias("mean"), F.col("__variance").alias("variance"), F.col("quantile").alias("p90")
+    )
+    return wide.unpivot(keys, ["mean", "variance", "p90"], "aggregate", "score").select(
         run, F.concat_ws("/", "metric", F.lit(VERSION), "aggregate").alias("metric"), "score"
     )
 

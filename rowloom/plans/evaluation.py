@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from rowloom.functions import names, textstats
 from rowloom.functions.templates import INPUT_FIELD, OUTPUT_FIELD
 from rowloom.operators import compare, metrics, predict
+from rowloom.operators.bounded import spread_out
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
+from rowloom.session import fresh_path
+from rowloom.sources import results
 
 RUNS = ("good", "weak")
 MODELS = [("base", None), ("base", "tuned"), ("other", "tuned")]
@@ -25,7 +28,7 @@ def load_echo(model, adapter):
        FROM #pairs, (VALUES ('base', NULL), ('base', 'tuned'), ('other', 'tuned')) m(model, adapter)""",
 )
 def batch_predict(spark, sf):
-    rows = predict.fanout_models(given(spark, sf, "pairs").select("row_id", "instruction"), MODELS)
+    rows = predict.fanout_models(spread_out(given(spark, sf, "pairs").select("row_id", "instruction")), MODELS)
     out = predict.batch_predict(rows, "instruction", load_echo)
     return out.select("row_id", "model", "adapter", "prediction", (F.col("latency") >= 0).alias("timed"))
 
@@ -72,7 +75,7 @@ ROUGE1 = """
 @query("rouge1", f"{ROUGE1} SELECT row_id, run, round(rouge1, 9) AS rouge1 FROM r")
 def rouge1(spark, sf):
     value = metrics.rouge1(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return given(spark, sf, "predictions").select("row_id", "run", F.round(value, 9).alias("rouge1"))
+    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge1"))
 
 
 @query(
@@ -92,14 +95,14 @@ def rouge1(spark, sf):
 )
 def rouge_l(spark, sf):
     value = metrics.rouge_l(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return given(spark, sf, "predictions").select("row_id", "run", F.round(value, 9).alias("rouge_l"))
+    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge_l"))
 
 
 # No SQL for the union of subsequences: it is checked against a plain table in the tests.
 @query("rouge_lsum")
 def rouge_lsum(spark, sf):
     value = metrics.rouge_lsum(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return given(spark, sf, "predictions").select("row_id", "run", F.round(value, 9).alias("rouge_lsum"))
+    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge_lsum"))
 
 
 AGGREGATES = """
@@ -127,7 +130,7 @@ COUNTS = """
 )
 def flesch_kincaid(spark, sf):
     grade = F.round(textstats.flesch_kincaid(F.col("text")), 9)
-    return table(spark, sf, "documents").select("doc_id", grade.alias("grade"))
+    return spread_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", grade.alias("grade"))
 
 
 @query(
@@ -136,7 +139,7 @@ def flesch_kincaid(spark, sf):
 )
 def ari(spark, sf):
     grade = F.round(textstats.automated_readability(F.col("text")), 9)
-    return table(spark, sf, "documents").select("doc_id", grade.alias("grade"))
+    return spread_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", grade.alias("grade"))
 
 
 @query(
@@ -162,12 +165,20 @@ _ALL_AGGREGATES = f"""{ROUGE1},
 
 
 def scored(spark, sf):
-    return metrics.score(given(spark, sf, "predictions"), "prediction", OUTPUT_FIELD, ["exact_match", "rouge1"])
+    rows = spread_out(given(spark, sf, "predictions"))
+    return metrics.score(rows, "prediction", OUTPUT_FIELD, ["exact_match", "rouge1"])
+
+
+def written_scores(spark, sf):
+    """Row-wise results go out once per run; all aggregates read them back."""
+    path = fresh_path(spark, "scores")
+    results.write_results(scored(spark, sf).select("run", "row_id", "exact_match", "rouge1", "latency"), path)
+    return results.read_results(spark, path)
 
 
 @query("metric_aggregates", f"{_ALL_AGGREGATES} SELECT run, metric, score FROM g")
 def metric_aggregates(spark, sf):
-    found = metrics.metric_aggregates(scored(spark, sf), "run", ["exact_match", "rouge1"])
+    found = metrics.metric_aggregates(written_scores(spark, sf), "run", ["exact_match", "rouge1"])
     return found.withColumn("score", F.round("score", 9))
 
 
@@ -188,7 +199,7 @@ _REPORT = f"""{_ALL_AGGREGATES},
 
 def report(spark, sf):
     rate = metrics.exact_match_rate(given(spark, sf, "predictions"), "run", "prediction", OUTPUT_FIELD)
-    found = metrics.metric_aggregates(scored(spark, sf), "run", ["exact_match", "rouge1"]).unionByName(rate)
+    found = metrics.metric_aggregates(written_scores(spark, sf), "run", ["exact_match", "rouge1"]).unionByName(rate)
     return metrics.metric_report(found).withColumn("score", F.round("score", 9))
 
 
@@ -205,8 +216,8 @@ def join_results(spark, sf):
     source = given(spark, sf, "pairs").select(
         "row_id", F.col("instruction").alias(INPUT_FIELD), F.col("response").alias(OUTPUT_FIELD)
     )
-    results = scored(spark, sf).select("row_id", "run", F.round("rouge1", 9).alias("rouge1"))
-    return compare.join_results(source, results)
+    found = scored(spark, sf).select("row_id", "run", F.round("rouge1", 9).alias("rouge1"))
+    return compare.join_results(source, found)
 
 
 @query(
@@ -229,8 +240,8 @@ def compare_rows(spark, sf):
     source = given(spark, sf, "pairs").select(
         "row_id", F.col("instruction").alias(INPUT_FIELD), F.col("response").alias(OUTPUT_FIELD)
     )
-    results = scored(spark, sf).select("row_id", "run", F.round("rouge1", 9).alias("rouge1"), "latency")
-    return compare.compare_rows(source, results, "run", RUNS, ["rouge1", "latency"])
+    found = scored(spark, sf).select("row_id", "run", F.round("rouge1", 9).alias("rouge1"), "latency")
+    return compare.compare_rows(source, found, "run", RUNS, ["rouge1", "latency"])
 
 
 @query(
