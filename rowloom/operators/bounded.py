@@ -46,13 +46,14 @@ def attach_to_rows(
     return _null_safe(rows, values, [*keys, "__salt"]).drop("__salt")
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """For work that costs far more than moving the rows: use all cores on a small input.
+def spread_out(scan: DataFrame) -> DataFrame:
+    """For work that costs far more than moving the rows: use all cores on a small table.
 
-    An input with as many splits as there are cores, as any large one has, stays where it is.
+    A table with as many splits as there are cores, as any large one has, stays where it is. Only
+    for plain scans: counting the splits of a plan with shuffles would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

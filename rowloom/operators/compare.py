@@ -20,11 +20,17 @@ def join_results(source: DataFrame, results: DataFrame, key: str = "row_id") ->
 
 def compare_aggregates(reports: DataFrame, run: str, runs: Sequence[str]) -> DataFrame:
     """One row per metric that every run has, one score column per run."""
-    wide = reports.groupBy("metric").pivot(run, list(runs)).agg(F.struct(F.first("score").alias("score")))
-    there = F.lit(True)
-    for name in runs:
-        there = there & F.col(f"`{name}`").isNotNull()
-    return wide.filter(there).select("metric", *[F.col(f"`{name}`").getField("score").alias(name) for name in runs])
+    scores = [F.max(F.when(F.col(run) == r, F.col("score"))).alias(r) for r in runs]
+    present = [F.bool_or(F.col(run) == r).alias(f"__in_{i}") for i, r in enumerate(runs)]
+    return _in_all(reports.groupBy("metric").agg(*scores, *present), len(runs))
+
+
+def _in_all(wide: DataFrame, n_runs: int) -> DataFrame:
+    """Rows that every run has, without the columns that say so."""
+    flags = [f"__in_{i}" for i in range(n_runs)]
+    for flag in flags:
+        wide = wide.filter(F.col(flag))
+    return wide.drop(*flags)
 
 
 def compare_rows(
@@ -41,11 +47,8 @@ def compare_rows(
         for j, m in enumerate(metrics)
     ]
     present = [F.bool_or(F.col(run) == r).alias(f"__in_{i}") for i, r in enumerate(runs)]
-    wide = results.groupBy(key).agg(*cells, *present)
-    for i in range(len(runs)):
-        wide = wide.filter(f"__in_{i}")
-    wide = wide.drop(*[f"__in_{i}" for i in range(len(runs))]).withColumnsRenamed(named)
-    return source.join(wide, key)
+    wide = _in_all(results.groupBy(key).agg(*cells, *present), len(runs))
+    return source.join(wide.withColumnsRenamed(named), key)
 
 
 def mark_user_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

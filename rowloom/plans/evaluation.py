@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from rowloom.functions import names, textstats
 from rowloom.functions.templates import INPUT_FIELD, OUTPUT_FIELD
 from rowloom.operators import compare, metrics, predict
-from rowloom.operators.bounded import spread_out
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
 from rowloom.session import fresh_path
@@ -28,7 +27,7 @@ def load_echo(model, adapter):
        FROM #pairs, (VALUES ('base', NULL), ('base', 'tuned'), ('other', 'tuned')) m(model, adapter)""",
 )
 def batch_predict(spark, sf):
-    rows = predict.fanout_models(spread_out(given(spark, sf, "pairs").select("row_id", "instruction")), MODELS)
+    rows = predict.fanout_models(given(spark, sf, "pairs", spread=True).select("row_id", "instruction"), MODELS)
     out = predict.batch_predict(rows, "instruction", load_echo)
     return out.select("row_id", "model", "adapter", "prediction", (F.col("latency") >= 0).alias("timed"))
 
@@ -75,7 +74,7 @@ ROUGE1 = """
 @query("rouge1", f"{ROUGE1} SELECT row_id, run, round(rouge1, 9) AS rouge1 FROM r")
 def rouge1(spark, sf):
     value = metrics.rouge1(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge1"))
+    return given(spark, sf, "predictions", spread=True).select("row_id", "run", F.round(value, 9).alias("rouge1"))
 
 
 @query(
@@ -95,14 +94,14 @@ def rouge1(spark, sf):
 )
 def rouge_l(spark, sf):
     value = metrics.rouge_l(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge_l"))
+    return given(spark, sf, "predictions", spread=True).select("row_id", "run", F.round(value, 9).alias("rouge_l"))
 
 
 # No SQL for the union of subsequences: it is checked against a plain table in the tests.
 @query("rouge_lsum")
 def rouge_lsum(spark, sf):
     value = metrics.rouge_lsum(F.col("prediction"), F.col(OUTPUT_FIELD))
-    return spread_out(given(spark, sf, "predictions")).select("row_id", "run", F.round(value, 9).alias("rouge_lsum"))
+    return given(spark, sf, "predictions", spread=True).select("row_id", "run", F.round(value, 9).alias("rouge_lsum"))
 
 
 AGGREGATES = """
@@ -130,7 +129,7 @@ COUNTS = """
 )
 def flesch_kincaid(spark, sf):
     grade = F.round(textstats.flesch_kincaid(F.col("text")), 9)
-    return spread_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", grade.alias("grade"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", grade.alias("grade"))
 
 
 @query(
@@ -139,7 +138,7 @@ def flesch_kincaid(spark, sf):
 )
 def ari(spark, sf):
     grade = F.round(textstats.automated_readability(F.col("text")), 9)
-    return spread_out(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", grade.alias("grade"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", grade.alias("grade"))
 
 
 @query(
@@ -165,7 +164,7 @@ _ALL_AGGREGATES = f"""{ROUGE1},
 
 
 def scored(spark, sf):
-    rows = spread_out(given(spark, sf, "predictions"))
+    rows = given(spark, sf, "predictions", spread=True)
     return metrics.score(rows, "prediction", OUTPUT_FIELD, ["exact_match", "rouge1"])
 
 

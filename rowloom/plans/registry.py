@@ -287,7 +287,7 @@ _CANON = """CASE WHEN json_valid(config) THEN concat(json_extract_string(config,
         SELECT id, min(id) OVER (PARTITION BY type, model_family, canon) AS canonical_id FROM k""",
 )
 def config_dedup(spark, sf):
-    configs = given(spark, sf, "configs")
+    configs = given(spark, sf, "configs", spread=True)
     return quality.config_dedup(configs, "config", "type", "model_family").select("id", "canonical_id")
 
 

@@ -124,7 +124,7 @@ TOKENS = f"""
         SELECT shard, block, n_pieces, content FROM b WHERE n_tokens = {LENGTH}""",
 )
 def pack_sequences(spark, sf):
-    packed = packing.pack_sequences(table(spark, sf, "documents"), "doc_id", "text", LENGTH, SHARDS)
+    packed = packing.pack_sequences(table(spark, sf, "documents", spread=True), "doc_id", "text", LENGTH, SHARDS)
     return packed.select(
         "shard",
         "block",
@@ -139,4 +139,4 @@ def pack_sequences(spark, sf):
         SELECT shard, COUNT(*) AS n_tokens, COUNT(*) // {LENGTH} AS n_blocks, COUNT(*) % {LENGTH} AS dropped FROM p GROUP BY shard""",
 )
 def dropped_tokens(spark, sf):
-    return packing.dropped_tokens(table(spark, sf, "documents"), "doc_id", "text", LENGTH, SHARDS)
+    return packing.dropped_tokens(table(spark, sf, "documents", spread=True), "doc_id", "text", LENGTH, SHARDS)
