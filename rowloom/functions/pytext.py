@@ -10,26 +10,17 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def _float_text(value: Column) -> Column:
-    size = F.abs(value)
-    plain = value.cast("string")
-    # Positional notation in the ranges where the JVM already switches to an exponent.
-    whole = F.concat(value.cast("decimal(20,0)").cast("string"), F.lit(".0"))
-    large = F.when(value == F.floor(value), whole).otherwise(
-        F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
-    )
-    small = F.regexp_replace(value.cast("decimal(38,24)").cast("string"), "0+$", "")
-    exponent = F.regexp_replace(plain, r"\.0E", "E")
-    exponent = F.regexp_replace(exponent, r"E(\d)$", "e+0$1")
-    exponent = F.regexp_replace(exponent, r"E-(\d)$", "e-0$1")
-    exponent = F.regexp_replace(exponent, "E-", "e-")
-    exponent = F.regexp_replace(exponent, "E", "e+")
+    plain, size = value.cast("string"), F.abs(value)
+    # Where the JVM already writes an exponent, Python still writes all digits.
+    digits = F.regexp_replace(value.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    # Beyond that both write one, but differently: 1.0E20 and 1e+20, 1.5E-7 and 1.5e-07.
+    power = F.regexp_replace(F.lower(plain), r"(\.0)?e(-?)(?=\d)", "e+$2")
+    power = F.regexp_replace(F.replace(power, F.lit("+-"), F.lit("-")), r"(e[+-])(\d)$", "$10$2")
+    power = F.replace(power, F.lit("infinity"), F.lit("inf"))
     return (
-        F.when(F.isnan(value), "nan")
-        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
-        .when((value == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
-        .when((size >= 1e7) & (size < 1e16), large)
-        .when((size >= 1e-4) & (size < 1e-3), small)
-        .otherwise(exponent)
+        F.when((size >= 1e-3) & (size < 1e7) | (value == 0), plain)
+        .when((size >= 1e-4) & (size < 1e16), digits)
+        .otherwise(power)
     )
 
 
