@@ -25,16 +25,15 @@ def shards_for(total_tokens: int, tokens_per_shard: int = 50_000_000) -> int:
     return max(1, -(-total_tokens // tokens_per_shard))
 
 
-def tokenised(
-    df: DataFrame, key: str, text: str, shards: int, tokenizer: Callable[[Column], Column], separator: str | None
-) -> DataFrame:
+def _with_tokens(df: DataFrame, text: str, tokenizer: Callable[[Column], Column], separator: str | None) -> DataFrame:
     end = F.array(F.lit(separator)) if separator is not None else F.array().cast("array<string>")
+    return df.withColumn("tokens", F.concat(tokenizer(F.col(text)), end)).drop(text)
+
+
+def _sharded(df: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     order = bucket("pack", key)
     return df.select(
-        F.pmod(order, F.lit(shards)).alias("shard"),
-        order.alias("h"),
-        F.col(key).alias("k"),
-        F.concat(tokenizer(F.col(text)), end).alias("tokens"),
+        F.pmod(order, F.lit(shards)).alias("shard"), order.alias("h"), F.col(key).alias("k"), F.col(text).alias("text")
     )
 
 
@@ -50,11 +49,12 @@ def pack_sequences(
     """Full blocks of ``length`` tokens, one row each: shard, block, tokens, pieces.
 
     Rows fall into shards by the hash of their key, so no shard is larger than others, and each
-    shard runs through the rows in hash order. The running offset and the collecting of a block
-    both use the partitioning by shard: one shuffle in all. The last, partial block of a shard is
-    left out, as ``dropped_tokens`` reports.
+    shard runs through the rows in hash order. The texts are shuffled by shard once, before they
+    are cut into (much larger) token arrays; the running offset and the collecting of a block
+    both use that partitioning. The last, partial block of a shard is left out, as
+    ``dropped_tokens`` reports.
     """
-    rows = tokenised(df, key, text, shards, tokenizer, separator)
+    rows = _with_tokens(_sharded(df, key, text, shards).repartition("shard"), "text", tokenizer, separator)
     upto = Window.partitionBy("shard").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("size", F.size("tokens").cast("bigint")).filter("size > 0")
     placed = placed.withColumn("start", F.sum("size").over(upto) - F.col("size"))
@@ -93,7 +93,8 @@ def dropped_tokens(
     separator: str | None = SEPARATOR,
 ) -> DataFrame:
     """Per shard: all tokens, full blocks and the tokens left over."""
-    sizes = tokenised(df, key, text, shards, tokenizer, separator).select("shard", F.size("tokens").alias("size"))
+    rows = _with_tokens(_sharded(df, key, text, shards), "text", tokenizer, separator)
+    sizes = rows.select("shard", F.size("tokens").alias("size"))
     total = F.sum("size")
     return sizes.groupBy("shard").agg(
         total.alias("n_tokens"),

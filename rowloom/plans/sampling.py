@@ -109,7 +109,7 @@ def split_sizes(spark, sf):
     return sampling.split_sizes(sample_and_split(spark, sf))
 
 
-SHARDS, LENGTH = 8, packing.SHORT_BLOCK
+SHARDS, LENGTH = 32, packing.SHORT_BLOCK
 TOKENS = f"""
     t AS (SELECT @b(pack;doc_id) AS h, doc_id, list_append(regexp_extract_all(text, '\\S+'), '</s>') AS tokens FROM @documents),
     u AS (SELECT h % {SHARDS} AS shard, h, doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t),
@@ -124,7 +124,7 @@ TOKENS = f"""
         SELECT shard, block, n_pieces, content FROM b WHERE n_tokens = {LENGTH}""",
 )
 def pack_sequences(spark, sf):
-    packed = packing.pack_sequences(table(spark, sf, "documents", spread=True), "doc_id", "text", LENGTH, SHARDS)
+    packed = packing.pack_sequences(table(spark, sf, "documents"), "doc_id", "text", LENGTH, SHARDS)
     return packed.select(
         "shard",
         "block",
