@@ -11,16 +11,17 @@ _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def _float_text(value: Column) -> Column:
     plain, size = value.cast("string"), F.abs(value)
-    # Where the JVM already writes an exponent, Python still writes all digits.
-    digits = F.regexp_replace(value.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
-    # Beyond that both write one, but differently: 1.0E20 and 1e+20, 1.5E-7 and 1.5e-07.
-    power = F.regexp_replace(F.lower(plain), r"(\.0)?e(-?)(?=\d)", "e+$2")
-    power = F.regexp_replace(F.replace(power, F.lit("+-"), F.lit("-")), r"(e[+-])(\d)$", "$10$2")
-    power = F.replace(power, F.lit("infinity"), F.lit("inf"))
+    # Sixteen digits where they give the number back, else seventeen; already in Python's notation.
+    short = F.format_string("%.15e", value)
+    digits = F.when(short.try_cast("double") == value, short).otherwise(F.format_string("%.16e", value))
+    # A JVM may print a digit more than needed, then the text is long; and it writes an exponent
+    # from 1e7 on and below 1e-3, where Python still writes all digits.
+    whole = F.regexp_replace(digits.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.replace(F.lower(F.regexp_replace(digits, r"\.?0*e", "e")), F.lit("infinity"), F.lit("inf"))
     return (
-        F.when((size >= 1e-3) & (size < 1e7) | (value == 0), plain)
-        .when((size >= 1e-4) & (size < 1e16), digits)
-        .otherwise(power)
+        F.when((size >= 1e-3) & (size < 1e7) & (F.length(plain) < 18) | (value == 0), plain)
+        .when((size >= 1e-4) & (size < 1e16), whole)
+        .when(value.isNotNull(), power)
     )
 
 

@@ -60,20 +60,19 @@ def pack_sequences(
     placed = placed.withColumn("start", F.sum("size").over(upto) - F.col("size"))
     first = F.floor(F.col("start") / length)
     last = F.floor((F.col("start") + F.col("size") - 1) / length)
-    pieces = placed.select("shard", "start", "size", "tokens", F.explode(F.sequence(first, last)).alias("block"))
-    low = F.greatest(F.col("block") * length - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * length - F.col("start"), F.col("size"))
-    pieces = pieces.select(
-        "shard",
-        "block",
-        F.struct(
-            F.col("start"), F.slice("tokens", (low + 1).cast("int"), (high - low).cast("int")).alias("tokens")
-        ).alias("piece"),
-        (high - low).alias("taken"),
-    )
+
+    def piece(block: Column) -> Column:
+        low = F.greatest(block * length - F.col("start"), F.lit(0))
+        high = F.least((block + 1) * length - F.col("start"), F.col("size"))
+        cut = F.slice("tokens", (low + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(block.alias("block"), F.struct(F.col("start"), cut.alias("tokens")).alias("piece"))
+
+    # Cut first and explode then: a row repeated per block would carry all its tokens each time.
+    cuts = placed.select("shard", F.explode(F.transform(F.sequence(first, last), piece)).alias("cut"))
+    pieces = cuts.select("shard", "cut.block", "cut.piece")
     # A block holds at most ``length`` tokens, so what is collected per group is bounded.
     blocks = pieces.groupBy("shard", "block").agg(
-        F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum("taken").alias("n_tokens")
+        F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum(F.size("piece.tokens")).alias("n_tokens")
     )
     return blocks.filter(F.col("n_tokens") == length).select(
         "shard",

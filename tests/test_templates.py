@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def test_floats_print_like_python(spark):
     assert render(spark, [(x,) for x in FLOATS], "x double", "{x}") == [str(x) for x in FLOATS]
 
 
+def test_random_floats_print_like_python(spark):
+    rng = random.Random(7)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 15) for _ in range(5000)] + [rng.random() for _ in range(2000)]
+    assert render(spark, [(x,) for x in values], "x double", "{x}") == [str(x) for x in values]
+
+
 def test_other_values(spark):
     rows = [(True, 3, "é $1 \\n {b}", None), (None, -7, "", "q\"uote\nline")]
     schema = "b boolean, i bigint, s string, n string"
