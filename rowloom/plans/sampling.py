@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowloom.functions.hashing import with_row_key
 from rowloom.operators import packing, sampling
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
+from rowloom.session import fresh_path
 
 FRACTION, SPLIT, EVAL_FRACTION = 0.7, 0.8, 0.1
 
@@ -104,6 +106,23 @@ def leakage(spark, sf):
     return sampling.leakage(train_test_split(spark, sf), "doc_id", F.col("text"))
 
 
+LINES = """SELECT l_orderkey, l_linenumber, concat(md5(concat('{"l_orderkey":', l_orderkey, ',"l_linenumber":', l_linenumber, '}')), '-',
+        row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1) AS row_key FROM @lineitem"""
+
+
+@query(
+    "sample_without_key",
+    f"""SELECT l_orderkey, l_linenumber, row_key
+        FROM ({ranked_sql(f'({LINES})', 'row_key', '42:frac', 'l_orderkey, l_linenumber, row_key')}) WHERE r > {up(FRACTION)}""",
+)
+def sample_without_key(spark, sf):
+    # The two columns are no key: a line number occurs more than once per order.
+    keyed = with_row_key(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    path = fresh_path(spark, "keyed")
+    keyed.write.parquet(path)
+    return sampling.downsample(spark.read.parquet(path), "row_key", FRACTION)
+
+
 @query("split_sizes", f"SELECT split, COUNT(*) AS n_rows FROM ({BOTH}) GROUP BY split")
 def split_sizes(spark, sf):
     return sampling.split_sizes(sample_and_split(spark, sf))
