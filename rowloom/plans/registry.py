@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rowloom.functions.names import status_label
 from rowloom.operators import boards, quality
+from rowloom.operators.projection import nested_or
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
 from rowloom.session import fresh_path
@@ -27,8 +29,7 @@ FILLED = {
 
 
 def in_schema_order(name):
-    spec = [part.strip().split(" ")[0] for part in registry.SCHEMAS[name].split(",")]
-    return [c for c in spec if c in FILLED[name].split()]
+    return [c for c, _ in registry.columns_of(name) if c in FILLED[name].split()]
 
 
 def registry_tables(spark, sf):
@@ -38,7 +39,7 @@ def registry_tables(spark, sf):
 def _export_sql(name):
     columns = in_schema_order(name)
     text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in columns)
-    n_columns = len(registry.SCHEMAS[name].split(","))
+    n_columns = len(registry.columns_of(name))
     return f"SELECT '{name}' AS \"table\", id, {n_columns} AS n_columns, md5(concat_ws('|', {text})) AS content FROM #{name}"
 
 
@@ -164,9 +165,6 @@ def dimension_lookup(spark, sf):
        FROM @orders JOIN @customer ON c_custkey = o_custkey""",
 )
 def job_summary(spark, sf):
-    from rowloom.functions.names import status_label
-    from rowloom.operators.projection import nested_or
-
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "running")
     jobs = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.struct(status.alias("status")).alias("latest"))
     both = jobs.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))

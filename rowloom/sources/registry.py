@@ -73,20 +73,24 @@ EDGES = (
 )
 
 
-def as_table(df: DataFrame, table: str) -> DataFrame:
-    """The columns of a registry table, absent ones as nulls."""
-    spec = [part.strip().split(" ") for part in check_table(table).split(",")]
-    return df.select(
-        *[(F.col(n) if n in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in spec]
-    )
-
-
 def check_table(table: str) -> str:
     if table not in SCHEMAS:
         raise ValueError(f"the registry has no table '{table}'")
     return SCHEMAS[table]
 
 
+def columns_of(table: str) -> list[tuple[str, str]]:
+    """Names and types of a registry table."""
+    return [tuple(part.split()) for part in check_table(table).split(",")]
+
+
+def as_table(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a registry table, absent ones as nulls."""
+    return df.select(
+        *[(F.col(n) if n in df.columns else F.lit(None)).cast(kind).alias(n) for n, kind in columns_of(table)]
+    )
+
+
 def export_snapshot(tables: Mapping[str, DataFrame], path: str) -> None:
     """Each table as JSON lines with its nulls, and its schema beside it."""
     for table, df in tables.items():
