@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,38 +93,52 @@ def names_taken(batch: DataFrame, current: DataFrame, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Edge:
-    """A column of ``child`` whose values are keys of ``parent``."""
+    """A column of one table whose values are keys of another."""
 
     table: str
-    child: DataFrame
-    id: Column
     fk: str
-    parent: DataFrame
-    key: str
+    target: str
 
 
-def fk_audit(edges: Sequence[Edge]) -> DataFrame:
+def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[Edge], key: str = "id") -> DataFrame:
     """Every reference without a target, as (table, id, fk, value). An absent reference is fine.
 
-    Per edge the distinct referenced values are checked, which a hot value does not slow down, and
-    the rows are read again for the missing values only.
+    All references of a table are taken from one scan. Distinct (target, value) pairs are checked
+    first, which a hot value does not slow down; rows are looked up for the missing ones only.
     """
-    found: DataFrame | None = None
-    for edge in edges:
-        value = F.col(f"`{edge.fk}`")
-        used = edge.child.select(value.alias("__value")).filter("__value is not null").distinct()
-        have = edge.parent.select(F.col(f"`{edge.key}`").alias("__key"))
-        missing = used.join(have, F.col("__value") == F.col("__key"), "left_anti")
-        rows = edge.child.join(missing, value == F.col("__value")).select(
-            F.lit(edge.table).alias("table"),
-            edge.id.cast("string").alias("id"),
-            F.lit(edge.fk).alias("fk"),
-            value.cast("string").alias("value"),
-        )
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    if not edges:
         raise ValueError("no edges")
-    return found
+    refs = _union(
+        tables[name].select(
+            F.lit(name).alias("table"),
+            F.col(key).cast("string").alias("id"),
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(e.fk).alias("fk"),
+                            F.lit(e.target).alias("target"),
+                            F.col(f"`{e.fk}`").cast("string").alias("value"),
+                        )
+                        for e in edges
+                        if e.table == name
+                    ]
+                )
+            ).alias("ref"),
+        )
+        for name in dict.fromkeys(e.table for e in edges)
+    )
+    refs = refs.select("table", "id", "ref.*").filter(F.col("value").isNotNull())
+    have = _union(
+        tables[name].select(F.lit(name).alias("target"), F.col(key).cast("string").alias("value"))
+        for name in dict.fromkeys(e.target for e in edges)
+    )
+    missing = refs.select("target", "value").distinct().join(have, ["target", "value"], "left_anti")
+    return refs.join(missing, ["target", "value"]).select("table", "id", "fk", "value")
+
+
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def config_groups(configs: DataFrame, config: str, *same: str) -> DataFrame:

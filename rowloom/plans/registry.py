@@ -319,8 +319,7 @@ _EDGES = [edge for edge in registry.EDGES if edge[1] in FILLED[edge[0]].split()]
 )
 def fk_audit(spark, sf):
     tables = {name: given(spark, sf, name) for name in TABLES}
-    edges = [quality.Edge(t, tables[t], F.col("id"), fk, tables[parent], "id") for t, fk, parent in _EDGES]
-    return quality.fk_audit(edges)
+    return quality.fk_audit(tables, [quality.Edge(*edge) for edge in _EDGES])
 
 
 _PROMPT_FIELDS = ("id", "name", "dataset_id", "prompt_template", "input_template", "completion_template")

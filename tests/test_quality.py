@@ -66,7 +66,7 @@ def test_broadcast_only_what_is_few(spark):
 def test_references(spark):
     parent = spark.createDataFrame([("p1",)], "id string")
     child = spark.createDataFrame([("a", "p1"), ("b", "gone"), ("c", None), ("d", "gone")], "id string, fk string")
-    found = quality.fk_audit([quality.Edge("child", child, F.col("id"), "fk", parent, "id")])
+    found = quality.fk_audit({"parent": parent, "child": child}, [quality.Edge("child", "fk", "parent")])
     assert {tuple(r) for r in found.collect()} == {("child", "b", "fk", "gone"), ("child", "d", "fk", "gone")}
 
 
