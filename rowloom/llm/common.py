@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,3 +189,19 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """``row`` (all columns as one struct, so no name can clash), ``file`` and ``at``: where the row is stored.
+
+    File and row number tell repeated rows apart and stay the same when a task runs again. Rows that
+    do not come straight from files are written to the shared folder first.
+    """
+    packed = F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    if "_metadata" not in df.columns:
+        try:
+            return df.select(packed, *place)
+        except AnalysisException:
+            pass
+    return written(df.select(packed), "placed").select("row", *place)
