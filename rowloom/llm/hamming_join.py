@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import Words, arrow_batches, grams, mix, signed, text_bytes, written
@@ -20,9 +20,8 @@ GUARANTEED = 2 * CHUNKS - 1
 # At a similarity of 0.8 a signature differs in 14.4 components on average, with a deviation of 3.4. Pairs beyond
 # the guaranteed distance are found too unless every chunk has two errors or more: once in 400,000.
 FAR = 36
-PIVOTS = 3
 ROUNDS = 8
-BINARY64, WHOLE = np.dtype("<u8"), "node bigint, words binary"
+BINARY64, WHOLE = np.dtype("<u8"), "node bigint, signature binary, words binary"
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -35,9 +34,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Documents with equal sets are one class, found by hash. Classes get signatures, and each chunk
     of a signature gives one key per component left out, so that classes whose chunks differ in one
     component at most meet in a bucket. A bucket never emits all its pairs: each of its classes is
-    compared with a few pivots first, what is linked becomes one component, and only pairs between
-    different components of a bucket are compared after that, all of them. So no link that could
-    join two components is skipped. A pair counts after its signatures (at most 36 of 72 components
+    compared with the bucket's best connected one first, classes take the label of the best pivot
+    they are linked with, and after that only pairs under different labels are compared, all of them (after
+    further rounds with other pivots while those pairs outnumber the bucket rows). So no link that
+    could join two components is skipped. A pair counts after its signatures (at most 36 of 72 components
     differ) and its full sets have been compared.
 
     A null or empty text or one of blanks has an empty set and links with nothing. Rows without an
@@ -55,19 +55,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         all_rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.first("signature").alias("signature")), "classes"
     )
     keys = classes.select("node", "signature").mapInArrow(_chunk_keys, "bucket bigint, node bigint")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    buckets = written(keys.join(shared, "bucket"), "buckets")
-    linked = _link(docs, rows, classes, buckets, words, percent)
-    smallest = linked.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
-    of_class = written(linked.join(smallest, "component").select("node", "component_id"), "class-components")
-    found = (
-        all_rows.drop("signature")
-        .join(classes.select(F.col("node").alias("node"), "doc"), "node", "left")
-        .join(of_class, "node", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("id")))
-        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
-    )
-    return found.select(
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # A class in many large buckets makes a good pivot; the hash tells equally good ones apart.
+    met = F.sum("n").over(Window.partitionBy("node"))
+    rank = (F.shiftleft(met, 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank")
+    buckets = written(keys.join(shared, "bucket").select("bucket", "node", rank), "buckets")
+    linked = _link(rows, classes, buckets, words, percent)
+    smallest = linked.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    of_class = classes.select("node", "doc").join(linked.join(smallest, "component").select("node", "least"), "node", "left")
+    of_class = written(of_class.select("node", F.coalesce("least", "doc").alias("component_id")), "class-components")
+    found = all_rows.drop("signature").join(of_class, "node", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
+    return found.withColumn("component_id", component).select(
         F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash"
     )
 
@@ -79,75 +78,70 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.doc_id").cast("bigint").alias("__id"), F.xxhash64(F.col("row.text").cast("string")).alias("__hash")
     )
-    from pyspark.sql import Window
-
     stays = rows.join(gone, ["__id", "__hash"], "left_anti")
     one = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
     return stays.withColumn("__copy", one).filter("__copy = 1").select("row.*")
 
 
-def _link(docs: DataFrame, rows: DataFrame, classes: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:
+def _link(rows: DataFrame, classes: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:
     """``node, component`` of all classes that are linked with another one."""
-    spark = docs.sparkSession
-    wanted = buckets.select("node").distinct().join(classes.select("node", F.col("doc").alias("id")), "node")
+    wanted = buckets.select("node").distinct().join(classes.withColumnRenamed("doc", "id"), "node")
     sets = written(rows.join(wanted, "id").mapInArrow(_sets(words), WHOLE).dropDuplicates(["node"]), "sets")
     size = buckets.count()
-    labels, tested, edges = None, None, None
+    tested = None
+    edges = _confirmed(written(_pivot_pairs(buckets.withColumn("label", F.col("node")), None), "pairs"), sets, percent)
     for number in range(ROUNDS):
-        labelled = buckets.withColumn("component", F.col("node")) if labels is None else _labelled(buckets, labels)
-        labelled = written(labelled, "labelled")
-        by_part = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        counts = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        open_buckets = written(counts.filter("parts > 1"), "open")
-        work = open_buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        if not work:
-            break
+        labelled = written(_labelled(buckets, edges), "labelled")
+        by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        counts = by_label.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        counts = written(counts.filter("parts > 1"), "open-buckets")
+        work = counts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
         last = work <= 4 * size or number == ROUNDS - 1
-        live = labelled.join(open_buckets.select("bucket"), "bucket")
+        live = labelled.join(counts.select("bucket"), "bucket")
         pairs = _all_pairs(live) if last else _pivot_pairs(live, number)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = _confirmed(pairs, classes, sets, percent)
-        edges = written(new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), "edges")
-        labels = components(edges)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        edges = edges.unionByName(_confirmed(pairs, sets, percent))
         if last:
-            break
-    return labels if labels is not None else buckets.select("node", F.col("node").alias("component")).limit(0)
+            return components(edges.select("a", "b"))
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Bucket rows with a label: the best pivot that the class is linked with. Equal labels are linked."""
+    ends = [("a", "b", "rb"), ("b", "a", "ra"), ("a", "a", "ra"), ("b", "b", "rb")]
+    to = F.explode(F.array(*[F.struct(F.col(v).alias("node"), F.col(u).alias("u"), F.col(r).alias("r")) for v, u, r in ends])).alias("to")
+    labels = edges.select(to).select("to.*").groupBy("node").agg(F.max_by("u", "r").alias("label"))
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pivot_pairs(live: DataFrame, number: int) -> DataFrame:
-    """Every class of a bucket with a few pivots of another component; distinct over all buckets."""
-    picks = []
-    for i in range(PIVOTS):
-        place = F.xxhash64(F.lit(number * PIVOTS + i), "node")
-        picks.append(F.min_by("node", place).alias(f"p{i}"))
-        picks.append(F.min_by("component", place).alias(f"c{i}"))
-    pivots = live.groupBy("bucket").agg(*picks)
-    each = F.explode(F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.col(f"c{i}").alias("c")) for i in range(PIVOTS)]))
-    met = live.join(pivots, "bucket").select("node", "component", each.alias("to")).filter("component <> to.c")
-    return met.select(F.least("node", "to.p").alias("a"), F.greatest("node", "to.p").alias("b")).distinct()
+def _pivot_pairs(live: DataFrame, number: int | None) -> DataFrame:
+    """Every class of a bucket with a pivot under another label: the best ranked one, later any."""
+    rank = F.col("rank") if number is None else F.xxhash64(F.lit(number), "node")
+    pivots = live.groupBy("bucket").agg(*[F.max_by(c, rank).alias(f"p_{c}") for c in ("node", "label", "rank")])
+    met = live.join(pivots, "bucket").filter("label <> p_label")
+    return _pairs(met, "p_node", "p_rank")
 
 
 def _all_pairs(live: DataFrame) -> DataFrame:
-    other = live.select("bucket", F.col("node").alias("other"), F.col("component").alias("there"))
-    met = live.join(other, "bucket").filter("node < other AND component <> there")
-    return met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    """All classes of a bucket with all under other labels."""
+    other = live.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "rank")])
+    return _pairs(live.join(other, "bucket").filter("node < p_node AND label <> p_label"), "p_node", "p_rank")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _pairs(met: DataFrame, other: str, rank: str) -> DataFrame:
+    first = F.col("node") < F.col(other)
+    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "node", other), ("b", other, "node"), ("ra", "rank", rank), ("rb", rank, "rank"))]
+    return met.select(*ordered).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures are near and whose full sets overlap enough."""
     for side in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}")), side)
-    near = pairs.mapInArrow(_near_signatures, "a bigint, b bigint")
-    for side in "ab":
-        near = near.join(sets.select(F.col("node").alias(side), F.col("words").alias(f"w{side}")), side)
-    return near.mapInArrow(_overlap(percent), "a bigint, b bigint")
+        own = sets.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}"), F.col("words").alias(f"w{side}"))
+        pairs = pairs.join(own, side)
+    return written(pairs.mapInArrow(_near(percent), "a bigint, b bigint, ra bigint, rb bigint"), "links")
 
 
 def minhash_factors() -> tuple[np.ndarray, np.ndarray]:
@@ -207,37 +201,33 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Words()
         for batch in batches:
-            wanted, nodes, sets = batch.column("node").to_pylist(), [], []
-            for node, hashes in zip(wanted, hasher.of_many(text_bytes(batch, "text"))):
+            wanted, nodes, sets, places = batch.column("node").to_pylist(), [], [], []
+            for place, (node, hashes) in enumerate(zip(wanted, hasher.of_many(text_bytes(batch, "text")))):
                 shingles = np.unique(grams(hashes, words))
                 # A row that has only its id in common with the class is another text.
                 if len(shingles) and (set_hash(shingles) - node) % (1 << 64) == 0:
                     nodes.append(node)
                     sets.append(shingles.astype(BINARY64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "words"])
+                    places.append(place)
+            signatures = batch.column("signature").take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), signatures, pa.array(sets, pa.binary())], names=["node", "signature", "words"])
 
     return run
 
 
-def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-        near = pa.array((a != b).sum(1) <= FAR)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
-
-
-def _overlap(percent: int):
+def _near(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), BINARY64) for c in ("wa", "wb"))
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            good = (a != b).sum(1) <= FAR
+            for i in np.flatnonzero(good):
+                a, b = (np.frombuffer(batch.column(c)[int(i)].as_buffer(), BINARY64) for c in ("wa", "wb"))
                 both = np.sort(np.concatenate((a, b)))
                 common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(a) + len(b) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+                good[i] = 100 * common >= percent * (len(a) + len(b) - common)
+            keep, names = pa.array(good), ["a", "b", "ra", "rb"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
     return run
