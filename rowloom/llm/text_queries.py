@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.llm.byte_cnn import held_out, identify, train
+from rowloom.llm.pseudo_likelihood import score
 from rowloom.llm.queries import query, table
 from rowloom.llm.secret_novelty import find_secrets
 
 
+@query("op5_pseudo_likelihood")
+def op5(spark, folder):
+    return score(table(spark, folder, "documents"))
+
+
 @query("op8_byte_cnn")
 def op8(spark, folder):
     documents = table(spark, folder, "documents")
