@@ -8,7 +8,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import with_place, written
+from rowloom.llm.common import quoted, with_place, written
 from rowloom.session import fresh_path
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -119,7 +119,7 @@ def drop_repeated_lines(docs: DataFrame, least_length: int = 40, least_docs: int
     left = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "gone")
     kept = F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(left, lambda i: F.get("lines", i))), "\n")
     dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    found = found.withColumns({"__lines": F.col("n").cast("bigint"), "__dropped": dropped.cast("bigint"), "__kept": kept})
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
-    return found.select(
-        *[F.col(f"row.`{c}`") for c in names], F.col("n").cast("bigint").alias("n_lines"), dropped.cast("bigint").alias("n_dropped"), kept.alias("kept")
-    )
+    added = [F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("__kept").alias("kept")]
+    return found.select(*[F.col(f"row.{quoted(c)}") for c in names], *added)

@@ -9,6 +9,7 @@ from rowloom.llm.common import WORD, running, with_place, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # times a document may be taken
+SEED = "mix"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, budget: int | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def fair_mix(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
     budget: int | None = None,
-    seed: str = "mix",
+    seed: str = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """What a mix takes of every document, and the mix itself.
 
@@ -61,7 +62,10 @@ def fair_mix(
     taken; a null source is a source; a null id is an id; repeated rows queue one after another. The
     order is by id and size alone, so reruns agree.
     """
-    rows = with_place(docs)
+    return _fair_mix(with_place(docs), weights, most, budget, seed)
+
+
+def _fair_mix(rows: DataFrame, weights: tuple[int, ...], most: int, budget: int | None, seed: str) -> tuple[DataFrame, DataFrame]:
     narrow = rows.select(
         F.col("row.doc_id").alias("doc_id"),
         F.col("row.source").cast("string").alias("source"),
@@ -100,8 +104,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
 
     A document without words is no part of a mix of words; it stays once, as nothing speaks against it.
     """
-    plan = fair_mix(docs, weights, most)[0]
+    rows = with_place(docs)
+    plan = _fair_mix(rows, weights, most, None, SEED)[0]
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
     chosen = plan.select("file", "at", copies.alias("__copies")).filter("__copies > 0")
-    rows = with_place(docs).join(chosen, ["file", "at"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("row.*")
+    return rows.join(chosen, ["file", "at"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("row.*")
