@@ -67,10 +67,13 @@ class LineRuns:
         self.levels.clear()
 
     def _merged(self, names: list[str]) -> DataFrame:
+        """The sorted runs merged bucket by bucket; a key of several runs adds up its documents."""
         rows = self.spark.table(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder"))
+            more = self.spark.table(name).withColumnsRenamed({"docs": "docs2", "holder": "holder2"})
+            docs = (F.coalesce("docs", F.lit(0)) + F.coalesce("docs2", F.lit(0))).alias("docs")
+            rows = rows.join(more, KEY, "full").select(*KEY, docs, F.greatest("holder", "holder2").alias("holder"))
+        return rows
 
     def _store(self, rows: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"

@@ -77,7 +77,7 @@ def _fair_mix(rows: DataFrame, weights: tuple[int, ...], most: int, budget: int
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("size"))
     targets = written(source_targets(sizes, weights, most, budget), "targets")
     # The row's place breaks ties of ids that repeat, for the ranges only: equal ids and sizes may swap.
-    order = [F.col("source").isNull(), F.col("source"), F.col("hash"), F.col("doc_id"), F.col("size"), F.col("file"), F.col("at")]
+    order = [F.col("source").isNull(), F.col("source"), F.col("hash"), F.col("doc_id"), F.col("size"), F.xxhash64("file"), F.col("at")]
     queued = running(narrow.withColumn("one", F.lit(1).cast("bigint")), order, ["size", "one"], "queued")
     own = targets.select(F.col("source").alias("own"), F.col("size").alias("source_size"), "target", "start")
     queued = queued.join(own, F.col("source").eqNullSafe(F.col("own")), "left").withColumn("begin", F.col("size_before") - F.col("start"))

@@ -162,9 +162,11 @@ def test_runs_are_compacted(spark):
     assert {level: len(names) for level, names in runs.levels.items() if names} == {0: 1, 2: 1}
     found = {r["k1"]: r["holder"] for r in runs.repeated(2).collect()}
     assert found == {k: 100 - (k // 3 - 1) for k in range(3, 15)}
-    for name in runs.names():
-        plan = spark.table(name).join(spark.table(name), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan.replace("BroadcastExchange", "") or "SortMergeJoin" not in plan
+    name = runs.names()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = spark.table(name).join(spark.table(name), ["k1", "k2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
     runs.close()
     assert not runs.names()
 
