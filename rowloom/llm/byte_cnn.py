@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import arrow_batches, quoted, smallest, text_bytes
+from rowloom.llm.common import arrow_batches, quoted, smallest, text_bytes, written
 
 WINDOW = 128  # bytes that are judged together
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
@@ -152,16 +152,19 @@ def held_out(id_column: str) -> Column:
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", texts: int = SAMPLE_TEXTS) -> tuple[list[str], dict]:
     """Languages and weights, learned from at most ``texts`` labelled texts per language that are not held out.
 
-    The texts are those with the smallest hash of their id, each with up to 6 of its windows of 128 bytes, spread
+    The texts are those with the smallest hash, repeated rows once, each with up to 6 of its windows of 128 bytes, spread
     evenly over it. That sample is all the driver gets.
     """
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).cast("string").alias("lang"))
     known = rows.filter(F.col("lang").isNotNull() & has_letter("text") & ~held_out("id"))
-    place = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
-    sample = smallest(known, ["lang"], place, texts)
-    found = sample.select("lang", *[p.alias(f"o{i}") for i, p in enumerate(place)], "text").mapInArrow(_some_windows, "lang string, o0 bigint, o1 string, o2 bigint, window binary")
-    table = found.toArrow().sort_by([("lang", "ascending"), ("o0", "ascending"), ("o1", "ascending"), ("o2", "ascending"), ("window", "ascending")])
+    keyed = known.withColumn("h", F.xxhash64("id", "text"))
+    # Places first, texts after: only ids, languages and hashes are ranked.
+    first = smallest(keyed.select("lang", "h").distinct(), ["lang"], [F.col("h")], texts).groupBy("lang").agg(F.max("h").alias("last"))
+    first = written(first.select(F.col("lang").alias("of"), "last"), "sample-limits")
+    sample = keyed.join(first, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("last"))).dropDuplicates(["lang", "h"])
+    found = sample.select("lang", "h", "text").mapInArrow(_some_windows, "lang string, h bigint, window binary")
+    table = found.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("window", "ascending")])
     if not table.num_rows:
         return [], {}
     names = sorted(set(table.column("lang").to_pylist()))
@@ -181,8 +184,8 @@ def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for j in np.unique(np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int)):
                 rows.append(i)
                 found.append(own[j].tobytes())
-        kept = batch.select(["lang", "o0", "o1", "o2"]).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], names=["lang", "o0", "o1", "o2", "window"])
+        kept = batch.select(["lang", "h"]).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.binary())], names=["lang", "h", "window"])
 
 
 def has_letter(column: str) -> Column:

@@ -33,12 +33,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Documents with equal sets are one class, found by hash. Classes get signatures, and each chunk
     of a signature gives one key per component left out, so that classes whose chunks differ in one
-    component at most meet in a bucket. A bucket never emits all its pairs: each of its classes is
-    compared with the bucket's best connected one first, classes take the label of the best pivot
-    they are linked with, and after that only pairs under different labels are compared, all of them (after
-    further rounds with other pivots while those pairs outnumber the bucket rows). So no link that
-    could join two components is skipped. A pair counts after its signatures (at most 36 of 72 components
-    differ) and its full sets have been compared.
+    component at most meet in a bucket. A bucket never emits all its pairs: classes with an equal chunk
+    are compared with the bucket's best connected one first and what is linked becomes one component. Of the
+    buckets with one error only those matter after that in which components meet, and there all
+    pairs of classes of different components are compared (after further rounds with other pivots while those
+    pairs are many). So no link that could join two components is skipped. A pair counts after its
+    signatures (at most 36 of 72 components differ) and its full sets have been compared.
 
     A null or empty text or one of blanks has an empty set and links with nothing. Rows without an
     id take no part in links and are kept. Repeated rows are copies of each other. Further columns
@@ -55,12 +55,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         all_rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("doc"), F.first("signature").alias("signature")), "classes"
     )
     keys = classes.select("node", "signature").mapInArrow(_chunk_keys, "bucket bigint, node bigint")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # A class in many large buckets makes a good pivot; the hash tells equally good ones apart.
-    met = F.sum("n").over(Window.partitionBy("node"))
-    rank = (F.shiftleft(met, 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank")
-    buckets = written(keys.join(shared, "bucket").select("bucket", "node", rank), "buckets")
-    linked = _link(rows, classes, buckets, words, percent)
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    # Only classes that meet another one in a bucket have anything to be compared with.
+    wanted = written(keys.join(shared, "bucket").select("node").distinct().join(classes, "node"), "met-classes")
+    linked = _link(rows, wanted, words, percent)
     smallest = linked.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
     of_class = classes.select("node", "doc").join(linked.join(smallest, "component").select("node", "least"), "node", "left")
     of_class = written(of_class.select("node", F.coalesce("least", "doc").alias("component_id")), "class-components")
@@ -83,57 +81,54 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return stays.withColumn("__copy", one).filter("__copy = 1").select("row.*")
 
 
-def _link(rows: DataFrame, classes: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:
+def _link(rows: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
     """``node, component`` of all classes that are linked with another one."""
-    wanted = buckets.select("node").distinct().join(classes.withColumnRenamed("doc", "id"), "node")
+    wanted = met.withColumnRenamed("doc", "id")
     sets = written(rows.join(wanted, "id").mapInArrow(_sets(words), WHOLE).dropDuplicates(["node"]), "sets")
-    size = buckets.count()
-    tested = None
-    edges = _confirmed(written(_pivot_pairs(buckets.withColumn("label", F.col("node")), None), "pairs"), sets, percent)
+    # Without errors: chunks that are equal as a whole, twelve rows per class.
+    equal = met.select("node", "signature").mapInArrow(_whole_chunks, "bucket bigint, node bigint")
+    several = equal.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # A class in many large buckets makes a good pivot; the hash tells equally good ones apart.
+    size = F.sum("n").over(Window.partitionBy("node"))
+    rank = (F.shiftleft(size, 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank")
+    buckets = written(equal.join(several, "bucket").select("bucket", "node", F.col("node").alias("label"), rank), "equal-chunks")
+    tested = written(_pivot_pairs(buckets, None), "pairs")
+    edges = _confirmed(tested, sets, percent)
+    # With one error: only buckets where classes of different components meet.
     for number in range(ROUNDS):
-        labelled = written(_labelled(buckets, edges), "labelled")
-        by_label = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        counts = by_label.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        counts = written(counts.filter("parts > 1"), "open-buckets")
-        work = counts.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2)).first()[0] or 0
-        last = work <= 4 * size or number == ROUNDS - 1
-        live = labelled.join(counts.select("bucket"), "bucket")
-        pairs = _all_pairs(live) if last else _pivot_pairs(live, number)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        labels = components(edges)
+        labelled = met.join(labels, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("label"))
+        keys = labelled.mapInArrow(_labelled_keys, "bucket bigint, node bigint, label bigint, cell bigint, first boolean")
+        parts = keys.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+        parts = parts.agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+        open_buckets = written(parts.filter("labels > 1"), "open-buckets")
+        work = open_buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        if not work["pairs"]:
+            return labels
+        live = keys.join(open_buckets.select("bucket"), "bucket")
+        last = work["pairs"] <= 4 * work["rows"] or number == ROUNDS - 1
+        pairs = (_all_pairs(live) if last else _pivot_pairs(live.withColumn("rank", F.lit(0)), number)).join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        edges = edges.unionByName(_confirmed(pairs, sets, percent))
+        tested, edges = tested.unionByName(pairs), edges.unionByName(_confirmed(pairs, sets, percent))
         if last:
-            return components(edges.select("a", "b"))
-
-
-def _labelled(buckets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Bucket rows with a label: the best pivot that the class is linked with. Equal labels are linked."""
-    ends = [("a", "b", "rb"), ("b", "a", "ra"), ("a", "a", "ra"), ("b", "b", "rb")]
-    to = F.explode(F.array(*[F.struct(F.col(v).alias("node"), F.col(u).alias("u"), F.col(r).alias("r")) for v, u, r in ends])).alias("to")
-    labels = edges.select(to).select("to.*").groupBy("node").agg(F.max_by("u", "r").alias("label"))
-    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            return components(edges)
 
 
 def _pivot_pairs(live: DataFrame, number: int | None) -> DataFrame:
     """Every class of a bucket with a pivot under another label: the best ranked one, later any."""
     rank = F.col("rank") if number is None else F.xxhash64(F.lit(number), "node")
-    pivots = live.groupBy("bucket").agg(*[F.max_by(c, rank).alias(f"p_{c}") for c in ("node", "label", "rank")])
-    met = live.join(pivots, "bucket").filter("label <> p_label")
-    return _pairs(met, "p_node", "p_rank")
+    pivots = live.groupBy("bucket").agg(F.max_by("node", rank).alias("other"), F.max_by("label", rank).alias("there"))
+    return _pairs(live.join(pivots, "bucket").filter("label <> there"))
 
 
 def _all_pairs(live: DataFrame) -> DataFrame:
-    """All classes of a bucket with all under other labels."""
-    other = live.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("node", "label", "rank")])
-    return _pairs(live.join(other, "bucket").filter("node < p_node AND label <> p_label"), "p_node", "p_rank")
+    """All classes of a bucket with all under other labels; chunks that are equal meet in one of their buckets."""
+    other = live.select("bucket", F.col("node").alias("other"), F.col("label").alias("there"), F.col("cell").alias("other_cell"))
+    return _pairs(live.join(other, "bucket").filter("node < other AND label <> there AND (first OR cell <> other_cell)"))
 
 
-def _pairs(met: DataFrame, other: str, rank: str) -> DataFrame:
-    first = F.col("node") < F.col(other)
-    ordered = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for n, x, y in (("a", "node", other), ("b", other, "node"), ("ra", "rank", rank), ("rb", rank, "rank"))]
-    return met.select(*ordered).distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +136,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         own = sets.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}"), F.col("words").alias(f"w{side}"))
         pairs = pairs.join(own, side)
-    return written(pairs.mapInArrow(_near(percent), "a bigint, b bigint, ra bigint, rb bigint"), "links")
+    return written(pairs.mapInArrow(_near(percent), "a bigint, b bigint"), "links")
 
 
 def minhash_factors() -> tuple[np.ndarray, np.ndarray]:
@@ -184,17 +179,38 @@ def _signatures(words: int):
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-    salt = mix(np.arange(1000, 1000 + CHUNKS * WIDTH, dtype=np.uint64)).reshape(1, CHUNKS, WIDTH)
+    """A key for each chunk and component left out: those of two signatures agree where the chunks differ in no other component."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, CHUNKS, WIDTH)
-        terms = (parts.astype(np.uint64) + np.uint64(1)) * place
-        terms = mix(terms)
-        key = mix(terms.sum(2, keepdims=True, dtype=np.uint64) - terms + salt).reshape(-1)
+        _, keys = _keys(batch)
         node = np.repeat(batch.column("node").to_numpy(), CHUNKS * WIDTH)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node)], names=["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(node)], names=["bucket", "node"])
+
+
+def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cells, _ = _keys(batch)
+        node = np.repeat(batch.column("node").to_numpy(), CHUNKS)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(cells.reshape(-1))), pa.array(node)], names=["bucket", "node"])
+
+
+def _labelled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["bucket", "node", "label", "cell", "first"]
+    for batch in batches:
+        cells, keys = _keys(batch)
+        node, label = (np.repeat(batch.column(c).to_numpy(), CHUNKS * WIDTH) for c in ("node", "label"))
+        first = np.tile(np.arange(WIDTH) == 0, batch.num_rows * CHUNKS)
+        columns = [signed(keys.reshape(-1)), node, label, signed(np.repeat(cells.reshape(-1), WIDTH)), first]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of whole chunks (rows x chunks) and of chunks without each component (rows x chunks x width)."""
+    place = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+    salt = mix(np.arange(1000, 1000 + CHUNKS * WIDTH, dtype=np.uint64)).reshape(1, CHUNKS, WIDTH)
+    parts = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, CHUNKS, WIDTH)
+    terms = mix((parts.astype(np.uint64) + np.uint64(1)) * place)
+    whole = terms.sum(2, keepdims=True, dtype=np.uint64)
+    return mix(whole[:, :, 0] + salt[:, :, 0] * np.uint64(3)), mix(whole - terms + salt)
 
 
 def _sets(words: int):
@@ -227,7 +243,7 @@ def _near(percent: int):
                 both = np.sort(np.concatenate((a, b)))
                 common = int((both[1:] == both[:-1]).sum())
                 good[i] = 100 * common >= percent * (len(a) + len(b) - common)
-            keep, names = pa.array(good), ["a", "b", "ra", "rb"]
+            keep, names = pa.array(good), ["a", "b"]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
     return run

@@ -26,7 +26,7 @@ CANDIDATE_LEAST = 16
 SENSITIVE = re.compile(rb"pass|secret|token|key|auth|credential|private|signature|bearer", re.IGNORECASE)
 NEAR, AROUND = 48, 512  # bytes before a candidate that are searched for such a word; bytes of text it is compared with
 BITS = 3.5  # bits per character that a secret costs at least
-LETTERS = re.compile(rb"[A-Za-z]{4,}")
+LETTERS = re.compile(rb"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 IDENTIFIERS = 4096  # most common parts of identifiers that prime the compressor
 LEVEL = 3
 
@@ -76,7 +76,8 @@ def candidates(text: bytes, member: np.ndarray) -> list[tuple[int, int]]:
     found = []
     for a, b in runs(np.frombuffer(text, np.uint8), member, CANDIDATE_LEAST):
         word = text[a:b].rstrip(b".=-") if text[b - 1 : b] in (b".", b"-") else text[a:b]
-        if len(word) >= CANDIDATE_LEAST and re.search(rb"[0-9]", word) and re.search(rb"[A-Za-z]", word):
+        mixed = re.search(rb"[0-9]", word) or (re.search(rb"[a-z]", word) and re.search(rb".[A-Z]", word))
+        if len(word) >= CANDIDATE_LEAST and mixed and re.search(rb"[A-Za-z]", word):
             found.append((a, a + len(word)))
     return found
 
@@ -93,7 +94,7 @@ def novel_spans(text: bytes, member: np.ndarray, novelty: Novelty, taken: list[t
 
 
 def identifier_parts(docs: DataFrame, text_column: str = "text", count: int = IDENTIFIERS) -> bytes:
-    """The runs of letters that most documents hold within long strings, the most common last, as a dictionary.
+    """The words (``Customer``, ``customer``, ``CUSTOMER``) that most documents hold within long strings, the most common last, as a dictionary.
 
     All documents are counted; the ``count`` most common parts are all the driver gets.
     """
@@ -120,7 +121,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per document: id and ``spans``, an array of ``kind, start, end`` in code points, by start, then kind.
 
     Kinds: ``assign``, ``access`` and ``hex`` are the base patterns. ``novel`` are strings of 16 or more
-    of ``A-Za-z0-9+/_.=-`` with a letter and a digit, outside of base spans, up to 48 bytes after
+    of ``A-Za-z0-9+/_.=-`` with a letter and a digit or letters of both cases, outside of base spans, up to 48 bytes after
     a word such as password, key or auth, that add at least 3.5 bits per character to the compressed
     text around them (512 bytes on each side). The compressor is primed with the parts of identifiers
     that are common in all documents, so composed names and repeated strings cost little.
