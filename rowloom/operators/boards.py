@@ -105,8 +105,10 @@ def metric_curves(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def latest_per_parent(df: DataFrame, parent: str, at: str, key: str, *carry: str) -> DataFrame:
     """Per parent the row with the greatest time; of equal times the lowest key."""
-    rank = F.struct(F.col(at), (-F.col(key)).alias("k"))
-    return df.groupBy(parent).agg(F.max_by(F.struct(key, at, *carry), rank).alias("last")).select(parent, "last.*")
+    # Keys may be text, so the time is turned round; rows without a time come last.
+    late = F.coalesce(-F.unix_micros(F.col(at).cast("timestamp")), F.lit(2**63 - 1))
+    rank = F.struct(late.alias("t"), F.col(key).alias("k"))
+    return df.groupBy(parent).agg(F.min_by(F.struct(key, at, *carry), rank).alias("last")).select(parent, "last.*")
 
 
 def latest_deployment(models: DataFrame, builds: DataFrame, deployments: DataFrame) -> DataFrame:

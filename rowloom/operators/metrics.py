@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import textstats
-from rowloom.operators.bounded import broadcast_if_few
+from rowloom.session import written
 from rowloom.operators.overlap import sequence_hits, summary_hits
 
 Metric = Callable[[Column, Column], Column]
@@ -159,7 +159,8 @@ def _brackets(long: DataFrame, keys: list[str], value: str, q: float, accuracy:
     small = F.col("__n") <= 4 * accuracy
     low = F.when(small, F.col("__min")).otherwise(F.get("__ends", F.lit(0))).alias("__low")
     high = F.when(small, F.col("__max")).otherwise(F.get("__ends", F.lit(1))).alias("__high")
-    return broadcast_if_few(found.select(*keys, "__n", "__mean", "__variance", low, high))
+    # Written, as it is read twice; its size then tells the planner how to join it.
+    return written(found.select(*keys, "__n", "__mean", "__variance", low, high), "brackets")
 
 
 def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -16,30 +17,38 @@ def _tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text or "")
 
 
-def _rows(left: list[str], right: list[str]) -> list[int]:
-    """For each prefix of ``left``: a bit per token of ``right``, 1 where the length does not grow."""
+def _where(tokens: list[str]) -> dict[str, int]:
+    """A bit for each place of each token."""
     where: dict[str, int] = {}
-    for at, token in enumerate(right):
+    for at, token in enumerate(tokens):
         where[token] = where.get(token, 0) | (1 << at)
-    full = (1 << len(right)) - 1
-    flat, rows = full, [full]
+    return where
+
+
+def _rows(left: list[str], where: dict[str, int], size: int) -> Iterator[int]:
+    """For each prefix of ``left``: a bit per token on the right, 1 where the length does not grow."""
+    full = (1 << size) - 1
+    flat = full
+    yield flat
     for token in left:
         hit = flat & where.get(token, 0)
         flat = ((flat + hit) | (flat - hit)) & full
-        rows.append(flat)
-    return rows
+        yield flat
 
 
 def sequence_hits(prediction: str | None, target: str | None) -> tuple[int, int | None, int | None]:
     """Length of the longest common subsequence and both token counts (None if 0)."""
     left, right = _tokens(prediction), _tokens(target)
-    hits = len(right) - _rows(left, right)[-1].bit_count()
+    last = 0
+    for row in _rows(left, _where(right), len(right)):
+        last = row  # one row is all that is kept
+    hits = len(right) - last.bit_count()
     return hits, len(left) or None, len(right) or None
 
 
-def _matched(target: list[str], prediction: list[str]) -> set[int]:
+def _matched(target: list[str], prediction: list[str], where: dict[str, int]) -> set[int]:
     """Positions of the target in one longest common subsequence, read from the end."""
-    rows, found = _rows(target, prediction), set()
+    rows, found = list(_rows(target, where, len(prediction))), set()
     i, j = len(target), len(prediction)
 
     def length(i: int, j: int) -> int:
@@ -60,11 +69,20 @@ def summary_hits(prediction: str | None, target: str | None) -> tuple[int, int |
     """Tokens of the target lines matched by any line of the prediction, each used once."""
     wanted = [t for line in (target or "").split("\n") if (t := _tokens(line))]
     given = [t for line in (prediction or "").split("\n") if (t := _tokens(line))]
-    spare_given, spare_wanted = Counter(sum(given, [])), Counter(sum(wanted, []))
+    spare_given, spare_wanted = (Counter(t for line in lines for t in line) for lines in (given, wanted))
+    # Each line of the prediction is indexed once, and only lines with a token in common are compared.
+    places = [_where(line) for line in given]
+    holders: dict[str, list[int]] = {}
+    for number, where in enumerate(places):
+        for token in where:
+            holders.setdefault(token, []).append(number)
     n_given, n_wanted = spare_given.total(), spare_wanted.total()
     hits = 0
     for line in wanted:
-        union = set().union(*(_matched(line, other) for other in given))
+        union: set[int] = set()
+        for number in sorted({n for token in set(line) for n in holders.get(token, ())}):
+            if len(union) < len(line):
+                union |= _matched(line, given[number], places[number])
         for at in sorted(union):
             token = line[at]
             if spare_given[token] > 0 and spare_wanted[token] > 0:

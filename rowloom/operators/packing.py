@@ -7,34 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.hashing import bucket
+from rowloom.functions.hashing import BUCKET_BITS, bucket
 
 # Block lengths of the two training paths, and the marker between examples.
 SHORT_BLOCK = 512
 LONG_BLOCK = 4096
 SEPARATOR = "</s>"
 
+# Rows are placed in 2^16 slots by hash: the totals of the slots fit one task, a slot holds 1/65,536 of the rows.
+SLOT_BITS = 16
+
 
 def words(text: Column) -> Column:
     """The default tokens: runs of non-blank characters."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), 0)
 
 
-def shards_for(total_tokens: int, tokens_per_shard: int = 50_000_000) -> int:
-    """A shard count that keeps each shard within one task."""
-    return max(1, -(-total_tokens // tokens_per_shard))
-
-
-def _with_tokens(df: DataFrame, text: str, tokenizer: Callable[[Column], Column], separator: str | None) -> DataFrame:
+def _tokens(text: str, tokenizer: Callable[[Column], Column], separator: str | None) -> Column:
     end = F.array(F.lit(separator)) if separator is not None else F.array().cast("array<string>")
-    return df.withColumn("tokens", F.concat(tokenizer(F.col(text)), end)).drop(text)
-
-
-def _sharded(df: DataFrame, key: str, text: str, shards: int) -> DataFrame:
-    order = bucket("pack", key)
-    return df.select(
-        F.pmod(order, F.lit(shards)).alias("shard"), order.alias("h"), F.col(key).alias("k"), F.col(text).alias("text")
-    )
+    return F.concat(tokenizer(F.col(text)), end)
 
 
 def pack_sequences(
@@ -42,22 +33,29 @@ def pack_sequences(
     key: str,
     text: str,
     length: int = SHORT_BLOCK,
-    shards: int = 64,
     tokenizer: Callable[[Column], Column] = words,
     separator: str | None = SEPARATOR,
+    drop_tail: bool = False,
 ) -> DataFrame:
-    """Full blocks of ``length`` tokens, one row each: shard, block, tokens, pieces.
+    """Blocks of ``length`` tokens, one row each: block, tokens, n_tokens, n_pieces.
 
-    Rows fall into shards by the hash of their key, so no shard is larger than others, and each
-    shard runs through the rows in hash order. The texts are shuffled by shard once, before they
-    are cut into (much larger) token arrays; the running offset and the collecting of a block
-    both use that partitioning. The last, partial block of a shard is left out, as
-    ``dropped_tokens`` reports.
+    All rows are one stream in the order of the hash of their key, then key and text, and block ``b`` has the
+    tokens from ``b * length`` on. Only the very last block may be shorter; ``drop_tail`` leaves it out.
+
+    The stream is cut into slots by the leading bits of the hash. One job adds up the tokens of each slot; the
+    texts are then shuffled by slot, a running sum inside the slot gives each row its place, and
+    the tokens, made only now, meet in their block. A block is at most its length, so what is collected is bounded.
     """
-    rows = _with_tokens(_sharded(df, key, text, shards).repartition("shard"), "text", tokenizer, separator)
-    upto = Window.partitionBy("shard").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("size", F.size("tokens").cast("bigint")).filter("size > 0")
-    placed = placed.withColumn("start", F.sum("size").over(upto) - F.col("size"))
+    order = bucket("pack", key)
+    tokens = _tokens("text", tokenizer, separator)
+    rows = df.select(F.shiftright(order, BUCKET_BITS - SLOT_BITS).alias("slot"), order.alias("h"), F.col(key).alias("k"), F.col(text).alias("text"))
+    sized = rows.withColumn("size", F.size(tokens).cast("bigint")).filter("size > 0")
+    slots = sized.groupBy("slot").agg(F.sum("size").alias("n"))
+    base = slots.select("slot", (F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
+    upto = Window.partitionBy("slot").orderBy("h", "k", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("start", F.sum("size").over(upto) - F.col("size"))
+    # At most 65,536 rows.
+    placed = placed.join(F.broadcast(base), "slot").withColumn("start", F.col("start") + F.col("base")).withColumn("tokens", tokens)
     first = F.floor(F.col("start") / length)
     last = F.floor((F.col("start") + F.col("size") - 1) / length)
 
@@ -68,35 +66,19 @@ def pack_sequences(
         return F.struct(block.alias("block"), F.struct(F.col("start"), cut.alias("tokens")).alias("piece"))
 
     # Cut first and explode then: a row repeated per block would carry all its tokens each time.
-    cuts = placed.select("shard", F.explode(F.transform(F.sequence(first, last), piece)).alias("cut"))
-    pieces = cuts.select("shard", "cut.block", "cut.piece")
-    # A block holds at most ``length`` tokens, so what is collected per group is bounded.
-    blocks = pieces.groupBy("shard", "block").agg(
-        F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum(F.size("piece.tokens")).alias("n_tokens")
-    )
-    return blocks.filter(F.col("n_tokens") == length).select(
-        "shard",
-        "block",
-        F.flatten(F.transform("pieces", lambda p: p.getField("tokens"))).alias("tokens"),
-        F.size("pieces").alias("n_pieces"),
-    )
+    pieces = placed.select(F.explode(F.transform(F.sequence(first, last), piece)).alias("cut")).select("cut.block", "cut.piece")
+    blocks = pieces.groupBy("block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"), F.sum(F.size("piece.tokens")).alias("n_tokens"))
+    if drop_tail:
+        blocks = blocks.filter(F.col("n_tokens") == length)
+    joined = F.flatten(F.transform("pieces", lambda p: p.getField("tokens"))).alias("tokens")
+    return blocks.select("block", joined, "n_tokens", F.size("pieces").alias("n_pieces"))
 
 
 def dropped_tokens(
-    df: DataFrame,
-    key: str,
-    text: str,
-    length: int = SHORT_BLOCK,
-    shards: int = 64,
-    tokenizer: Callable[[Column], Column] = words,
-    separator: str | None = SEPARATOR,
+    df: DataFrame, text: str, length: int = SHORT_BLOCK, tokenizer: Callable[[Column], Column] = words, separator: str | None = SEPARATOR
 ) -> DataFrame:
-    """Per shard: all tokens, full blocks and the tokens left over."""
-    rows = _with_tokens(_sharded(df, key, text, shards), "text", tokenizer, separator)
-    sizes = rows.select("shard", F.size("tokens").alias("size"))
-    total = F.sum("size")
-    return sizes.groupBy("shard").agg(
-        total.alias("n_tokens"),
-        F.floor(total / length).alias("n_blocks"),
-        F.pmod(total, F.lit(length)).alias("dropped"),
+    """All tokens, full blocks, and the tokens that ``drop_tail`` would leave out."""
+    total = F.coalesce(F.sum(F.size(_tokens("text", tokenizer, separator))), F.lit(0))
+    return df.select(F.col(text).alias("text")).agg(
+        total.alias("n_tokens"), F.floor(total / length).alias("n_blocks"), F.pmod(total, F.lit(length)).alias("dropped")
     )

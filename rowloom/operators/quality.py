@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.jsontext import canonical_json
-from rowloom.operators.bounded import attach_to_rows
 
 # Frameworks a job may name, and the file ending of each local dataset kind.
 FRAMEWORKS = ("legacy", "axolotl")
@@ -80,15 +79,19 @@ def violations(df: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> Data
     return df.select(*ids, F.explode(told).alias("rule"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, by the same rule as ``blank``."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def duplicate_names(df: DataFrame, name: str) -> DataFrame:
-    trimmed = F.trim(F.col(name)).alias("name")
-    return df.groupBy(trimmed).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    return df.groupBy(stripped(F.col(name)).alias("name")).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
 def names_taken(batch: DataFrame, current: DataFrame, name: str) -> DataFrame:
     """Rows of a batch whose trimmed name the table has already."""
-    have = current.select(F.trim(F.col(name)).alias("__name")).distinct()
-    return batch.join(have, F.trim(batch[name]) == F.col("__name"), "left_semi")
+    have = current.select(stripped(F.col(name)).alias("__name")).distinct()
+    return batch.join(have, stripped(batch[name]) == F.col("__name"), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -103,8 +106,8 @@ class Edge:
 def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[Edge], key: str = "id") -> DataFrame:
     """Every reference without a target, as (table, id, fk, value). An absent reference is fine.
 
-    All references of a table are taken from one scan. Distinct (target, value) pairs are checked
-    first, which a hot value does not slow down; rows are looked up for the missing ones only.
+    All references of a table are taken from one scan and shuffled once. Ids are unique, so a hot
+    value is a hot left key of the anti join only, which adaptive execution splits.
     """
     if not edges:
         raise ValueError("no edges")
@@ -133,8 +136,7 @@ def fk_audit(tables: Mapping[str, DataFrame], edges: Sequence[Edge], key: str =
         tables[name].select(F.lit(name).alias("target"), F.col(key).cast("string").alias("value"))
         for name in dict.fromkeys(e.target for e in edges)
     )
-    missing = refs.select("target", "value").distinct().join(have, ["target", "value"], "left_anti")
-    return refs.join(missing, ["target", "value"]).select("table", "id", "fk", "value")
+    return refs.join(have, ["target", "value"], "left_anti").select("table", "id", "fk", "value")
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
@@ -156,9 +158,33 @@ def config_dedup(configs: DataFrame, config: str, *same: str) -> DataFrame:
 
     A text that is no JSON is only equal to itself.
     """
-    groups = config_groups(configs, config, *same)
+    keys = [*same, "__h"]
+    groups = config_groups(configs, config, *same).drop("n_configs").withColumnsRenamed({k: f"__g{k}" for k in keys})
     rows = _hashed(configs, config)
-    return attach_to_rows(rows, groups, [*same, "__h"], "n_configs", F.col("id")).drop("__h", "n_configs")
+    on = [rows[k].eqNullSafe(groups[f"__g{k}"]) for k in keys]
+    # A group that many rows share is a hot key on the left, which adaptive execution splits.
+    return rows.join(groups, on, "left").drop("__h", *[f"__g{k}" for k in keys])
+
+
+def duplicate_configs(configs: DataFrame, config: str, *same: str) -> DataFrame:
+    """Groups of equal configurations that are stored more than once: the id to use and the size."""
+    return config_groups(configs, config, *same).filter("n_configs > 1").drop("__h")
+
+
+def add_configs(batch: DataFrame, current: DataFrame, config: str, *same: str) -> DataFrame:
+    """The batch with ``config_id`` and ``is_new``: the lowest stored id of an equal configuration, else one of the batch.
+
+    Configurations that are equal within the batch share its lowest id; the rows to insert are those
+    that are new and carry their own id.
+    """
+    keys = [*same, "__h"]
+    have = config_groups(current, config, *same).select(*keys, F.col("canonical_id").alias("__have"))
+    own = config_groups(batch, config, *same).select(*keys, F.col("canonical_id").alias("__own"))
+    known = own.withColumnsRenamed({k: f"__o{k}" for k in keys})
+    known = known.join(have, [known[f"__o{k}"].eqNullSafe(have[k]) for k in keys], "left").drop(*keys)
+    rows = _hashed(batch, config)
+    found = rows.join(known, [rows[k].eqNullSafe(known[f"__o{k}"]) for k in keys], "left")
+    return found.select(*batch.columns, F.coalesce("__have", "__own").alias("config_id"), F.col("__have").isNull().alias("is_new"))
 
 
 def _hashed(configs: DataFrame, config: str) -> DataFrame:

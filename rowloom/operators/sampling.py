@@ -6,14 +6,15 @@ Nothing is sorted as a whole: histograms of the hash narrow down the slice in wh
 step is a job over the key column alone that returns one row, and there is one step for up to
 2^20 rows, two up to 2^30, three up to 2^46. The bound goes into the plan as a literal, so the
 pass over the full rows is a filter or a projection without a shuffle. A costly input is best
-written out (or checkpointed) first, since the steps and the final pass each read it.
+written out (or checkpointed) first, since the steps and the final pass each read it. Keys may repeat and may
+be null; counts stay exact.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import BUCKET_BITS, bucket
@@ -37,32 +38,65 @@ def train_salt(step: str) -> str:
     return f"{TRAIN_SEED}:{step}"
 
 
-def cut_after(df: DataFrame, key: str, salt: str, wanted: int, n: int) -> tuple[int, str] | None:
-    """The (hash, key) of the ``wanted``-th of ``n`` rows in hash order; None if no row is wanted."""
+def cut_after(df: DataFrame, key: str, salt: str, wanted: int, n: int) -> tuple[int, str, int, int] | None:
+    """Where the ``wanted``-th of ``n`` rows lies in hash order: hash, key, how many rows of that key are wanted, how many there are.
+
+    None if no row is wanted. Rows with one key are counted, never ranked.
+    """
     if wanted <= 0 or n <= 0:
         return None
-    rows = df.select(bucket(salt, key).alias("h"), F.col(key).cast("string").alias("k"))
+    rows = df.select(bucket(salt, key).alias("h"), _text(key).alias("k"))
     left = BUCKET_BITS
     for bits in STEP_BITS:
         if n <= RANKED_ROWS or left < bits:
             break
         left -= bits
         slot = F.shiftright("h", left)
-        sizes = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-        upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("slot")))  # at most 2^bits rows
-        found = upto.filter(F.col("upto") >= wanted).orderBy("slot").first()
+        found = _first_over(rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")), "slot", wanted)  # at most 2^bits rows
         rows = rows.filter(slot == found["slot"])
         wanted, n = wanted - (found["upto"] - found["n"]), found["n"]
-    ranked = rows.withColumn("r", F.row_number().over(Window.orderBy("h", "k")))
-    last = ranked.filter(F.col("r") == wanted).first()
-    return last["h"], last["k"]
+    last = _first_over(rows.groupBy("h", "k").agg(F.count("*").alias("n")), ["h", "k"], wanted)
+    return last["h"], last["k"], wanted - (last["upto"] - last["n"]), last["n"]
+
+
+def _first_over(sizes: DataFrame, order: str | list[str], wanted: int) -> Row:
+    """The first row at which the running sum of ``n`` reaches ``wanted``."""
+    order = [order] if isinstance(order, str) else order
+    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return upto.filter(F.col("upto") >= wanted).orderBy(*order).first()
 
 
-def _in_head(key: str, salt: str, cut: tuple[int, str] | None) -> Column:
+def _text(key: str) -> Column:
+    """The key as it is compared: null is a key, the same as empty text."""
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
+def _marked(df: DataFrame, key: str, salt: str, wanted: int, n: int) -> DataFrame:
+    """Add ``__head``: true for exactly ``wanted`` rows, the first in hash order.
+
+    With keys that tell rows apart this is a comparison with two literals. If the last key is only
+    wanted in part, its rows are ordered by a hash of all columns, and of rows that are equal in
+    all of them as many as needed are taken by count.
+    """
+    cut = cut_after(df, key, salt, wanted, n)
     if cut is None:
-        return F.lit(False)
-    h = bucket(salt, key)
-    return (h < cut[0]) | ((h == cut[0]) & (F.col(key).cast("string") <= cut[1]))
+        return df.withColumn("__head", F.lit(False))
+    h, k, take, there = cut
+    at = bucket(salt, key)
+    before, same = (at < h) | ((at == h) & (_text(key) < k)), (at == h) & (_text(key) == k)
+    if take == there:
+        return df.withColumn("__head", before | same)
+    others = df.filter(~same).withColumn("__head", before)
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("__row")
+    tied = df.filter(same).withColumn("__row", row)
+    last = cut_after(tied, "__row", salt, take, there)
+    at = bucket(salt, "__row")
+    before, same = (at < last[0]) | ((at == last[0]) & (F.col("__row") < last[1])), F.col("__row") == last[1]
+    rest = tied.filter(~same).withColumn("__head", before).drop("__row")
+    # These rows are all the same: one of them, repeated as often as there are.
+    copy = F.explode(F.sequence(F.lit(1), F.lit(last[3])))
+    equal = tied.filter(same).limit(1).withColumn("__head", copy).withColumn("__head", F.col("__head") <= last[2]).drop("__row")
+    return others.unionByName(rest).unionByName(equal)
 
 
 def _share_up(share: float, n: int) -> int:
@@ -80,20 +114,18 @@ def downsample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     if fraction >= 1.0:
         return df
     n, salt = df.count(), train_salt("frac")
-    return df.filter(~_in_head(key, salt, cut_after(df, key, salt, _share_up(fraction, n), n)))
+    return _marked(df, key, salt, _share_up(fraction, n), n).filter("NOT __head").drop("__head")
 
 
-def _test_rows(df: DataFrame, key: str, split: float, n: int) -> Column:
+def _split(df: DataFrame, key: str, split: float, n: int) -> DataFrame:
     _check("split", split)
-    salt = train_salt("split")
-    wanted = 0 if split >= 1.0 else _share_up(split, n)
-    return _in_head(key, salt, cut_after(df, key, salt, wanted, n))
+    marked = _marked(df, key, train_salt("split"), 0 if split >= 1.0 else _share_up(split, n), n)
+    return marked.withColumn("split", F.when(F.col("__head"), TEST).otherwise(TRAIN)).drop("__head")
 
 
 def train_test_split(df: DataFrame, key: str, split: float = DEFAULT_SPLIT) -> DataFrame:
     """Add ``split``: ``ceil((1 - split) * n)`` rows are test, the others train."""
-    test = _test_rows(df, key, split, df.count() if split < 1.0 else 0)
-    return df.withColumn("split", F.when(test, TEST).otherwise(TRAIN))
+    return _split(df, key, split, df.count() if split < 1.0 else 0)
 
 
 def holdout(df: DataFrame, key: str, validation: float = 0.05) -> DataFrame:
@@ -119,12 +151,12 @@ def sample_and_split(
     if fraction < 1.0:
         _check("fraction", fraction)
         dropped = _share_up(fraction, n)
-        train = train.filter(~_in_head(key, salt, cut_after(train, key, salt, dropped, n)))
+        train = _marked(train, key, salt, dropped, n).filter("NOT __head").drop("__head")
         n -= dropped
     if sizes[EVAL] or sizes[TEST]:
         given = EVAL if sizes[EVAL] else TEST
         return train.unionByName(df.filter(F.col("split") == given).withColumn("split", F.lit(TEST)))
-    return train.withColumn("split", F.when(_test_rows(train, key, split, n), TEST).otherwise(TRAIN))
+    return _split(train, key, split, n)
 
 
 def eval_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
@@ -132,7 +164,7 @@ def eval_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     if not 0.0 <= fraction <= 1.0:
         raise ValueError("fraction must lie between 0 and 1")
     n, salt = df.count(), f"{EVAL_SEED}:eval"
-    return df.filter(_in_head(key, salt, cut_after(df, key, salt, round(fraction * n), n)))
+    return _marked(df, key, salt, round(fraction * n), n).filter("__head").drop("__head")
 
 
 def preview(df: DataFrame, key: str, n: int, seed: int | str = 0) -> DataFrame:

@@ -12,8 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.operators.bounded import spread_out
-
 INPUTS: dict[str, str] = {
     # User turns with the assistant turn that follows.
     "pairs": """
@@ -143,19 +141,17 @@ def for_spark(sql: str, source: Callable[[str], str]) -> str:
     return _TABLE.sub(lambda m: source(m.group(1)), sql).strip()
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table; with ``spread`` a small one is spread over all cores."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_out(df) if spread else df
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def given(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
-    """An input by name; with ``spread`` the small tables it comes from are spread over all cores."""
+def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """An input by name."""
 
     def source(table_name: str) -> str:
         # The view is bound when the text below is analysed, so the next call may replace it.
         view = f"given_{table_name}"
-        table(spark, folder, table_name, spread).createOrReplaceTempView(view)
+        table(spark, folder, table_name).createOrReplaceTempView(view)
         return view
 
     return spark.sql(for_spark(INPUTS[name], source))

@@ -128,34 +128,50 @@ def split_sizes(spark, sf):
     return sampling.split_sizes(sample_and_split(spark, sf))
 
 
-SHARDS, LENGTH = 32, packing.SHORT_BLOCK
-TOKENS = f"""
+LENGTH = packing.SHORT_BLOCK
+TOKENS = """
     t AS (SELECT @b(pack;doc_id) AS h, doc_id, list_append(regexp_extract_all(text, '\\S+'), '</s>') AS tokens FROM @documents),
-    u AS (SELECT h % {SHARDS} AS shard, h, doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t),
-    p AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, i) - 1 AS pos FROM u)"""
+    u AS (SELECT h, doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM t),
+    p AS (SELECT *, row_number() OVER (ORDER BY h, doc_id, i) - 1 AS pos FROM u)"""
 
 
-@query(
-    "pack_sequences",
-    f"""WITH {TOKENS},
-        b AS (SELECT shard, pos // {LENGTH} AS block, COUNT(*) AS n_tokens, COUNT(DISTINCT doc_id) AS n_pieces,
-                     md5(string_agg(token, ' ' ORDER BY pos)) AS content FROM p GROUP BY 1, 2)
-        SELECT shard, block, n_pieces, content FROM b WHERE n_tokens = {LENGTH}""",
-)
+def _packed_sql(length: int) -> str:
+    return f"""WITH {TOKENS}
+        SELECT pos // {length} AS block, COUNT(*) AS n_tokens, COUNT(DISTINCT doc_id) AS n_pieces,
+               md5(string_agg(token, ' ' ORDER BY pos)) AS content FROM p GROUP BY 1"""
+
+
+def _packed(spark, sf, length):
+    packed = packing.pack_sequences(table(spark, sf, "documents"), "doc_id", "text", length)
+    content = F.md5(F.array_join("tokens", " ")).alias("content")
+    return packed.select("block", "n_tokens", F.col("n_pieces").cast("bigint").alias("n_pieces"), content)
+
+
+@query("pack_sequences", _packed_sql(packing.SHORT_BLOCK))
 def pack_sequences(spark, sf):
-    packed = packing.pack_sequences(table(spark, sf, "documents"), "doc_id", "text", LENGTH, SHARDS)
-    return packed.select(
-        "shard",
-        "block",
-        F.col("n_pieces").cast("bigint").alias("n_pieces"),
-        F.md5(F.array_join("tokens", " ")).alias("content"),
-    )
+    return _packed(spark, sf, packing.SHORT_BLOCK)
+
+
+@query("pack_long_sequences", _packed_sql(packing.LONG_BLOCK))
+def pack_long_sequences(spark, sf):
+    return _packed(spark, sf, packing.LONG_BLOCK)
 
 
 @query(
     "dropped_tokens",
     f"""WITH {TOKENS}
-        SELECT shard, COUNT(*) AS n_tokens, COUNT(*) // {LENGTH} AS n_blocks, COUNT(*) % {LENGTH} AS dropped FROM p GROUP BY shard""",
+        SELECT COUNT(*) AS n_tokens, COUNT(*) // {LENGTH} AS n_blocks, COUNT(*) % {LENGTH} AS dropped FROM p""",
 )
 def dropped_tokens(spark, sf):
-    return packing.dropped_tokens(table(spark, sf, "documents", spread=True), "doc_id", "text", LENGTH, SHARDS)
+    return packing.dropped_tokens(table(spark, sf, "documents"), "text", LENGTH)
+
+
+@query(
+    "split_repeated_keys",
+    """WITH n AS (SELECT COUNT(*) AS n FROM @lineitem)
+       SELECT n - CAST(ceil(n * (1.0::DOUBLE - 0.7::DOUBLE)) AS BIGINT) AS n_train, CAST(ceil(n * (1.0::DOUBLE - 0.7::DOUBLE)) AS BIGINT) AS n_test FROM n""",
+)
+def split_repeated_keys(spark, sf):
+    """Order keys repeat over the lines of an order; the sizes are exact all the same."""
+    split = sampling.train_test_split(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate"), "l_orderkey", 0.7)
+    return split.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))

@@ -90,7 +90,7 @@ def placeholders(spark, sf):
     )
 
 
-_PRIORITY = "[" + ", ".join(f"'{name}'" for name in template_choice.output_names()) + "]"
+_PRIORITY = "[" + ", ".join(f"'{name}'" for name in template_choice.OUTPUT_NAMES) + "]"
 _LINE = "'<' || upper(f[1]) || lower(f[2:]) || '>: {' || f || '}' || chr(10)"
 _HEAD = template_choice.PROMPT_HEAD.strip()
 
@@ -107,7 +107,7 @@ _HEAD = template_choice.PROMPT_HEAD.strip()
         FROM o""",
 )
 def generate_templates(spark, sf):
-    datasets = parsed_features(given(spark, sf, "datasets", spread=True).select("id", "features"), "features")
+    datasets = parsed_features(given(spark, sf, "datasets").select("id", "features"), "features")
     made = template_choice.generate_templates(datasets, "features")
     return made.select("id", "output_column", "prompt_template", "completion_template")
 
@@ -147,7 +147,7 @@ def format_template_text(spark, sf):
 )
 def template_audit(spark, sf):
     datasets = parsed_features(given(spark, sf, "datasets"), "features")
-    return template_choice.template_audit(given(spark, sf, "prompts", spread=True), datasets, "prompt_template", "features")
+    return template_choice.template_audit(given(spark, sf, "prompts"), datasets, "prompt_template", "features")
 
 
 @query(
@@ -175,7 +175,7 @@ _FORMATS = ", ".join(
         SELECT id, CASE WHEN n > 0 THEN name END AS format, CAST(n AS BIGINT) AS overlap FROM r WHERE rn = 1""",
 )
 def best_format(spark, sf):
-    datasets = parsed_features(given(spark, sf, "datasets", spread=True).select("id", "features"), "features")
+    datasets = parsed_features(given(spark, sf, "datasets").select("id", "features"), "features")
     matched = template_choice.best_format(datasets, "features")
     return matched.select("id", "format", F.col("overlap").cast("bigint").alias("overlap"))
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session should carry, on a laptop or on a cluster.
 CONF = {
@@ -29,20 +28,26 @@ def build_session(app: str = "rowloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting falls back to a folder of this machine.
-    """
+    """The folder all executors see, as the session names it in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    local = tempfile.mkdtemp(prefix="rowloom-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return named.rstrip("/")
+
+
+def work_in(spark: SparkSession, folder: str) -> None:
+    """Name the working folder of a session that has none yet."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", folder)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; every call gives another one."""
     return f"{shared_dir(spark)}/rowloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder, read from there."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

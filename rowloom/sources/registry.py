@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,23 @@ def export_compact(tables: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
+def import_snapshot(spark: SparkSession, path: str, current: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables of a written snapshot merged into the current ones.
+
+    The folders of the snapshot say which tables it has; an unknown one is refused before anything
+    is read. A table that is not current yet consists of the snapshot's rows.
+    """
+    folders = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("path")
+    names = sorted({row["path"].rstrip("/").split("/")[-3] for row in folders.collect()})
+    for name in names:
+        check_table(name)
+    merged = dict(current)
+    for name in names:
+        incoming = read_snapshot(spark, path, name)
+        merged[name] = merge_snapshot(name, current[name] if name in current else incoming.limit(0), incoming)
+    return merged
+
+
 def merge_snapshot(table: str, current: DataFrame, incoming: DataFrame, position: str | None = None) -> DataFrame:
     """Current rows and the incoming rows with new ids.
 
@@ -131,6 +148,8 @@ def merge_snapshot(table: str, current: DataFrame, incoming: DataFrame, position
     columns = current.columns
     order = F.col(position) if position else F.to_json(F.struct(*incoming.columns))
     row = F.struct(*[c for c in incoming.columns if c != position])
-    first = incoming.groupBy("id").agg(F.min_by(row, order).alias("r")).select("r.*")
-    added = first.join(current.select("id"), "id", "left_anti")
+    # Only rows with new ids are reduced.
+    new = incoming.join(current.select("id"), "id", "left_anti").select(F.col("id").alias("__id"), row.alias("__row"), order.alias("__order"))
+    first = F.row_number().over(Window.partitionBy("__id").orderBy("__order"))
+    added = new.withColumn("__first", first).filter("__first = 1").select("__row.*")
     return current.unionByName(added, allowMissingColumns=True).select(*columns)

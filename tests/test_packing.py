@@ -5,39 +5,35 @@ import pytest
 from rowloom.operators import packing
 
 
-def expected(rows, length, shards, separator):
-    streams = {}
-    for key, text in sorted(rows, key=lambda r: (bucket(r[0]), r[0])):
-        tokens = (text or "").split() + ([separator] if separator else [])
-        streams.setdefault(bucket(key) % shards, []).extend(tokens)
-    return {
-        (s, b): tokens[b * length : (b + 1) * length]
-        for s, tokens in streams.items()
-        for b in range(len(tokens) // length)
-    }, {s: len(tokens) for s, tokens in streams.items()}
-
-
 def bucket(key):
-    return int(hashlib.md5(f"pack:{key}".encode()).hexdigest()[:15], 16)
+    return int(hashlib.md5(f"pack:{'' if key is None else key}".encode()).hexdigest()[:15], 16)
 
 
-@pytest.mark.parametrize("separator", ["</s>", None])
-@pytest.mark.parametrize("shards", [1, 3])
-def test_blocks(spark, shards, separator):
-    rows = [(i, " ".join(f"t{i}_{j}" for j in range((i * 7) % 40))) for i in range(60)] + [(60, None)]
-    want, sizes = expected(rows, 16, shards, separator)
-    df = spark.createDataFrame(rows, "k bigint, t string").repartition(5)
-    got = packing.pack_sequences(df, "k", "t", 16, shards, separator=separator).collect()
-    assert {(r["shard"], r["block"]): r["tokens"] for r in got} == want
-    left = {r["shard"]: (r["n_tokens"], r["n_blocks"], r["dropped"]) for r in packing.dropped_tokens(df, "k", "t", 16, shards, separator=separator).collect()}
-    assert left == {s: (n, n // 16, n % 16) for s, n in sizes.items()}
+def expected(rows, length, separator):
+    tokens = []
+    for key, text in sorted(rows, key=lambda r: (bucket(r[0]), r[0] is not None, r[0] or 0, r[1] or "")):
+        tokens += (text or "").split() + ([separator] if separator else [])
+    return {b: tokens[b * length : (b + 1) * length] for b in range(-(-len(tokens) // length))}, len(tokens)
 
 
-def test_shard_count():
-    assert packing.shards_for(1) == 1 and packing.shards_for(100_000_001) == 3
+ROWS = [(i, " ".join(f"t{i}_{j}" for j in range((i * 7) % 40))) for i in range(60)] + [(60, None), (7, "same key"), (None, "no key"), (3, "x " * 100)]
 
 
-def test_one_shuffle(spark):
-    df = spark.range(100).selectExpr("id AS k", "'a b c' AS t")
-    plan = packing.pack_sequences(df, "k", "t", 8, 4)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize("separator", ["</s>", None])
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_blocks(spark, parts, separator):
+    want, size = expected(ROWS, 16, separator)
+    df = spark.createDataFrame(ROWS, "k bigint, t string").repartition(parts)
+    got = packing.pack_sequences(df, "k", "t", 16, separator=separator).collect()
+    assert {r["block"]: r["tokens"] for r in got} == want
+    assert sum(r["n_tokens"] for r in got) == size and all(r["n_tokens"] == len(r["tokens"]) for r in got)
+    full = packing.pack_sequences(df, "k", "t", 16, separator=separator, drop_tail=True).collect()
+    assert len(full) == size // 16
+    assert tuple(packing.dropped_tokens(df, "t", 16, separator=separator).first()) == (size, size // 16, size % 16)
+
+
+def test_short_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "one two")], "k bigint, t string")
+    assert [r["tokens"] for r in packing.pack_sequences(df, "k", "t").collect()] == [["one", "two", "</s>"]]
+    assert packing.pack_sequences(df.limit(0), "k", "t").count() == 0
+    assert tuple(packing.dropped_tokens(df.limit(0), "t").first()) == (0, 0, 0)

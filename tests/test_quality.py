@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from rowloom.operators import boards, quality
-from rowloom.operators.bounded import attach_to_rows, broadcast_if_few
 
 
 def rules(spark, values):
@@ -47,20 +46,37 @@ def test_config_dedup(spark):
     assert {k: got[k] for k in ("c1", "c2", "c3", "c4", "c5", "c6")} == {"c1": "c1", "c2": "c2", "c3": "c1", "c4": "c4", "c5": "c5", "c6": "c5"}
 
 
-def test_hot_keys_give_the_same_join(spark):
-    df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
-    groups = df.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    plain = attach_to_rows(df, groups, ["k"], "n", F.col("id"))
-    salted = attach_to_rows(df, groups, ["k"], "n", F.col("id"), hot_rows=100)
-    want = {(r["id"], r["first"]) for r in plain.collect()}
-    rows = salted.collect()
-    assert len(rows) == 5000 and {(r["id"], r["first"]) for r in rows} == want
-    assert "__salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+def test_configs_are_reused(spark):
+    schema = "id string, type string, config string"
+    current = spark.createDataFrame([("c2", "a", '{"x": 1, "y": 2}'), ("c1", "a", '{"y":2,"x":1}'), ("c3", "b", '{"x": 1, "y": 2}'), ("c4", None, "no json")], schema)
+    batch = spark.createDataFrame(
+        [("n1", "a", '{"y": 2.0, "x": 1}'), ("n3", "a", '{"z": 1}'), ("n2", "a", '{ "z":1}'), ("n4", "b", '{"z":1}'), ("n5", None, "no json"), ("n6", "a", None)], schema
+    )
+    found = {r["id"]: (r["config_id"], r["is_new"]) for r in quality.add_configs(batch, current, "config", "type").collect()}
+    assert found == {"n1": ("c1", False), "n2": ("n2", True), "n3": ("n2", True), "n4": ("n4", True), "n5": ("c4", False), "n6": ("n6", True)}
+    twice = quality.duplicate_configs(current, "config", "type").collect()
+    assert [(r["type"], r["canonical_id"], r["n_configs"]) for r in twice] == [("a", "c1", 2)]
+
+
+def test_names_are_stripped_of_all_white_space(spark):
+    df = spark.createDataFrame([("a\n",), ("a",), ("\t b",)], "name string")
+    assert [tuple(r) for r in quality.duplicate_names(df, "name").collect()] == [("a", 2)]
+    assert quality.names_taken(spark.createDataFrame([(" b\r\n",), ("c",)], "name string"), df, "name").count() == 1
+
+
+def test_latest_per_parent_with_text_ids(spark):
+    rows = [("p", "b", "2024-01-02"), ("p", "a", "2024-01-02"), ("p", "z", "2023-01-01"), ("q", "x", None), ("q", "y", "2020-01-01")]
+    df = spark.createDataFrame(rows, "parent string, id string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    assert sorted((r["parent"], r["id"]) for r in boards.latest_per_parent(df, "parent", "at", "id").collect()) == [("p", "a"), ("q", "y")]
 
 
-def test_broadcast_only_what_is_few(spark):
-    assert broadcast_if_few(spark.range(10), 5).count() == 10
-    assert "hint" in broadcast_if_few(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
+def test_references_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables = {"a": spark.range(10).selectExpr("id", "id AS x", "id AS y"), "b": spark.range(5).select("id")}
+    found = quality.fk_audit(tables, [quality.Edge("a", "x", "b"), quality.Edge("a", "y", "b")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and found.count() == 10
 
 
 def test_references(spark):

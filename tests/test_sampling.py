@@ -115,3 +115,16 @@ def test_split_params(spark):
     )
     found = {r[0]: (r[1], r[2]) for r in S.split_params(adapters, jobs).collect()}
     assert found == {"a1": (0.7, 0.8), "a2": (1.0, 0.9), "a3": (0.7, 0.8)}
+
+
+def test_repeated_and_null_keys_are_counted_exactly(spark):
+    repeated = spark.range(1000).selectExpr("id % 50 AS k", "id AS v")
+    assert S.downsample(repeated, "k", 0.51).count() == 510
+    equal = spark.range(1000).selectExpr("id % 3 AS k")
+    split = S.train_test_split(equal, "k", 0.7).groupBy("split", "k").count().collect()
+    assert sum(r["count"] for r in split if r["split"] == "test") == 301 and sum(r["count"] for r in split) == 1000
+    nulls = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k bigint")
+    assert S.train_test_split(nulls, "k", 0.3).filter("split = 'test'").count() == 3
+    assert S.downsample(spark.createDataFrame([(None,)] * 10, "k bigint"), "k", 0.5).count() == 5
+    a, b = (sorted(map(tuple, S.downsample(repeated.repartition(n), "k", 0.51).collect())) for n in (1, 7))
+    assert a == b
