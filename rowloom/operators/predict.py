@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import time
+import types
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Iterator, Tuple
 
@@ -33,21 +36,27 @@ def batch_predict(
 ) -> DataFrame:
     """Add ``prediction`` and ``latency`` (seconds per row of the batch).
 
-    ``load(model, adapter)`` is called when a worker first meets that pair. A worker keeps one
-    model, which suits rows that arrive model by model; use ``fanout_models`` before, and write
-    or repartition by run where loading is costly.
+    Rows are range partitioned by model, adapter and a hash of the prompt, so a task has one model or
+    a few in a row, and a model with most of the rows is split. ``load(model, adapter)`` is called when a worker
+    process first meets that pair; the process keeps the last model over all its tasks.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = [c for c in ("model", "adapter") if c in df.columns]
+    place = df.withColumn("__place", F.xxhash64(prompt)).repartitionByRange(parts, *runs, "__place")
+    df = (place.sortWithinPartitions(*runs) if runs else place).drop("__place")
+    plan = uuid.uuid4().hex
 
     def run(batches: Iterator[Tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        loaded: dict[tuple, Predict] = {}
+        # A module of the process outlives the task; what is unpickled with the task does not.
+        loaded = sys.modules.setdefault("rowloom_loaded_models", types.ModuleType("rowloom_loaded_models")).__dict__.setdefault("models", {})
         for prompts, models, adapters in batches:
             outputs, seconds = [None] * len(prompts), [0.0] * len(prompts)
             runs = pd.DataFrame({"m": models, "a": adapters}).reset_index(drop=True)
             for (model, adapter), rows in runs.groupby(["m", "a"], dropna=False, sort=False).groups.items():
-                name = (None if pd.isna(model) else model, None if pd.isna(adapter) else adapter)
+                name = (plan, None if pd.isna(model) else model, None if pd.isna(adapter) else adapter)
                 if name not in loaded:
                     loaded.clear()
-                    loaded[name] = load(*name)
+                    loaded[name] = load(*name[1:])
                 rows = list(rows)
                 for at in range(0, len(rows), batch_size):
                     part = rows[at : at + batch_size]

@@ -22,17 +22,17 @@ from rowloom.streaming import streams
 def scan_csv(spark, sf):
     path = fresh_path(spark, "csv")
     results.export_csv(table(spark, sf, "documents"), path)
-    read = datasets.read_dataset(spark, path, "csv")
+    read = datasets.read_dataset(spark, path, "csv", multiline=True)  # texts have line breaks
     return read.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "n_chars": F.col("n_chars").cast("bigint")})
 
 
 @query("scan_json", "SELECT page_id, url, html, 'train' AS split FROM @pages")
 def scan_json(spark, sf):
-    # Files that each hold one array, of the pages of a range of a hundred ids.
+    # Files that each hold one array, of the pages of a range of a hundred ids, side by side in one folder.
     path = fresh_path(spark, "json")
     rows = table(spark, sf, "pages").withColumn("part", F.floor(F.col("page_id") / 100))
     arrays = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("page_id", "url", "html"))).alias("value"))
-    arrays.write.partitionBy("part").text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", "1").text(path)
     return datasets.read_dataset(spark, path, "json").select("page_id", "url", "html", "split")
 
 
@@ -77,6 +77,25 @@ def dataset_features(spark, sf):
     return listed.groupBy(F.array_join("features", "|").alias("features")).agg(F.count("*").alias("n_records"))
 
 
+@query(
+    "path_features",
+    """SELECT kind, features FROM (VALUES ('csv', 'conv_id|turn|role'), ('json', 'turn|role|conv_id'), ('jsonl', 'turn|role|conv_id'), ('parquet', 'conv_id|turn|role')) t(kind, features)
+       WHERE EXISTS (SELECT 1 FROM @conversations)""",
+)
+def path_features(spark, sf):
+    """The features of one dataset stored in four ways, each listed from its path."""
+    rows = table(spark, sf, "conversations").filter("role IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role")
+    turned, paths = rows.select("turn", "role", "conv_id"), {kind: fresh_path(spark, kind) for kind in ("csv", "json", "jsonl", "parquet")}
+    results.export_csv(rows, paths["csv"])
+    rows.write.parquet(paths["parquet"])
+    turned.write.json(paths["jsonl"])
+    turned.groupBy(F.floor(F.col("conv_id") / 1000)).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).select("value").write.option(
+        "maxRecordsPerFile", "1"
+    ).text(paths["json"])
+    found = [(kind, "|".join(datasets.dataset_features(spark, path, kind))) for kind, path in paths.items()]
+    return spark.createDataFrame(found, "kind string, features string")
+
+
 @query(
     "dataset_catalog",
     """SELECT id, trim(name) AS name, CAST(len(CAST(features AS VARCHAR[])) AS BIGINT) AS n_features,
@@ -100,7 +119,7 @@ def split_orient_table(spark, sf):
     row = F.array(F.col("lang"), F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
     names = F.array(F.lit("lang"), F.lit("doc_id"), F.lit("n_chars"))
     tables = docs.groupBy("part").agg(F.to_json(F.struct(names.alias("columns"), F.collect_list(row).alias("data"))).alias("value"))
-    tables.write.partitionBy("part").text(path)
+    tables.select("value").write.option("maxRecordsPerFile", "1").text(path)
     schema = T.StructType().add("doc_id", "long").add("lang", "string").add("n_chars", "long")
     return datasets.read_split_orient(spark, path, schema)
 
@@ -123,7 +142,7 @@ def export_results_csv(spark, sf):
     path = fresh_path(spark, "results-csv")
     results.export_csv(given(spark, sf, "predictions").select("row_id", "run", "prediction", "latency"), path)
     schema = "row_id bigint, run string, prediction string, latency double"
-    return datasets.read_dataset(spark, path, "csv", schema).drop("split")
+    return datasets.read_dataset(spark, path, "csv", schema, multiline=True).drop("split")
 
 
 @query(

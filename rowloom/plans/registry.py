@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.functions.names import status_label
+from rowloom.functions.hashing import bucket
 from rowloom.operators import boards, quality
 from rowloom.operators.projection import nested_or
 from rowloom.plans import query
@@ -289,6 +290,53 @@ def config_dedup(spark, sf):
     return quality.config_dedup(configs, "config", "type", "model_family").select("id", "canonical_id")
 
 
+@query(
+    "config_reuse",
+    f"""WITH k AS (SELECT *, {_CANON} AS canon, @b(stored;id) % 3 > 0 AS stored FROM #configs),
+        have AS (SELECT type, model_family, canon, min(id) AS have FROM k WHERE stored GROUP BY ALL),
+        own AS (SELECT type, model_family, canon, min(id) AS own FROM k WHERE NOT stored GROUP BY ALL)
+        SELECT k.id, coalesce(have, own) AS config_id, have IS NULL AS is_new FROM k
+        JOIN own ON k.type IS NOT DISTINCT FROM own.type AND k.model_family IS NOT DISTINCT FROM own.model_family AND k.canon = own.canon
+        LEFT JOIN have ON k.type IS NOT DISTINCT FROM have.type AND k.model_family IS NOT DISTINCT FROM have.model_family AND k.canon = have.canon
+        WHERE NOT stored""",
+)
+def config_reuse(spark, sf):
+    """A third of the configurations arrives at a table of the others."""
+    configs = given(spark, sf, "configs")
+    stored = F.pmod(bucket("stored", "id"), F.lit(3)) > 0
+    found = quality.add_configs(configs.filter(~stored), configs.filter(stored), "config", "type", "model_family")
+    return found.select("id", "config_id", "is_new")
+
+
+@query(
+    "duplicate_configs",
+    f"""SELECT type, model_family, min(id) AS canonical_id, COUNT(*) AS n_configs FROM (SELECT *, {_CANON} AS canon FROM #configs)
+        GROUP BY type, model_family, canon HAVING COUNT(*) > 1""",
+)
+def duplicate_configs(spark, sf):
+    return quality.duplicate_configs(given(spark, sf, "configs"), "config", "type", "model_family")
+
+
+def _import_sql(name):
+    columns = in_schema_order(name)
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in columns)
+    return f"SELECT '{name}' AS \"table\", id, md5(concat_ws('|', {text})) AS content FROM #{name}"
+
+
+@query("registry_import", " UNION ALL ".join(_import_sql(name) for name in TABLES))
+def registry_import(spark, sf):
+    """A snapshot of all tables, written and merged into tables that have half of its rows."""
+    path, tables = fresh_path(spark, "snapshot"), registry_tables(spark, sf)
+    registry.export_snapshot(tables, path)
+    current = {name: df.filter(F.pmod(bucket("half", "id"), F.lit(2)) == 0) for name, df in tables.items()}
+    found = None
+    for name, df in registry.import_snapshot(spark, path, current).items():
+        text = [F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in in_schema_order(name)]
+        part = df.select(F.lit(name).alias("table"), "id", F.md5(F.concat_ws("|", *text)).alias("content"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query(
     "duplicate_names",
     "SELECT trim(name) AS name, COUNT(*) AS n_rows FROM #datasets GROUP BY 1 HAVING COUNT(*) > 1",

@@ -17,13 +17,13 @@ def read_dataset(
     path: str,
     kind: str,
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """A dataset with a ``split`` column; without splits every row is train.
 
     ``kind`` is csv, json (a file holds an array of objects, or one object), jsonl or parquet; a
     parquet dataset may be partitioned by ``split``. Give ``schema`` to save the pass that infers
-    it. CSV files without line breaks inside fields are read in pieces with ``multiline=False``.
+    it. CSV files are read in pieces; with line breaks inside fields (``multiline=True``) a file is one task.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":

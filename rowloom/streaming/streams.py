@@ -22,13 +22,20 @@ def latest_values(series: DataFrame, keys: list[str], value: str, ts: str, tie:
 
 
 def write_latest(latest: DataFrame, path: str, checkpoint: str) -> None:
-    """Run what is available and write the keys that changed, one folder per batch.
+    """Run what is available; after each batch there is one snapshot with a row per key.
 
-    A batch that is run again after a failure replaces its own folder.
+    A batch merges the keys that changed into the snapshot before it. One that is run again after a failure
+    replaces its own snapshot. The snapshot before stays, for readers that have opened it; older ones go.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, keys = batch.sparkSession, [c for c in batch.columns if c != "last"]
+        done = [n for n in _snapshots(spark, path) if n < number]
+        if done:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/snapshot-{done[-1]}"))
+        batch.groupBy(*keys).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
+        for old in done[:-1]:
+            _files(spark, path).delete(_path(spark, f"{path}/snapshot-{old}"), True)
 
     query = (
         latest.writeStream.outputMode("update")
@@ -41,8 +48,26 @@ def write_latest(latest: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The current value per key out of all batches written so far."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.max("last").alias("last")).select(*keys, "last.*")
+    """The current value per key, from the newest finished snapshot alone."""
+    return spark.read.parquet(f"{path}/snapshot-{_snapshots(spark, path)[-1]}").select(*keys, "last.*")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished snapshots, in order."""
+    files, at = _files(spark, path), _path(spark, path)
+    if not files.exists(at):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(at)]
+    numbers = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-")]
+    return sorted(n for n in numbers if files.exists(_path(spark, f"{path}/snapshot-{n}/_SUCCESS")))
 
 
 def render_stream(stream: DataFrame, template: str, path: str, checkpoint: str) -> None:

@@ -177,3 +177,23 @@ def test_batches_and_models(spark):
 def test_strip_prompt(spark):
     row = spark.range(1).select(predict.strip_prompt(F.lit("pröa"), F.lit("prö")), predict.strip_prompt(F.lit("p"), F.lit("p"))).first()
     assert tuple(row) == ("a", "")
+
+
+def test_models_are_loaded_once_per_worker(spark, tmp_path):
+    from rowloom.operators import predict
+
+    log = str(tmp_path / "loads")
+
+    def load(model, adapter):
+        with open(log, "a") as f:
+            f.write(f"{model} {adapter}\n")
+        return lambda prompts: [f"{model}:{p}" for p in prompts]
+
+    rows = spark.range(700).selectExpr("CAST(id AS STRING) AS p").repartition(12)
+    models = [("a", None), ("b", "x"), ("c", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    found = predict.batch_predict(predict.fanout_models(rows, models), "p", load).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 2100 and all(r["prediction"] == f"{r['model']}:{r['p']}" for r in found)
+    with open(log) as f:
+        assert len(f.readlines()) <= 4 * len(models)

@@ -17,7 +17,7 @@ def put(tmp_path, name, text):
 
 def test_csv_with_quoted_commas(spark, tmp_path):
     path = put(tmp_path, "a.csv", 'input,output,score\n"Hello, you","a ""b""\nc",1.0\n"x, y",z,25.0\n')
-    df = datasets.read_dataset(spark, path, "csv")
+    df = datasets.read_dataset(spark, path, "csv", multiline=True)
     assert dict(df.dtypes)["score"] == "double" and df.filter("split = 'train'").count() == 2
     assert df.orderBy("score").first()["output"] == 'a "b"\nc'
     assert datasets.dataset_features(spark, path, "csv") == ["input", "output", "score"]
@@ -73,7 +73,11 @@ def test_results_by_run(spark):
     results.write_results(spark.createDataFrame([("b", 3)], "run string, x int"), path)
     assert sorted(r["x"] for r in results.read_results(spark, path).collect()) == [1, 3]
     pruned = results.read_results(spark, path, ["b"])
-    assert "PartitionFilters: [isnotnull(run" in pruned._jdf.queryExecution().executedPlan().toString() or len(pruned.inputFiles()) >= 1
+    assert [r["x"] for r in pruned.collect()] == [3]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [run" in plan or "PartitionFilters: [isnotnull(run" in plan
+    scans = [m for m in pruned._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in m]
+    assert scans and all("DataFilters: []" in m for m in scans)
     assert [r["x"] for r in pruned.collect()] == [3]
 
 
@@ -81,7 +85,7 @@ def test_csv_export_round_trip(spark):
     path = fresh_path(spark, "t")
     rows = [(1, ' a "q", \n\\ '), (2, ""), (3, None), (4, "é")]
     results.export_csv(spark.createDataFrame(rows, "k int, t string"), path)
-    got = datasets.read_dataset(spark, path, "csv", "k int, t string").drop("split")
+    got = datasets.read_dataset(spark, path, "csv", "k int, t string", multiline=True).drop("split")
     # As in other CSV readers an empty field is an absent one.
     assert {r["k"]: r["t"] for r in got.collect()} == {k: t or None for k, t in rows}
 
