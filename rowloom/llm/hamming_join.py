@@ -20,7 +20,8 @@ GUARANTEED = 2 * CHUNKS - 1
 # At a similarity of 0.8 a signature differs in 14.4 components on average, with a deviation of 3.4. Pairs beyond
 # the guaranteed distance are found too unless every chunk has two errors or more: once in 400,000.
 FAR = 36
-ROUNDS = 8
+BLOCK = 256  # classes that are compared with another block at once
+COLUMNS = 4096  # shingles that are counted at once
 BINARY64, WHOLE = np.dtype("<u8"), "node bigint, signature binary, words binary"
 
 
@@ -35,10 +36,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of a signature gives one key per component left out, so that classes whose chunks differ in one
     component at most meet in a bucket. A bucket never emits all its pairs: classes with an equal chunk
     are compared with the bucket's best connected one first and what is linked becomes one component. Of the
-    buckets with one error only those matter after that in which components meet, and there all
-    pairs of classes of different components are compared (after further rounds with other pivots while those
-    pairs are many). So no link that could join two components is skipped. A pair counts after its
-    signatures (at most 36 of 72 components differ) and its full sets have been compared.
+    buckets with one error only those matter after that in which components meet, and their classes are compared
+    block by block with all those of other components. So no link that could join two components is
+    skipped. A pair counts after its signatures (at most 36 of 72 components differ) and its full sets have been compared.
 
     A null or empty text or one of blanks has an empty set and links with nothing. Rows without an
     id take no part in links and are kept. Repeated rows are copies of each other. Further columns
@@ -91,43 +91,49 @@ def _link(rows: DataFrame, met: DataFrame, words: int, percent: int) -> DataFram
     # A class in many large buckets makes a good pivot; the hash tells equally good ones apart.
     size = F.sum("n").over(Window.partitionBy("node"))
     rank = (F.shiftleft(size, 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank")
-    buckets = written(equal.join(several, "bucket").select("bucket", "node", F.col("node").alias("label"), rank), "equal-chunks")
-    tested = written(_pivot_pairs(buckets, None), "pairs")
-    edges = _confirmed(tested, sets, percent)
+    buckets = written(equal.join(several, "bucket").select("bucket", "node", rank), "equal-chunks")
+    edges = _confirmed(written(_pivot_pairs(buckets), "pairs"), sets, percent)
     # With one error: only buckets where classes of different components meet.
-    for number in range(ROUNDS):
-        labels = components(edges)
-        labelled = met.join(labels, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("label"))
-        keys = labelled.mapInArrow(_labelled_keys, "bucket bigint, node bigint, label bigint, cell bigint, first boolean")
-        parts = keys.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
-        parts = parts.agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        open_buckets = written(parts.filter("labels > 1"), "open-buckets")
-        work = open_buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not work["pairs"]:
-            return labels
-        live = keys.join(open_buckets.select("bucket"), "bucket")
-        last = work["pairs"] <= 4 * work["rows"] or number == ROUNDS - 1
-        pairs = (_all_pairs(live) if last else _pivot_pairs(live.withColumn("rank", F.lit(0)), number)).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested, edges = tested.unionByName(pairs), edges.unionByName(_confirmed(pairs, sets, percent))
-        if last:
-            return components(edges)
-
-
-def _pivot_pairs(live: DataFrame, number: int | None) -> DataFrame:
-    """Every class of a bucket with a pivot under another label: the best ranked one, later any."""
-    rank = F.col("rank") if number is None else F.xxhash64(F.lit(number), "node")
-    pivots = live.groupBy("bucket").agg(F.max_by("node", rank).alias("other"), F.max_by("label", rank).alias("there"))
-    return _pairs(live.join(pivots, "bucket").filter("label <> there"))
-
-
-def _all_pairs(live: DataFrame) -> DataFrame:
-    """All classes of a bucket with all under other labels; chunks that are equal meet in one of their buckets."""
-    other = live.select("bucket", F.col("node").alias("other"), F.col("label").alias("there"), F.col("cell").alias("other_cell"))
-    return _pairs(live.join(other, "bucket").filter("node < other AND label <> there AND (first OR cell <> other_cell)"))
-
-
-def _pairs(met: DataFrame) -> DataFrame:
+    labels = components(edges)
+    labelled = met.join(labels, "node", "left").select("node", "signature", F.coalesce("component", "node").alias("label"))
+    keys = labelled.mapInArrow(_labelled_keys, "bucket bigint, node bigint, label bigint")
+    mixed = keys.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("bucket")
+    live = written(keys.join(mixed, "bucket"), "mixed-buckets")
+    return components(edges.unionByName(_between_components(live, sets, percent)))
+
+
+def _between_components(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between classes of different components that share a bucket.
+
+    Classes are put into blocks of about 256, those that meet the same large component together, and
+    two blocks are compared as wholes where they share a bucket. So neither pairs of classes nor
+    a set per pair are ever shuffled, only a row per pair of blocks.
+    """
+    spark = live.sparkSession
+    parts = live.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("n"))
+    family = live.join(parts, "bucket").groupBy("node", "label").agg(F.max_by("main", "n").alias("family"))
+    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # Small families share blocks with others; large ones are cut by hash.
+    alone = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    total = F.lit(max(1, live.select("node").distinct().count() // BLOCK))
+    block = F.when(F.col("blocks") > 1, alone).otherwise(F.pmod(F.xxhash64("family"), total))
+    placed = written(family.join(sizes, "family").select("node", "label", block.alias("block")), "placed-classes")
+    packed = placed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "label", "signature", "words")).alias("classes"))
+    packed = written(packed, "blocks")
+    touched = live.select("bucket", "node").join(placed.select("node", "block"), "node").select("bucket", "block").distinct()
+    pairs = touched.join(touched.select("bucket", F.col("block").alias("other")), "bucket").filter("block <= other").select("block", "other").distinct()
+    pairs = pairs.join(packed.withColumnRenamed("classes", "left"), "block")
+    pairs = pairs.join(packed.select(F.col("block").alias("other"), F.col("classes").alias("right")), "other").select("left", "right")
+    arrow_batches(spark, 1)
+    found = written(pairs.mapInArrow(_block_links(percent), "a bigint, b bigint"), "links")
+    arrow_batches(spark)
+    return found
+
+
+def _pivot_pairs(buckets: DataFrame) -> DataFrame:
+    """Every class of a bucket with its best ranked one, distinct over all buckets."""
+    pivots = buckets.groupBy("bucket").agg(F.max_by("node", "rank").alias("other"))
+    met = buckets.join(pivots, "bucket").filter("node <> other")
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -194,13 +200,10 @@ def _whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _labelled_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "node", "label", "cell", "first"]
     for batch in batches:
-        cells, keys = _keys(batch)
+        _, keys = _keys(batch)
         node, label = (np.repeat(batch.column(c).to_numpy(), CHUNKS * WIDTH) for c in ("node", "label"))
-        first = np.tile(np.arange(WIDTH) == 0, batch.num_rows * CHUNKS)
-        columns = [signed(keys.reshape(-1)), node, label, signed(np.repeat(cells.reshape(-1), WIDTH)), first]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys.reshape(-1))), pa.array(node), pa.array(label)], names=["bucket", "node", "label"])
 
 
 def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -247,3 +250,52 @@ def _near(percent: int):
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
     return run
+
+
+def _block_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = (batch.column(c)[i].values for c in ("left", "right"))
+                a, b = linked_between(_unpacked(left), _unpacked(right), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _unpacked(classes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    node, label = (classes.field(c).to_numpy() for c in ("node", "label"))
+    signatures = np.frombuffer(b"".join(classes.field("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+    return node, label, signatures, [np.frombuffer(w.as_buffer(), BINARY64) for w in classes.field("words")]
+
+
+def linked_between(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of both blocks that belong to different components and have near signatures and similar sets."""
+    differ = np.zeros((len(left[0]), len(right[0])), np.int16)
+    for k in range(left[2].shape[1]):
+        differ += left[2][:, k, None] != right[2][None, :, k]
+    asked = (differ <= FAR) & (left[1][:, None] != right[1][None, :])
+    rows, columns = np.flatnonzero(asked.any(1)), np.flatnonzero(asked.any(0))
+    if not len(rows):
+        return left[0][:0], right[0][:0]
+    x, y = [left[3][i] for i in rows], [right[3][j] for j in columns]
+    wx, wy = np.concatenate(x), np.concatenate(y)
+    ox, oy = (np.repeat(np.arange(len(z)), [len(w) for w in z]) for z in (x, y))
+    shared = np.intersect1d(wx, wy)  # other shingles are in no intersection
+    common = np.zeros((len(x), len(y)), np.float32)
+    at_x, at_y = np.searchsorted(shared, wx), np.searchsorted(shared, wy)
+    in_x, in_y = at_x < len(shared), at_y < len(shared)
+    in_x[in_x] = shared[at_x[in_x]] == wx[in_x]
+    in_y[in_y] = shared[at_y[in_y]] == wy[in_y]
+    for low in range(0, len(shared), COLUMNS):
+        both = []
+        for n, at, inside, owner in ((len(x), at_x, in_x, ox), (len(y), at_y, in_y, oy)):
+            here = inside & (at >= low) & (at < low + COLUMNS)
+            table = np.zeros((n, COLUMNS), np.float32)
+            table[owner[here], at[here] - low] = 1
+            both.append(table)
+        common += both[0] @ both[1].T
+    sizes = np.array([len(w) for w in x])[:, None] + np.array([len(w) for w in y])[None]
+    good = asked[np.ix_(rows, columns)] & (100 * common >= percent * (sizes - common))
+    i, j = np.nonzero(good)
+    return left[0][rows[i]], right[0][columns[j]]
