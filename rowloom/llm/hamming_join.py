@@ -20,7 +20,7 @@ GUARANTEED = 2 * CHUNKS - 1
 # At a similarity of 0.8 a signature differs in 14.4 components on average, with a deviation of 3.4. Pairs beyond
 # the guaranteed distance are found too unless every chunk has two errors or more: once in 400,000.
 FAR = 36
-BLOCK = 256  # classes that are compared with another block at once
+BLOCK_BYTES = 8 << 20  # shingles of the classes that are compared at once
 COLUMNS = 4096  # shingles that are counted at once
 BINARY64, WHOLE = np.dtype("<u8"), "node bigint, signature binary, words binary"
 
@@ -105,28 +105,32 @@ def _link(rows: DataFrame, met: DataFrame, words: int, percent: int) -> DataFram
 def _between_components(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links between classes of different components that share a bucket.
 
-    Classes are put into blocks of about 256, those that meet the same large component together, and
-    two blocks are compared as wholes where they share a bucket. So neither pairs of classes nor
-    a set per pair are ever shuffled, only a row per pair of blocks.
+    Classes are put into blocks of at most about 8 MB of shingles, those that meet the same large component
+    together. For each pair of blocks with a bucket in common (mostly a block and itself) the classes that such a
+    bucket holds are brought together and compared as wholes. So no pair of classes is ever a
+    row, and a class moves once per block that it meets.
     """
-    spark = live.sparkSession
     parts = live.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("n"))
     family = live.join(parts, "bucket").groupBy("node", "label").agg(F.max_by("main", "n").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    family = written(family.join(sets.select("node", F.octet_length("words").alias("bytes")), "node"), "families")
+    sizes = family.groupBy("family").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
     # Small families share blocks with others; large ones are cut by hash.
     alone = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    total = F.lit(max(1, live.select("node").distinct().count() // BLOCK))
-    block = F.when(F.col("blocks") > 1, alone).otherwise(F.pmod(F.xxhash64("family"), total))
-    placed = written(family.join(sizes, "family").select("node", "label", block.alias("block")), "placed-classes")
-    packed = placed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "label", "signature", "words")).alias("classes"))
-    packed = written(packed, "blocks")
-    touched = live.select("bucket", "node").join(placed.select("node", "block"), "node").select("bucket", "block").distinct()
-    pairs = touched.join(touched.select("bucket", F.col("block").alias("other")), "bucket").filter("block <= other").select("block", "other").distinct()
-    pairs = pairs.join(packed.withColumnRenamed("classes", "left"), "block")
-    pairs = pairs.join(packed.select(F.col("block").alias("other"), F.col("classes").alias("right")), "other").select("left", "right")
-    arrow_batches(spark, 1)
+    total = int((family.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES) + 1
+    block = F.when(F.col("blocks") > 1, alone).otherwise(F.pmod(F.xxhash64("family"), F.lit(total)))
+    placed = family.join(sizes, "family").select("node", "label", block.alias("block"))
+    touched = written(live.select("bucket", "node").join(placed, "node"), "placed-classes")
+    others = touched.select("bucket", F.col("block").alias("other")).distinct()
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    met = touched.join(others, "bucket").select(low, high, "block", "node", "label").distinct()
+    own = F.struct("node", "label", "signature", "words")
+    # The classes of one block, or of two, so what is collected is bounded.
+    sides = [F.collect_list(F.when(F.col("block") == F.col(side), own)).alias(side) for side in ("low", "high")]
+    pairs = met.join(sets, "node").withColumnsRenamed({"low": "l", "high": "h"}).withColumns({"low": F.col("l"), "high": F.col("h")})
+    pairs = pairs.groupBy("l", "h").agg(*sides).select(F.col("low").alias("left"), F.when(F.col("l") != F.col("h"), F.col("high")).alias("right"))
+    arrow_batches(live.sparkSession, 1)
     found = written(pairs.mapInArrow(_block_links(percent), "a bigint, b bigint"), "links")
-    arrow_batches(spark)
+    arrow_batches(live.sparkSession)
     return found
 
 
@@ -256,8 +260,9 @@ def _block_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                left, right = (batch.column(c)[i].values for c in ("left", "right"))
-                a, b = linked_between(_unpacked(left), _unpacked(right), percent)
+                left = _unpacked(batch.column("left")[i].values)
+                other = batch.column("right")[i].values
+                a, b = linked_between(left, left if other is None else _unpacked(other), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -269,8 +274,13 @@ def _unpacked(classes: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return node, label, signatures, [np.frombuffer(w.as_buffer(), BINARY64) for w in classes.field("words")]
 
 
-def linked_between(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def linked_between(left: tuple, right: tuple, percent: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of both blocks that belong to different components and have near signatures and similar sets."""
+    found = [_linked_part(tuple(x[at : at + rows] for x in left), right, percent) for at in range(0, len(left[0]), rows)]
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
+def _linked_part(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray, np.ndarray]:
     differ = np.zeros((len(left[0]), len(right[0])), np.int16)
     for k in range(left[2].shape[1]):
         differ += left[2][:, k, None] != right[2][None, :, k]
