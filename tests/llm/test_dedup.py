@@ -9,6 +9,7 @@ import pytest
 from helpers import no_documents, odd_documents, odd_rows
 from pyspark.sql import functions as F
 
+from rowloom.llm import hamming_join
 from rowloom.llm.common import Words, grams
 from rowloom.llm.components import components
 from rowloom.llm.hamming_join import _chunk_keys, keep_one, minhash_factors, near_duplicates, signature
@@ -51,7 +52,10 @@ def edited(rng, words, share):
     return [rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(999)) if rng.random() < share else w for w in words]
 
 
-def test_near_duplicates_match_all_pairs(spark):
+@pytest.mark.parametrize("block", [8 << 20, 4000])
+def test_near_duplicates_match_all_pairs(spark, monkeypatch, block):
+    # Small blocks, so that components meet across them.
+    monkeypatch.setattr(hamming_join, "BLOCK_BYTES", block)
     rng = random.Random(3)
     rows, number = [], 0
     for group in range(25):
