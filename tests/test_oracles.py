@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as driver
 import check
+from rowloom import plans
 from rowloom.plans.fixtures import TABLES
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -23,7 +24,7 @@ def connection():
     found.close()
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(plans.QUERIES))
 def test_query(spark, connection, name):
     told = check.compare(spark, connection, FOLDER, name)
     assert not told.startswith("FAILED"), told
