@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import arrow_batches, quoted, smallest, text_bytes, written
+from rowloom.llm.common import arrow_batches, quoted, text_bytes, written
 
 WINDOW = 128  # bytes that are judged together
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
@@ -160,7 +160,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     known = rows.filter(F.col("lang").isNotNull() & has_letter("text") & ~held_out("id"))
     keyed = known.withColumn("h", F.xxhash64("id", "text"))
     # Places first, texts after: only ids, languages and hashes are ranked.
-    first = smallest(keyed.select("lang", "h").distinct(), ["lang"], [F.col("h")], texts).groupBy("lang").agg(F.max("h").alias("last"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    first = keyed.select("lang", "h").withColumn("place", place).filter(F.col("place") <= texts).groupBy("lang").agg(F.max("h").alias("last"))
     first = written(first.select(F.col("lang").alias("of"), "last"), "sample-limits")
     sample = keyed.join(first, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("last"))).dropDuplicates(["lang", "h"])
     found = sample.select("lang", "h", "text").mapInArrow(_some_windows, "lang string, h bigint, window binary")
