@@ -181,8 +181,13 @@ def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str,
         F.min(F.when(F.col("__upto") > floor, F.col("__x"))).alias("__lo"),
         F.min(F.when(F.col("__upto") > ceil, F.col("__x"))).alias("__hi"),
         F.max(rank - floor).alias("__part"),
+        # The sketch promises that the rank lies inside the bracket; the counts prove it.
+        F.min(F.when(F.col("__x").isNull(), F.col("__c") <= floor).otherwise(True)).alias("__below"),
+        F.max(F.col("__upto") > ceil).alias("__reached"),
     )
-    return found.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")).alias("quantile"))
+    value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
+    proved = F.when(F.col("__below") & F.col("__reached"), value).otherwise(F.raise_error(F.lit("a quantile lies outside of its bracket")))
+    return found.select(*keys, proved.alias("quantile"))
 
 
 def exact_quantile(long: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
