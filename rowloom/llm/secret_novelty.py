@@ -26,6 +26,7 @@ CANDIDATE_LEAST = 16
 SENSITIVE = re.compile(rb"pass|secret|token|key|auth|credential|private|signature|bearer", re.IGNORECASE)
 NEAR, AROUND = 48, 512  # bytes before a candidate that are searched for such a word; bytes of text it is compared with
 BITS = 3.5  # bits per character that a secret costs at least
+PARTS = re.compile(rb"[^=]+=*$|[^=]+")  # what "=" parts, as in KEY=value; at the end of a run it is padding
 LETTERS = re.compile(rb"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 IDENTIFIERS = 4096  # most common parts of identifiers that prime the compressor
 LEVEL = 3
@@ -74,11 +75,13 @@ class Novelty:
 
 def candidates(text: bytes, member: np.ndarray) -> list[tuple[int, int]]:
     found = []
-    for a, b in runs(np.frombuffer(text, np.uint8), member, CANDIDATE_LEAST):
-        word = text[a:b].rstrip(b".=-") if text[b - 1 : b] in (b".", b"-") else text[a:b]
-        mixed = re.search(rb"[0-9]", word) or (re.search(rb"[a-z]", word) and re.search(rb".[A-Z]", word))
-        if len(word) >= CANDIDATE_LEAST and mixed and re.search(rb"[A-Za-z]", word):
-            found.append((a, a + len(word)))
+    for start, end in runs(np.frombuffer(text, np.uint8), member, CANDIDATE_LEAST):
+        for part in PARTS.finditer(text[start:end]):
+            a, word = start + part.start(), part[0]
+            word = word.rstrip(b".=-") if word[-1:] in (b".", b"-") else word
+            mixed = re.search(rb"[0-9]", word) or (re.search(rb"[a-z]", word) and re.search(rb".[A-Z]", word))
+            if len(word) >= CANDIDATE_LEAST and mixed and re.search(rb"[A-Za-z]", word):
+                found.append((a, a + len(word)))
     return found
 
 
@@ -122,7 +125,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Kinds: ``assign``, ``access`` and ``hex`` are the base patterns. ``novel`` are strings of 16 or more
     of ``A-Za-z0-9+/_.=-`` with a letter and a digit or letters of both cases, outside of base spans, up to 48 bytes after
-    a word such as password, key or auth, that add at least 3.5 bits per character to the compressed
+    a word such as password, key or auth (``KEY=value`` is measured as a name and a value), that add at least 3.5 bits per character to the compressed
     text around them (512 bytes on each side). The compressor is primed with the parts of identifiers
     that are common in all documents, so composed names and repeated strings cost little.
 

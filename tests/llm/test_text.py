@@ -140,6 +140,15 @@ def test_novel_strings_are_told_from_known_ones(spark):
     assert not found[103]
 
 
+def test_names_and_values_of_assignments_are_told_apart(spark):
+    rng = random.Random(10)
+    value = "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(32))
+    forms = ["export AWS_SECRET_ACCESS_KEY={}", "STRIPE_KEY={}", "see https://a.example/x?auth={}&page=2", "STRIPE_KEY = {}", "SIGNING_KEY={}==", "a=1=auth={}.", "COLOUR={}", "=={}"]
+    rows = [(i, form.format(value) + "\n") for i, form in enumerate(forms)]
+    found = {r["doc_id"]: [(s["kind"], rows[r["doc_id"]][1][s["start"] : s["end"]]) for s in r["spans"]] for r in find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {i: [("novel", value + "==" * (i == 4))] if i < 6 else [] for i in range(8)}
+
+
 def test_secrets_in_odd_documents(spark):
     found = find_secrets(odd_documents(spark)).collect()
     assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in odd_rows()) and not any(s["kind"] != "novel" for r in found for s in r["spans"])
