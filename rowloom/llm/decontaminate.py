@@ -1,4 +1,4 @@
-"""Test items in training text: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Test items in training text: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -13,35 +13,23 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import Words, arrow_batches, grams, text_bytes
 
 SEED_WORDS = 3
-# Of so many n-grams in a row the rarest is a seed, so any SEED_WORDS + WINDOW - 1 = 6 words in a row that a text and an item share hold a common seed.
-WINDOW = 4
 LEAST = 0.5  # of the score of an item's full copy
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 200_000  # words of items that are searched for in one pass over the documents
 
 
 class Items:
-    """A block of test items: their words, the n-grams that occur in them, and the chosen seeds."""
+    """A block of test items: their words and seeds, which are all n-grams of all items."""
 
     def __init__(self, ids: list, words: list[np.ndarray]) -> None:
         self.ids, self.words = ids, words
         per_item = [grams(w, SEED_WORDS) for w in words]
-        self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *per_item]))
-        self.places = [np.searchsorted(self.grams, g) for g in per_item]
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds by how often all documents hold an n-gram; ties by its hash."""
-        order = np.empty(len(counts), np.int64)
-        order[np.lexsort((self.grams, counts))] = np.arange(len(counts))
-        seeds = set()
-        for item, places in enumerate(self.places):
-            rank = order[places]
-            for at in range(max(1, len(rank) - WINDOW + 1)):
-                rarest = at + int(np.argmin(rank[at : at + WINDOW]))
-                seeds.add((int(places[rarest]), item, rarest))
-        found = np.array(sorted(seeds), np.int64).reshape(-1, 3)
-        self.seed = self.grams[found[:, 0]]
-        self.seed_item, self.seed_at = found[:, 1], found[:, 2]
+        seed = np.concatenate([np.zeros(0, np.uint64), *per_item])
+        order = np.argsort(seed, kind="stable")
+        self.seed = seed[order]
+        self.seed_item = np.repeat(np.arange(len(words)), [len(g) for g in per_item])[order]
+        self.seed_at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in per_item]])[order]
+        self.sizes = np.array([len(w) for w in words], np.int64)
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -76,18 +64,23 @@ def matches(words: np.ndarray, items: Items, least: float = LEAST) -> list[tuple
         return []
     own = grams(words, SEED_WORDS)
     low, high = np.searchsorted(items.seed, own, "left"), np.searchsorted(items.seed, own, "right")
-    windows: dict[int, list[tuple[int, int]]] = {}
-    for at in np.flatnonzero(high > low):
-        for k in range(low[at], high[at]):
-            item = int(items.seed_item[k])
-            size, begin = len(items.words[item]), int(at) - int(items.seed_at[k])
-            windows.setdefault(item, []).append((max(0, begin - size // 2 - 1), min(len(words), begin + size + size // 2 + 1)))
+    at = np.flatnonzero(high > low)
+    if not len(at):
+        return []
+    several = (high - low)[at]
+    k = np.arange(several.sum()) + np.repeat(low[at] - np.cumsum(several) + several, several)
+    item = items.seed_item[k]
+    size, begin = items.sizes[item], np.repeat(at, several) - items.seed_at[k]
+    first, end = np.maximum(0, begin - size // 2 - 1), np.minimum(len(words), begin + size + size // 2 + 1)
+    order = np.lexsort((end, first, item))
+    item, first, end = item[order], first[order], end[order]
+    cuts = np.flatnonzero(item[1:] != item[:-1]) + 1
     found = []
-    for item, spans in windows.items():
+    for item, starts, ends in zip(item[np.append(0, cuts)].tolist(), np.split(first, cuts), np.split(end, cuts)):
         best, target = (0, 0, 0), items.words[item]
         enough = least * MATCH * len(target)
         joined: list[list[int]] = []
-        for a, b in sorted(set(spans)):
+        for a, b in zip(starts.tolist(), ends.tolist()):
             if joined and a <= joined[-1][1]:
                 joined[-1][1] = max(joined[-1][1], b)
             else:
@@ -124,35 +117,11 @@ def _blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[Item
             yield Items([x[0] for x in ordered], [x[1] for x in ordered])
 
 
-def _counted(docs: DataFrame, column: str, wanted: np.ndarray) -> np.ndarray:
-    """How often all documents hold each of the wanted n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = Words(), shared.value
-        counts = np.zeros(len(known), np.int64)
-        for batch in batches:
-            for words in hasher.of_many(text_bytes(batch, "text")):
-                own = grams(words, SEED_WORDS)
-                at = np.searchsorted(known, own)
-                at[at == len(known)] = 0
-                np.add.at(counts, at[known[at] == own], 1)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["gram", "n"])
-
-    each = docs.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "gram bigint, n bigint")
-    total = each.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(wanted), np.int64)
-    counts[total.column("gram").to_numpy()] = total.column("n").to_numpy()
-    return counts
-
-
-def _prepared(docs: DataFrame, items: DataFrame, text_column: str, item_id: str, item_text: str) -> list:
+def _prepared(docs: DataFrame, items: DataFrame, item_id: str, item_text: str) -> list:
     arrow_batches(docs.sparkSession)
     found = []
     for block in _blocks(items, item_id, item_text):
-        block.choose(_counted(docs, text_column, block.grams))
-        names = ("ids", "words", "seed", "seed_item", "seed_at")
+        names = ("ids", "words", "sizes", "seed", "seed_item", "seed_at")
         found.append(docs.sparkSession.sparkContext.broadcast(SimpleNamespace(**{n: getattr(block, n) for n in names})))
     return found
 
@@ -168,21 +137,19 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and test item it holds: ids, ``score`` (share of a full copy's score), ``from_word, to_word``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. All documents are searched for the n-grams of
-    the items to count them, and of any four in a row in an item the rarest becomes a seed: any six
-    words in a row that a text shares with an item hold one. Around each seed that a text holds, text and item are
-    aligned (match 2, other word -1, gap -1) and the best alignment counts from half of a full copy's score on.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Every three words in a row of an item are a seed, however
+    common. Around each seed that a text holds, text and item are aligned (match 2, other word -1, gap -1) and the best
+    alignment counts from half of a full copy's score on. A copy that shares no three words in a row with its item is not seen.
 
     Seeds and items of a block (at most 200,000 words or one item) go to all tasks; with more items, the documents
-    are read once per two steps of each further block. Documents are never shuffled, only counts of
-    item n-grams. Null and empty texts match nothing; items of fewer than three words cannot be told
+    are read once for each further block. Documents are never shuffled. Null and empty texts match nothing; items of fewer than three words cannot be told
     from prose and are not searched for; equal items are one, called by the smallest id; repeated rows
     give repeated results; rows without an id are reported without one.
     """
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     schema = f"`{id_column}` bigint, `{item_id}` bigint, score double, from_word bigint, to_word bigint"
     result = None
-    for shared in _prepared(docs, items, text_column, item_id, item_text):
+    for shared in _prepared(docs, items, item_id, item_text):
         part = rows.mapInArrow(_report(shared, least, (id_column, item_id)), schema)
         result = part if result is None else result.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if result is None else result
@@ -190,7 +157,7 @@ def contaminated(
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", least: float = LEAST) -> DataFrame:
     """The documents that hold no test item; all columns stay as they are."""
-    for shared in _prepared(docs, items, text_column, "item_id", "text"):
+    for shared in _prepared(docs, items, "item_id", "text"):
         docs = docs.mapInArrow(_without(shared, least, text_column), docs.schema)
     return docs
 

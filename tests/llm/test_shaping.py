@@ -221,6 +221,25 @@ def test_seeds_find_every_six_words_in_common(spark):
     assert sorted(r["doc_id"] for r in found.collect()) == list(range(7))
 
 
+def test_edited_copies_of_short_items_are_found_as_by_alignment(spark):
+    # Plain Smith-Waterman over the whole text is the truth, for copies that share three words in a row with their item.
+    rng = random.Random(5)
+    items = [(k, [f"w{rng.randrange(400)}" for _ in range(rng.randrange(8, 21))]) for k in range(40)]
+    copies = [(k, [f"x{rng.randrange(10**6)}" if rng.random() < 0.3 else w for w in words]) for k, words in items for _ in range(12)]
+    copies += [(k, [f"x{rng.randrange(10**6)}" if j % 4 == 3 else w for j, w in enumerate(words)]) for k, words in items]
+    docs, want = [], set()
+    for d, (_, copy) in enumerate(copies):
+        text = [f"y{rng.randrange(1000)}" for _ in range(20)] + copy + [f"y{rng.randrange(1000)}" for _ in range(20)]
+        docs.append((d, " ".join(text)))
+        three = set(zip(text, text[1:], text[2:]))
+        for k, words in items:
+            if three & set(zip(words, words[1:], words[2:])) and slow_align(text, words) >= len(words):
+                want.add((d, k))
+    df, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string")
+    assert len(want) > 250 and {(r["doc_id"], r["item_id"]) for r in contaminated(df, tests).collect()} == want
+    assert {r["doc_id"] for r in clean(df, tests).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
 def test_decontamination_of_odd_documents(spark, tmp_path):
     docs = stored(odd_documents(spark), tmp_path)
     tests = spark.createDataFrame([(1, odd_rows()[4][1])], "item_id bigint, text string")
