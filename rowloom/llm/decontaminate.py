@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 from types import SimpleNamespace
 
 import numpy as np
@@ -103,8 +104,10 @@ def _blocks(items: DataFrame, id_column: str, text_column: str) -> Iterator[Item
     size = rows.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = int(size // BLOCK_WORDS) + 1
     hasher = Words()
+    # Texts with equal words go to one block, whatever the white space.
+    plain = F.trim(F.regexp_replace(F.translate("text", ascii_uppercase, ascii_lowercase), "[\\x20\\x09-\\x0D]+", " "))
     for block in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64(F.lower("text")), F.lit(blocks)) == block).groupBy("text").agg(F.min("id").alias("id"))
+        part = rows.filter(F.pmod(F.xxhash64(plain), F.lit(blocks)) == block).groupBy("text").agg(F.min("id").alias("id"))
         by_words: dict[bytes, tuple] = {}
         for row in part.toLocalIterator():
             words = hasher.of(row["text"].encode())[0]

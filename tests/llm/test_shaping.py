@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from helpers import no_documents, odd_documents, odd_rows, stored
 
+from rowloom.llm import decontaminate
 from rowloom.llm.decontaminate import align, clean, contaminated
 from rowloom.llm.mixing import fair_mix, mixed
 from rowloom.llm.resharding import even_capacities, min_cost_flow, reshard
@@ -240,6 +241,14 @@ def test_edited_copies_of_short_items_are_found_as_by_alignment(spark):
     assert {r["doc_id"] for r in clean(df, tests).collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_items_with_equal_words_are_one_in_any_number_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    item, breaks = [f"a{i}" for i in range(12)], [" ", "  ", "\n", "\t", " \r\n", "\x0b", "\x0c "]
+    items = [(k, b + b.join(item if k % 2 else [w.upper() for w in item]) + b * (k % 3)) for k, b in enumerate(breaks, 3)]
+    found = contaminated(spark.createDataFrame([(1, " ".join(item))], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in found.collect()] == [(1, 3, 1.0)]
+
+
 def test_decontamination_of_odd_documents(spark, tmp_path):
     docs = stored(odd_documents(spark), tmp_path)
     tests = spark.createDataFrame([(1, odd_rows()[4][1])], "item_id bigint, text string")
