@@ -195,6 +195,50 @@ def test_order_matters_to_the_score(spark):
     assert all(found[1000 + i] > found[2000 + i] + 0.3 for i in range(20))
 
 
+def test_every_word_has_its_own_count(spark):
+    # More words than 16 bits tell apart.
+    rows = [(i, " ".join([*(f"w{j}" for j in range(i * 1000, i * 1000 + 1000)), *["Often"] * 7, *["twice", "thrice"][: 1 + i % 2]])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    tokens, spectrum = pseudo_likelihood.ranked_tokens(df, "doc_id", "text")
+    want = Counter(w.lower() for _, t in rows for w in t.split())
+    assert {r["n"]: r["words"] for r in spectrum.collect()} == Counter(want.values())
+    texts, rank = dict(rows), {}
+    for r in tokens.collect():
+        for word, k in zip(texts[r["id"]].lower().split(), np.frombuffer(r["tokens"], pseudo_likelihood.TOKEN).tolist(), strict=True):
+            assert rank.setdefault(word, k) == k
+    assert sorted(rank.values()) == list(range(len(want)))
+    model = pseudo_likelihood.train(tokens)
+    held = Counter()
+    for w, k in rank.items():
+        held[int(model["classes"][k])] += want[w]
+    assert all(model["within"][k] == pytest.approx(np.log(want[w] / held[int(model["classes"][k])])) for w, k in rank.items())
+    assert len(held) == len(model["classes"].values) and pseudo_likelihood.class_count(10**8) == 400
+
+
+def test_texts_without_words_have_no_score(spark):
+    rows = [(1, ""), (2, None), (None, " \n")]
+    found = score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in found) == Counter((i, 0, 0.0, None) for i, _ in rows)
+
+
+def test_order_matters_to_the_registered_score(spark, tmp_path):
+    from rowloom.llm.queries import QUERIES, load_all
+
+    load_all()
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(200)]
+    phrases = [words[i : i + 4] for i in range(0, 200, 4)]
+
+    def text(n):
+        return [w for _ in range(n) for w in rng.choice(phrases)]
+
+    known, asked = [text(100) for _ in range(3000)], [text(40) for _ in range(20)]
+    texts = known + asked + [rng.sample(t, len(t)) for t in asked]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["mean_log_prob"] for r in QUERIES["op5_pseudo_likelihood"](spark, str(tmp_path)).collect()}
+    assert all(found[3000 + i] > found[3020 + i] + 0.3 for i in range(20))
+
+
 def test_scores_of_odd_documents(spark):
     found = score(odd_documents(spark)).collect()
     assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in odd_rows())
