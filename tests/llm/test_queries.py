@@ -17,6 +17,7 @@ COLUMNS = {
     "op2_decontaminate": ["doc_id", "item_id", "score", "from_word", "to_word"],
     "op5_pseudo_likelihood": ["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
     "op8_byte_cnn": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_simple8b": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_secret_novelty": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
@@ -31,7 +32,7 @@ def connection():
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 12))
     assert {*llm.QUERIES, "pipeline"} <= set(driver.queries()) and set(llm.ORACLES) | set(COLUMNS) == set(llm.QUERIES)
 
 
