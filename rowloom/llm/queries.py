@@ -25,4 +25,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from rowloom.llm import archive_queries, dedup_queries, search_queries, shaping_queries, text_queries, token_queries  # noqa: F401
+    from rowloom.llm import archive_queries, code_queries, conversation_queries, dedup_queries, search_queries, shaping_queries, text_queries, token_queries  # noqa: F401

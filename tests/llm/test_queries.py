@@ -25,14 +25,14 @@ COLUMNS = {
 @pytest.fixture(scope="module")
 def connection():
     found = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         found.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     yield found
     found.close()
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 12))
+    assert sorted(int(name[2:].split("_")[0]) for name in llm.QUERIES) == list(range(1, 14))
     assert {*llm.QUERIES, "pipeline"} <= set(driver.queries()) and set(llm.ORACLES) | set(COLUMNS) == set(llm.QUERIES)
 
 
