@@ -12,10 +12,14 @@ document its id and number of tokens. A block is decoded without its neighbours,
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,8 @@ MAGIC = b"S8BIDS01"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 25  # about 64 MB; a longer document makes a longer file
 FILE_DOCUMENTS = 1 << 20
-KEPT_WORDS = 400_000  # words whose ids a worker remembers
-LONG_WORD = 64
+KEPT_WORDS = 1 << 20  # words whose ids a worker remembers
+KEPT_IDS = 1 << 23
 JOINED = 64
 TAIL = ".,;:!?"
 NO_ID = -(1 << 63)
@@ -174,65 +178,108 @@ def _pieces(word: str) -> int:
     return bool(stem) + (len(stem) < len(word))
 
 
+def _byte_level(path: str) -> bool:
+    """Whether the file lower-cases and then knows bytes by letters, so that an ASCII word is its own lower-case text."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    steps = [(told.get(name) or {}).get(parts, []) for name, parts in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    return [[s["type"] for s in step] for step in steps] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not steps[1][1]["add_prefix_space"]
+
+
 class Encoder:
     """Texts to ids by a tokenizer that treats words between white space by themselves.
 
-    Words a batch repeats are encoded once, and a worker remembers the ids of common ones. Only for tokenizers whose steps
+    Words a batch repeats are encoded once, and a worker remembers the ids of up to ``KEPT_WORDS``. Only for tokenizers whose steps
     never look across ``[\\x20\\x09-\\x0D]`` and drop it, as those with word ends do.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
-        self.known: dict[str, np.ndarray] = {}
+        self.tokenizer, self.end, self.byte_level = Tokenizer.from_file(path), end_id, _byte_level(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of words not yet known. Plain ones go many at a time, cut again where a token closes a word."""
-        pieces = [_pieces(w) for w in words]
-        plain = [(w, n) for w, n in zip(words, pieces) if n]
-        found, rest = {}, [w for w, n in zip(words, pieces) if not n]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._encoded([" ".join(w for w, _ in group) for group in groups])):
+        self._forget()
+
+    def _forget(self) -> None:
+        """Slot 0 has the end id; the ids of slot s lie in ``pool`` from ``begins[s]`` on."""
+        self.known: dict[str, int] = {}
+        self.pool, self.begins, self.sizes = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _part(self, part: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(part.lower())]
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        """Ids of words not yet known: ASCII letters by the model alone, other letters many at a time, the rest one by one."""
+        found: list[list[int] | None] = [None] * len(words)
+        joined, single = [], []
+        for i, word in enumerate(words):
+            parts = _pieces(word)
+            if parts and self.byte_level and word.isascii():
+                stem = word.rstrip(TAIL)
+                found[i] = (self._part(stem) if stem else []) + (self._part(word[len(stem) :]) if len(stem) < len(word) else [])
+            else:
+                (joined if parts else single).append((i, word, parts))
+        groups = [joined[k : k + JOINED] for k in range(0, len(joined), JOINED)]
+        for group, ids in zip(groups, self._encoded([" ".join(w for _, w, _ in group) for group in groups])):
+            # Cut where a token closes a part.
             closing = np.flatnonzero(self.closes[ids]) + 1
-            counts = np.cumsum([n for _, n in group])
+            counts = np.cumsum([n for _, _, n in group])
             if len(closing) == counts[-1]:
-                found.update(zip((w for w, _ in group), np.split(ids, closing[counts[:-1] - 1])))
+                ends = closing[counts - 1].tolist()
+                for (i, _, _), begin, end in zip(group, [0, *ends], ends):
+                    found[i] = ids[begin:end]
             else:
-                rest += [w for w, _ in group]
-        return found | dict(zip(rest, self._encoded(rest)))
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        found = self._new([w for w in words if w not in self.known])
-        ids = [found[w] if w in found else self.known[w] for w in words]
-        if len(self.known) + len(found) > KEPT_WORDS:
-            self.known = {}
-        self.known.update((w, i.copy()) for w, i in found.items() if len(w) <= LONG_WORD)
-        return ids
+                single += group
+        for (i, _, _), ids in zip(single, self._encoded([w for _, w, _ in single])):
+            found[i] = ids
+        return found
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        slots = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing) and (len(self.sizes) + len(missing) > KEPT_WORDS or len(self.pool) > KEPT_IDS):
+            self._forget()
+            missing = np.arange(len(words))
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            ids = self._new(new)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = len(self.sizes)
+            self.begins = np.concatenate((self.begins, len(self.pool) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+            self.known.update(zip(new, range(first, first + len(new))))
+            slots[missing] = np.arange(first, first + len(new))
+        return slots
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, the end id last; a null text has only that."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         flat = words.flatten().dictionary_encode()
-        code = flat.indices.to_numpy(zero_copy_only=False)
-        kinds = self._words(flat.dictionary.to_pylist()) + [np.array([self.end], np.uint32)]
-        sizes = np.array([len(k) for k in kinds], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        pool = np.concatenate(kinds)
+        slots = np.append(self._slots(flat.dictionary.to_pylist()), 0)
         # The end of a text is a word of its own after the text's words.
         after = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        code = np.insert(code.astype(np.int64), after, len(kinds) - 1)
-        lengths = sizes[code]
+        code = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), after, len(slots) - 1)
+        lengths = self.sizes[slots][code]
         ends = np.cumsum(lengths)
-        places = np.arange(ends[-1]) + np.repeat(begins[code] - (ends - lengths), lengths)
+        places = np.arange(ends[-1]) + np.repeat(self.begins[slots][code] - (ends - lengths), lengths)
         cuts = ends[after + np.arange(len(after))]
-        return np.split(pool[places], cuts[:-1])
+        return np.split(self.pool[places], cuts[:-1])
+
+
+def _encoder(path: str, end_id: int) -> Encoder:
+    """The worker process's encoder: the words it knows outlive a task."""
+    kept = sys.modules.setdefault("rowloom_encoders", types.ModuleType("rowloom_encoders")).__dict__.setdefault("encoders", {})
+    if (path, end_id) not in kept:
+        kept.clear()
+        kept[path, end_id] = Encoder(path, end_id)
+    return kept[path, end_id]
 
 
 def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int, file_ids: int = FILE_IDS) -> DataFrame:
@@ -261,7 +308,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int) -> Callable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, file, before, done = None, TaskContext.get().partitionId(), None, 0, []
         for batch in batches:
-            encode = encode or Encoder(tokenizer, end_id)
+            encode = encode or _encoder(tokenizer, end_id)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
                 if file is None:
                     store, base = store_of(folder)
