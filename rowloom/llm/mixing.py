@@ -53,9 +53,10 @@ def fair_mix(
 
     Every source is a queue of its documents in hash order, ``most`` times over. A copy's virtual
     finish time is the words of its source up to its end, divided by the source's target. Copies of
-    all sources are range sorted by finish time and cut where the budget is used up. The words that
-    a queue has been served at virtual time 1 are its target, so the copy in service then counts in
-    part; a reader that wants whole documents takes those at least half of which are in.
+    all sources are range sorted by finish time, ties by source and queue, and the stream is cut at the budget, by default the sum of
+    the targets. Only the cut says what is taken: at any point of the stream all queues have been served to nearly the
+    same virtual time, so at the cut each source is within one document of its target. The copy in service at
+    the cut counts in part; a reader that wants whole documents takes it if at least half of it is in.
 
     Sorting and running totals touch ids, sources and sizes only. A source that holds most rows is
     split by the hash order like any other range. Null or empty texts have no words and are never
@@ -82,18 +83,15 @@ def _fair_mix(rows: DataFrame, weights: tuple[int, ...], most: int, budget: int
     own = targets.select(F.col("source").alias("own"), F.col("size").alias("source_size"), "target", "start")
     queued = queued.join(own, F.col("source").eqNullSafe(F.col("own")), "left").withColumn("begin", F.col("size_before") - F.col("start"))
     queued = queued.withColumnRenamed("one_before", "rank").select("rank", "doc_id", "source", "size", "source_size", "target", "begin", "file", "at")
-    goal = F.floor("target")
     copies = queued.withColumn("copy", F.explode(F.array(*[F.lit(c).cast("bigint") for c in range(most)])))
     copies = copies.withColumn("from", F.col("copy") * F.col("source_size") + F.col("begin"))
-    copies = copies.filter((F.col("from") < goal) & (F.col("size") > 0)).select(
-        "rank",
-        "copy",
-        F.least(F.col("size"), goal - F.col("from")).alias("words"),
-        ((F.col("from") + F.col("size")) / F.col("target")).alias("finish"),
-    )
+    finish = (F.col("from") + F.col("size")) / F.col("target")
+    copies = copies.filter("size > 0 AND target > 0").select("rank", "copy", F.col("size").alias("words"), finish.alias("finish"))
     stream = running(copies, [F.col("finish"), F.col("rank"), F.col("copy")], ["words"], "stream")
-    if budget is not None:
-        stream = stream.filter(F.col("words_before") < budget).withColumn("words", F.least("words", F.lit(budget) - F.col("words_before")))
+    if budget is None:
+        # The sizes that targets share; what sources cannot take is in no target.
+        budget = round(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+    stream = stream.filter(F.col("words_before") < budget).withColumn("words", F.least("words", F.lit(budget) - F.col("words_before")))
     taken = stream.groupBy("rank").agg(F.sum("words").alias("taken"))
     per_document = queued.join(taken, "rank", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint")))
     return per_document.select("doc_id", "source", "size", "source_size", "target", "taken", "file", "at"), stream

@@ -39,11 +39,15 @@ ordered AS (SELECT *, s::DOUBLE / w AS ratio, sum(s) OVER (ORDER BY s::DOUBLE /
 -- The sources with the least words per weight are full; the level is that of the first one that is not.
 levels AS (SELECT ((SELECT sum(s) FROM weighed) - 3 * full_before)::DOUBLE / ((SELECT sum(w) FROM weighed) - w_before)::DOUBLE AS level, ratio, r2 FROM ordered),
 level AS (SELECT coalesce((SELECT level FROM levels WHERE level <= 3 * ratio ORDER BY ratio, r2 LIMIT 1), 0) AS level),
-targets AS (SELECT source, s, least(w * level, 3.0::DOUBLE * s) AS target, floor(least(w * level, 3.0::DOUBLE * s))::BIGINT AS goal FROM weighed, level),
-queued AS (SELECT doc_id, size, s, target, goal, CASE WHEN s = 0 THEN 0 ELSE goal // s END AS times, CASE WHEN s = 0 THEN 0 ELSE goal % s END AS rest,
+targets AS (SELECT source, s, least(w * level, 3.0::DOUBLE * s) AS target FROM weighed, level),
+-- Every source three times over, each copy with the words of its source up to its end over the target; all in that order, cut at all words.
+queued AS (SELECT doc_id, size, s, target, row_number() OVER (ORDER BY words.source NULLS LAST, md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size) AS r,
                   sum(size) OVER (PARTITION BY words.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begun
-           FROM words JOIN targets ON words.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, s AS source_size, target, (times * size + greatest(0, least(size, rest - begun)))::BIGINT AS taken FROM queued
+           FROM words JOIN targets ON words.source IS NOT DISTINCT FROM targets.source),
+copies AS (SELECT r, size, c, (c * s + begun + size)::DOUBLE / target AS finish FROM queued, range(3) AS t(c) WHERE size > 0 AND target > 0),
+stream AS (SELECT r, size, sum(size) OVER (ORDER BY finish, r, c ROWS UNBOUNDED PRECEDING) - size AS earlier FROM copies),
+served AS (SELECT r, sum(greatest(0, least(size, budget - earlier))) AS taken FROM stream, (SELECT round(sum(target))::BIGINT AS budget FROM targets) GROUP BY r)
+SELECT doc_id, size, s AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queued LEFT JOIN served USING (r)
 """
 
 
