@@ -18,6 +18,8 @@ EMBEDDING, HIDDEN = 8, 24
 CLASSES, FIRST_CLASSES, CLASS_FACTOR = 1, 96, 4  # classes at least; for small vocabularies; times the fourth root of large ones
 ROWS = 32  # embeddings of words for each class
 BATCH, RATE = 4096, 0.1
+CACHED_ROWS = 512  # rows that are scored at once
+LARGEST_VALUE = 60.0  # whose exponential is far from overflowing
 PAD = 0  # the embedding that stands for "outside of the text"
 TOKEN = np.dtype("<u4")
 CHUNK_WORDS = 1 << 21  # words of texts that are numbered together before all words are
@@ -230,6 +232,28 @@ def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     return np.tanh(p["e"][around].reshape(len(around), -1) @ p["w"] + p["b"])
 
 
+def exponentials(p: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes' values for each hidden vector, and their exponentials, both less the same amount in a row.
+
+    A hidden value lies between -1 and 1, so the weights bound the values; where these cannot overflow nothing is taken off.
+    """
+    x = h @ p["o"]
+    x += p["c"]
+    if (np.abs(p["o"]).sum(0) + np.abs(p["c"])).max() > LARGEST_VALUE:
+        x -= x.max(1, keepdims=True)
+    return x, np.exp(x)
+
+
+def log_chance(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logarithm of the probability of the ``target`` class of each word, a few rows at a time, which stay in the cache."""
+    found = np.empty(len(target), np.float32)
+    for at in range(0, len(target), CACHED_ROWS):
+        own = target[at : at + CACHED_ROWS]
+        x, e = exponentials(p, hidden(p, around[at : at + CACHED_ROWS]))
+        found[at : at + CACHED_ROWS] = x[np.arange(len(own)), own] - np.log(e.sum(1))
+    return found
+
+
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(1, keepdims=True)
     return x - np.log(np.exp(x).sum(1, keepdims=True))
@@ -246,12 +270,9 @@ class Learner:
         p, n = self.p, len(target)
         inputs = p["e"][around].reshape(n, -1)
         h = np.tanh(inputs @ p["w"] + p["b"])
-        wrong = h @ p["o"] + p["c"]
-        wrong -= wrong.max(1, keepdims=True)
-        np.exp(wrong, out=wrong)
-        wrong /= wrong.sum(1, keepdims=True)
-        wrong[np.arange(n), target] -= 1
-        wrong /= n
+        wrong = exponentials(p, h)[1]
+        wrong *= 1 / (n * wrong.sum(1, keepdims=True))
+        wrong[np.arange(n), target] -= np.float32(1 / n)
         back = (wrong @ p["o"].T) * (1 - h * h)
         to_inputs = (back @ p["w"].T).reshape(-1, EMBEDDING)
         grads = {"w": inputs.T @ back, "b": back.sum(0), "o": h.T @ wrong, "c": wrong.sum(0)}
@@ -320,11 +341,7 @@ def _score(model: dict[str, np.ndarray]):
         # A text that is split over blocks is given out once its last part has been added.
         open_name, open_total, open_n, live = None, 0.0, 0, False
         for ids, owner, tokens, around in blocks(batches, to_input):
-            value = np.zeros(len(tokens))
-            for at in range(0, len(tokens), BATCH):
-                part = tokens[at : at + BATCH]
-                chance = log_softmax(hidden(p, around[at : at + BATCH]) @ p["o"] + p["c"])
-                value[at : at + BATCH] = chance[np.arange(len(part)), model["classes"][part]] + model["within"][part]
+            value = log_chance(p, around, model["classes"][tokens]) + model["within"][tokens]
             total = np.bincount(owner, value, len(ids))
             size = np.bincount(owner, minlength=len(ids))
             names, totals, sizes = [], [], []
