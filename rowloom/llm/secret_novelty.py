@@ -85,15 +85,26 @@ def candidates(text: bytes, member: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def surroundings(text: bytes, a: int, b: int) -> bytes:
+    """The text around a candidate without the candidate and its copies, whole or cut by the window."""
+    word, at, high = text[a:b], max(0, a - AROUND), b + AROUND
+    pieces, copy = [], text.find(word, max(0, at - len(word) + 1))
+    while 0 <= copy < high:
+        pieces.append(text[at:copy] if copy > at else b"")
+        at = max(at, copy + len(word))
+        copy = text.find(word, at)
+    return b"".join([*pieces, text[at:high]])
+
+
 def novel_spans(text: bytes, member: np.ndarray, novelty: Novelty, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
-    for a, b in candidates(text, member):
-        if any(s < b and a < e for s, _, e in taken) or not SENSITIVE.search(text[max(0, a - NEAR) : a]):
-            continue
-        around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
-        if novelty.bits(around, text[a:b]) >= BITS:
-            found.append((a, 3, b))
-    return found
+    """All places of the strings that are novel at one of them at least."""
+    free = [(a, b) for a, b in candidates(text, member) if not any(s < b and a < e for s, _, e in taken)]
+    novel = set()
+    for a, b in free:
+        word = text[a:b]
+        if word not in novel and SENSITIVE.search(text[max(0, a - NEAR) : a]) and novelty.bits(surroundings(text, a, b), word) >= BITS:
+            novel.add(word)
+    return [(a, 3, b) for a, b in free if text[a:b] in novel]
 
 
 def identifier_parts(docs: DataFrame, text_column: str = "text", count: int = IDENTIFIERS) -> bytes:
@@ -126,8 +137,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Kinds: ``assign``, ``access`` and ``hex`` are the base patterns. ``novel`` are strings of 16 or more
     of ``A-Za-z0-9+/_.=-`` with a letter and a digit or letters of both cases, outside of base spans, up to 48 bytes after
     a word such as password, key or auth (``KEY=value`` is measured as a name and a value), that add at least 3.5 bits per character to the compressed
-    text around them (512 bytes on each side). The compressor is primed with the parts of identifiers
-    that are common in all documents, so composed names and repeated strings cost little.
+    text around them (512 bytes on each side, without their own copies). The compressor is primed with the parts of identifiers
+    that are common in all documents, so composed names cost little. A string that is novel at one place of a text is reported at all of them.
 
     A null or empty text has no spans; the id may be null; repeated rows are reported each. Texts
     are read whole and never shuffled.

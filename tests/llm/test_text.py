@@ -136,8 +136,45 @@ def test_novel_strings_are_told_from_known_ones(spark):
     found = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [(s["kind"], rows[20][1][s["start"] : s["end"]]) for s in found[100]] == [("novel", random_text)]
     assert not found[101] and not found[102] and not found[3]
-    # A string that stands in the text around it costs nothing, but its base spans would stay.
-    assert not found[103]
+    # Copies do not hide each other.
+    assert [rows[23][1][s["start"] : s["end"]] for s in found[103]] == [random_text] * 3
+
+
+@pytest.mark.parametrize("apart", [1, 20, 490, 530, 1000])
+def test_copies_of_a_secret_are_all_reported(spark, apart):
+    rng = random.Random(apart)
+    secret = "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(40))
+    gap = ("nothing to see " * 80)[:apart]
+    composed, prose = "customerAccountRepositoryFactoryBean2", "Nothing to see in this line of plain prose. " * 5
+    rows = [(n, f"auth: {gap.join([f' {secret} '] * n)}") for n in (1, 2, 3)] + [(10 + i, f"{prose} auth with {composed} now. " * 3) for i in range(20)]
+    found = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for n in (1, 2, 3):
+        assert [rows[n - 1][1][s["start"] : s["end"]] for s in found[n]] == [secret] * n
+    assert not any(found[10 + i] for i in range(20))
+
+
+def test_novel_spans_equal_plain_compression():
+    """Each string against the text around it, compressed with and without it, copies cut out by hand."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("ABCDEFGHabcdefgh2345") for _ in range(rng.randrange(14, 40))) for _ in range(12)]
+    words = pool + ["key", "auth", "the", "of", "signature", "plain", "0123456789abcdef01", "aaaaaaaaaaaaaaaaaaaaaaa1"]
+    member, novelty = secret_novelty.members_of(secret_novelty.TOKEN_BYTES), secret_novelty.Novelty(b"plain signature common words")
+    for _ in range(150):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))).encode()
+        places = secret_novelty.candidates(text, member)
+        novel = set()
+        for a, b in places:
+            low, high, word = max(0, a - 512), min(len(text), b + 512), text[a:b]
+            hidden = np.zeros(len(text), bool)
+            at = text.find(word)
+            while at >= 0:
+                hidden[at : at + len(word)] = True
+                at = text.find(word, at + len(word))
+            around = bytes(x for i, x in enumerate(text[low:high], low) if not hidden[i])
+            bits = 8 * (len(novelty.packer.compress(around + word)) - len(novelty.packer.compress(around))) / len(word)
+            if bits >= 3.5 and re.search(rb"key|auth|signature", text[max(0, a - 48) : a]):
+                novel.add(word)
+        assert secret_novelty.novel_spans(text, member, novelty, []) == [(a, 3, b) for a, b in places if text[a:b] in novel]
 
 
 def test_names_and_values_of_assignments_are_told_apart(spark):
