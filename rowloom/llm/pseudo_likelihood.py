@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import Words, arrow_batches, mix, running, text_bytes, written
 
 SIDE = 2  # words on each side
-EMBEDDING, HIDDEN = 8, 24
-CLASSES, FIRST_CLASSES, CLASS_FACTOR = 1, 96, 4  # classes at least; for small vocabularies; times the fourth root of large ones
-ROWS = 32  # embeddings of words for each class
-BATCH, RATE = 4096, 0.1
-CACHED_ROWS = 512  # rows that are scored at once
-LARGEST_VALUE = 60.0  # whose exponential is far from overflowing
+EMBEDDING, HIDDEN = 8, 16
+LEAST_ROWS, ROW_FACTOR = 4096, 8  # rows of the tables at least, and times the root of the vocabulary
+TOP = 8  # levels of the tree whose nodes have weights to themselves
+TOP_NODES = (1 << TOP) - 1
+BATCH, RATE = 512, 0.3
+BLOCK_WORDS = 1 << 16  # words whose ways through the tree are worked out together
+CACHED_ROWS = 1024  # words that are scored at once
+STEEP = 60.0  # where the logistic function is a line, and its exponential far from overflowing
+FAN_IN = 16
 PAD = 0  # the embedding that stands for "outside of the text"
 TOKEN = np.dtype("<u4")
 CHUNK_WORDS = 1 << 21  # words of texts that are numbered together before all words are
@@ -111,54 +114,78 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(n.astype(np.int64))], names=["rank", "n"])
 
 
-class Steps:
-    """A value for each rank below ``size``, kept as runs of ranks with equal values."""
+class Tree:
+    """A binary tree over all words by falling count; every word is a leaf of its own.
 
-    def __init__(self, starts: np.ndarray, values: np.ndarray, size: int) -> None:
-        self.starts, self.values, self.size = starts, values, size
-
-    def __getitem__(self, ranks):
-        return self.values[np.searchsorted(self.starts, ranks, "right") - 1]
-
-    def __array__(self, dtype=None, copy=None) -> np.ndarray:
-        return np.repeat(self.values, np.diff(np.append(self.starts, self.size))).astype(dtype or self.values.dtype)
-
-
-def class_count(vocabulary: int) -> int:
-    return max(CLASSES, min(vocabulary, max(FIRST_CLASSES, int(np.ceil(CLASS_FACTOR * vocabulary**0.25)))))
-
-
-def output_classes(n: np.ndarray, words: np.ndarray) -> tuple[Steps, Steps]:
-    """The class of each word's rank and the log-probability of the word within its class, both from exact counts.
-
-    ``words`` words occur ``n`` times each, by falling n. The most common words, three in four classes, are classes of their
-    own (all words of a small vocabulary); the rest falls into bands of about equal counts by falling frequency.
+    A node is a range of ranks and is cut where its halves have most nearly equal counts. It is kept as the spectrum (``words`` words occur
+    ``n`` times each, by falling n) and worked out along the way to a word, so its size does not depend on the vocabulary.
+    A node's base value, the logarithm of the ratio of the counts on both sides, makes the tree say a word's exact
+    share of all counts where nothing is learned.
     """
-    size = int(words.sum())
-    if not size:
-        return Steps(np.zeros(1, np.int64), np.zeros(1, np.int64), 0), Steps(np.zeros(1, np.int64), np.zeros(1), 0)
-    first = np.cumsum(words) - words
-    mass = np.cumsum(words * n) - words * n
-    total = int((words * n).sum())
-
-    def before(ranks: np.ndarray) -> np.ndarray:
-        step = np.searchsorted(first, ranks, "right") - 1
-        return mass[step] + (ranks - first[step]) * n[step]
-
-    classes = class_count(size)
-    single = classes if classes == size else classes * 3 // 4
-    bands = classes - single
-    starts = np.arange(single)
-    if bands:
-        low = before(np.array([single]))[0]
-        wanted = low + (total - low) * np.arange(bands) / bands
-        step = np.searchsorted(mass, wanted, "right") - 1
-        more = first[step] + np.ceil((wanted - mass[step]) / n[step]).astype(np.int64)
-        starts = np.unique(np.concatenate((starts, more[more < size])))
-    held = np.diff(np.append(before(starts), total))
-    own = Steps(starts, np.arange(len(starts)), size)
-    cuts = np.union1d(first, starts)
-    return own, Steps(cuts, np.log(n[np.searchsorted(first, cuts, "right") - 1] / held[own[cuts]]), size)
+
+    def __init__(self, n: np.ndarray, words: np.ndarray) -> None:
+        self.n, self.size, self.total = n, int(words.sum()), int((words * n).sum())
+        self.first, self.mass = np.cumsum(words) - words, np.cumsum(words * n) - words * n
+
+    def before(self, ranks: np.ndarray) -> np.ndarray:
+        """The counts of all words before a rank."""
+        step = np.searchsorted(self.first, ranks, "right") - 1
+        return self.mass[step] + (ranks - self.first[step]) * self.n[step]
+
+    def paths(self, ranks: np.ndarray, rows: int) -> Paths:
+        """The nodes on the way to each word: the first ``TOP`` levels side by side, deeper ones in a row after each other.
+
+        Each node of the top levels has a row of weights to itself; deeper ones share the others by a hash of where they cut.
+        """
+        count = len(ranks)
+        low, high = np.zeros(count, np.int64), np.full(count, self.size, np.int64)
+        below, above = np.zeros(count, np.int64), np.full(count, self.total, np.int64)
+        top = np.zeros((count, TOP), np.int64), np.zeros((count, TOP), np.float32), np.zeros((count, TOP), np.float32)
+        heap, live, depth, deep = np.ones(count, np.int64), np.flatnonzero(high > 1), 0, []
+        while len(live):
+            a, b, start, end = low[live], high[live], below[live], above[live]
+            half = (start + end) // 2
+            step = np.searchsorted(self.mass, half, "right") - 1
+            cut = np.clip(self.first[step] + (half - self.mass[step]) // self.n[step], a + 1, b - 1)
+            after = np.minimum(cut + 1, b - 1)
+            middle, other = self.before(cut), self.before(after)
+            nearer = np.abs(other - half) < np.abs(middle - half)
+            cut, middle = np.where(nearer, after, cut), np.where(nearer, other, middle)
+            right = ranks[live] >= cut
+            base, sign = np.log((end - middle) / (middle - start)).astype(np.float32), np.where(right, np.float32(1), np.float32(-1))
+            if depth < TOP:
+                for column, values in zip(top, (heap[live] - 1, base, sign)):
+                    column[live, depth] = values
+                heap[live] = 2 * heap[live] + right
+            else:
+                slots = TOP_NODES + (mix(cut.astype(np.uint64)) % np.uint64(rows - TOP_NODES)).astype(np.int64)
+                deep.append((live, slots, base, sign))
+            low[live], high[live] = np.where(right, cut, a), np.where(right, b, cut)
+            below[live], above[live] = np.where(right, middle, start), np.where(right, end, middle)
+            live, depth = live[high[live] - low[live] > 1], depth + 1
+        whose = np.concatenate([np.zeros(0, np.int64), *[d[0] for d in deep]])
+        order = np.argsort(whose, kind="stable")
+        kinds = (np.int64, np.float32, np.float32)
+        rest = tuple(np.concatenate([np.zeros(0, kind), *[d[i + 1] for d in deep]])[order] for i, kind in enumerate(kinds))
+        return Paths(top, rest, np.bincount(whose, minlength=count))
+
+
+class Paths:
+    """Ways through the tree: ``top`` has slots, base values and signs by word and level, ``deep`` the same by node, ``counts`` deep nodes of each word."""
+
+    def __init__(self, top: tuple, deep: tuple, counts: np.ndarray) -> None:
+        self.top, self.deep, self.counts, self.starts = top, deep, counts, np.cumsum(counts) - counts
+
+    def of(self, words: np.ndarray) -> Paths:
+        """The ways of some of the words, in their order."""
+        counts = self.counts[words]
+        at = np.repeat(self.starts[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return Paths(tuple(x[words] for x in self.top), tuple(x[at] for x in self.deep), counts)
+
+
+def table_rows(vocabulary: int) -> int:
+    """Rows of the tables of embeddings and of nodes: they grow with the root of the vocabulary."""
+    return max(LEAST_ROWS, int(ROW_FACTOR * vocabulary**0.5))
 
 
 class Inputs:
@@ -173,18 +200,13 @@ class Inputs:
         return np.where(ranks < self.own, ranks.astype(np.int32), spread) + np.int32(1)
 
 
-def input_buckets(classes: int = FIRST_CLASSES) -> Inputs:
-    return Inputs(ROWS * classes)
-
-
-def initial(classes: int = FIRST_CLASSES, seed: int = 5) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
+def initial(rows: int = 0, seed: int = 5) -> dict[str, np.ndarray]:
+    rows, rng = rows or LEAST_ROWS, np.random.default_rng(seed)
     return {
-        "e": rng.normal(0, 0.3, (ROWS * classes + 1, EMBEDDING)).astype(np.float32),
+        "e": rng.normal(0, 0.3, (rows + 1, EMBEDDING)).astype(np.float32),
         "w": rng.normal(0, (1 / (2 * SIDE * EMBEDDING)) ** 0.5, (2 * SIDE * EMBEDDING, HIDDEN)).astype(np.float32),
         "b": np.zeros(HIDDEN, np.float32),
-        "o": rng.normal(0, 0.1, (HIDDEN, classes)).astype(np.float32),
-        "c": np.zeros(classes, np.float32),
+        "u": np.zeros((rows, HIDDEN), np.float32),
     }
 
 
@@ -195,7 +217,7 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     fixed = EMBEDDING + (2 * SIDE * EMBEDDING + 1) * HIDDEN
     out, at = {}, 0
-    for k, v in initial((len(values) - fixed) // (ROWS * EMBEDDING + HIDDEN + 1)).items():
+    for k, v in initial((len(values) - fixed) // (EMBEDDING + HIDDEN)).items():
         out[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
         at += v.size
     return out
@@ -214,49 +236,47 @@ def blocks(batches: Iterator[pa.RecordBatch], to_input: Inputs) -> Iterator[tupl
     for batch in batches:
         for name, packed in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist()):
             own = np.frombuffer(packed, TOKEN)
-            for at in range(0, max(1, len(own)), BATCH * 4):
-                low, high = max(0, at - SIDE), min(len(own), at + BATCH * 4 + SIDE)
-                part = own[at : at + BATCH * 4]
+            for at in range(0, max(1, len(own)), BLOCK_WORDS):
+                low, high = max(0, at - SIDE), min(len(own), at + BLOCK_WORDS + SIDE)
+                part = own[at : at + BLOCK_WORDS]
                 ids.append((name, at == 0))
                 tokens.append(part)
                 around.append(contexts(to_input[own[low:high]])[at - low : at - low + len(part)])
                 size += len(part)
-                if size >= BATCH * 4:
+                if size >= BLOCK_WORDS:
                     yield ids, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), np.concatenate(tokens), np.concatenate(around)
                     ids, tokens, around, size = [], [], [], 0
     if ids:
         yield ids, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), np.concatenate(tokens), np.concatenate(around)
 
 
-def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    return np.tanh(p["e"][around].reshape(len(around), -1) @ p["w"] + p["b"])
+def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings around each word, and the hidden layer."""
+    inputs = p["e"][around].reshape(len(around), -1)
+    h = inputs @ p["w"]
+    h += p["b"]
+    return inputs, np.tanh(h, out=h)
 
 
-def exponentials(p: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes' values for each hidden vector, and their exponentials, both less the same amount in a row.
-
-    A hidden value lies between -1 and 1, so the weights bound the values; where these cannot overflow nothing is taken off.
-    """
-    x = h @ p["o"]
-    x += p["c"]
-    if (np.abs(p["o"]).sum(0) + np.abs(p["c"])).max() > LARGEST_VALUE:
-        x -= x.max(1, keepdims=True)
-    return x, np.exp(x)
+def node_values(p: dict[str, np.ndarray], h: np.ndarray, paths: Paths) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How strongly each node of the ways speaks for the side that is taken: top nodes, deep nodes, the word of each deep node, and its weights."""
+    slots, base, sign = paths.top
+    top = (np.take_along_axis(h @ p["u"][:TOP_NODES].T, slots, axis=1) + base) * sign
+    slots, base, sign = paths.deep
+    own, weights = np.repeat(np.arange(len(h)), paths.counts), p["u"][slots]
+    return top, (np.einsum("ij,ij->i", h[own], weights) + base) * sign, own, weights
 
 
-def log_chance(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The logarithm of the probability of the ``target`` class of each word, a few rows at a time, which stay in the cache."""
-    found = np.empty(len(target), np.float32)
-    for at in range(0, len(target), CACHED_ROWS):
-        own = target[at : at + CACHED_ROWS]
-        x, e = exponentials(p, hidden(p, around[at : at + CACHED_ROWS]))
-        found[at : at + CACHED_ROWS] = x[np.arange(len(own)), own] - np.log(e.sum(1))
-    return found
+def surprise(x: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of the logistic function."""
+    return np.log1p(np.exp(np.minimum(-x, STEEP))) + np.maximum(-x - STEEP, 0)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def log_chance(p: dict[str, np.ndarray], around: np.ndarray, paths: Paths) -> np.ndarray:
+    """The logarithm of the probability of each word: of the sides taken at all nodes on its way."""
+    top, deep, own, _ = node_values(p, hidden(p, around)[1], paths)
+    there = np.abs(paths.top[2])
+    return -(surprise(top) * there).sum(1) - np.bincount(own, surprise(deep), len(around))
 
 
 class Learner:
@@ -266,24 +286,36 @@ class Learner:
         self.p = {k: v.copy() for k, v in p.items()}
         self.square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
 
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        p, n = self.p, len(target)
-        inputs = p["e"][around].reshape(n, -1)
-        h = np.tanh(inputs @ p["w"] + p["b"])
-        wrong = exponentials(p, h)[1]
-        wrong *= 1 / (n * wrong.sum(1, keepdims=True))
-        wrong[np.arange(n), target] -= np.float32(1 / n)
-        back = (wrong @ p["o"].T) * (1 - h * h)
+    def step(self, around: np.ndarray, paths: Paths) -> None:
+        p, scale = self.p, np.float32(1 / len(around))
+        inputs, h = hidden(p, around)
+        top, deep, own, weights = node_values(p, h, paths)
+        slots, _, sign = paths.top
+        wrong_top = np.zeros((len(h), TOP_NODES), np.float32)
+        # A node occurs once on a way; levels that a short way does not have are slot 0 with sign 0, and come last.
+        for level in reversed(range(TOP)):
+            wrong_top[np.arange(len(h)), slots[:, level]] = -sign[:, level] / (1 + np.exp(np.minimum(top[:, level], STEEP))) * scale
+        wrong = -paths.deep[2] / (1 + np.exp(np.minimum(deep, STEEP))) * scale
+        back = wrong_top @ p["u"][:TOP_NODES]
+        some = np.flatnonzero(paths.counts)
+        if len(some):
+            back[some] += np.add.reduceat(wrong[:, None] * weights, paths.starts[some], axis=0)
+        self._move("u", slice(0, TOP_NODES), wrong_top.T @ h)
+        self._move_rows("u", paths.deep[0], wrong[:, None] * h[own])
+        back *= 1 - h * h
         to_inputs = (back @ p["w"].T).reshape(-1, EMBEDDING)
-        grads = {"w": inputs.T @ back, "b": back.sum(0), "o": h.T @ wrong, "c": wrong.sum(0)}
-        for k, g in grads.items():
-            self._move(k, slice(None), g)
-        # Only the rows that occur move: their gradients are added up in order of their number.
-        names = around.reshape(-1)
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
+        self._move("w", slice(None), inputs.T @ back)
+        self._move("b", slice(None), back.sum(0))
+        self._move_rows("e", around.reshape(-1), to_inputs)
+
+    def _move_rows(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
+        """Only the rows that occur move: their gradients are added up in order of their number."""
+        if not len(rows):
+            return
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
         first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        self._move("e", ordered[first], np.add.reduceat(to_inputs[order], first, axis=0))
+        self._move(name, ordered[first], np.add.reduceat(gradients[order], first, axis=0))
 
     def _move(self, name: str, rows, gradient: np.ndarray) -> None:
         square = self.square[name]
@@ -291,57 +323,72 @@ class Learner:
         self.p[name][rows] -= RATE * gradient / np.sqrt(square[rows])
 
 
-def _train(start: np.ndarray, classes: Steps):
+def _train(start: np.ndarray, tree: Tree):
+    """One row per task: its weights, and how many words it has read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, words = Learner(unflat(start)), 0
-        to_input = input_buckets(len(learner.p["c"]))
-        for _, _, tokens, around in blocks(batches, to_input):
+        rows = len(learner.p["u"])
+        for _, _, tokens, around in blocks(batches, Inputs(rows)):
+            kinds, which = np.unique(tokens, return_inverse=True)
+            paths = tree.paths(kinds.astype(np.int64), rows)
             for at in range(0, len(tokens), BATCH):
-                learner.step(around[at : at + BATCH], classes[tokens[at : at + BATCH]])
+                learner.step(around[at : at + BATCH], paths.of(which[at : at + BATCH]))
             words += len(tokens)
-        values = flat(learner.p).astype(np.float64) * words if words else np.zeros(0)
-        # Each value weighs as many words as its task has read.
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), words, np.int64))], names=["i", "v", "n"]
-        )
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([words], pa.int64()), pa.array([flat(learner.p).tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["task", "words", "weights"])
 
     return run
 
 
-def train(tokens: DataFrame, rounds: int = 1, spectrum: DataFrame | None = None) -> dict[str, np.ndarray | Steps]:
-    """Weights and output classes, learned from every word of every document.
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of several tasks as one row: each weighs as many words as its task has read."""
+    total, words = None, 0
+    for batch in batches:
+        for n, weights in zip(batch.column("words").to_pylist(), batch.column("weights").to_pylist()):
+            found = np.frombuffer(weights, np.float32).astype(np.float64) * n
+            total, words = found if total is None else total + found, words + n
+    if words:
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["words", "weights"])
+
+
+def train(tokens: DataFrame, rounds: int = 1, spectrum: DataFrame | None = None) -> dict[str, np.ndarray | Tree]:
+    """Weights and the tree of words, learned from every word of every document.
 
     Each task runs over its own documents from the same start, and the tasks' weights are averaged by the
-    words they have read, parameter by parameter in a grouped sum. The driver gets one number per parameter, and the
+    words they have read: a row per task, added up in ``FAN_IN`` tasks before the driver. It also gets the
     ``spectrum`` (how many words occur n times), which has fewer rows than twice the root of all words.
     """
     if spectrum is None:
         each = tokens.select("tokens").mapInArrow(_counts, "rank bigint, n bigint").groupBy("rank").agg(F.sum("n").alias("n"))
         spectrum = each.groupBy("n").agg(F.count("*").alias("words"))
     found = spectrum.orderBy(F.col("n").desc()).toArrow()
-    classes, within = output_classes(found.column("n").to_numpy(), found.column("words").to_numpy())
-    values = flat(initial(len(classes.values)))
+    tree = Tree(found.column("n").to_numpy(), found.column("words").to_numpy())
+    values = flat(initial(table_rows(tree.size)))
     for _ in range(rounds):
-        parts = tokens.mapInArrow(_train(values, classes), "i int, v double, n bigint")
-        mean = parts.groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-        if mean.num_rows:
-            values = np.zeros(len(values))
-            values[mean.column("i").to_numpy()] = mean.column("v").to_numpy()
-    return {"values": values.astype(np.float32), "classes": classes, "within": within}
+        learned = tokens.mapInArrow(_train(values, tree), "task int, words bigint, weights binary")
+        added = learned.repartition(FAN_IN, "task").select("words", "weights").mapInArrow(_add, "words bigint, weights binary").collect()
+        if added:
+            total = sum(np.frombuffer(row["weights"], np.float64) for row in added)
+            values = (total / sum(row["words"] for row in added)).astype(np.float32)
+    return {"values": values, "tree": tree}
 
 
 def _score(model: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unflat(model["values"])
-        to_input = input_buckets(len(p["c"]))
+        rows = len(p["u"])
 
         def give(names: list, sizes: list, totals: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())], names=["id", "n_tokens", "log_prob"])
 
         # A text that is split over blocks is given out once its last part has been added.
         open_name, open_total, open_n, live = None, 0.0, 0, False
-        for ids, owner, tokens, around in blocks(batches, to_input):
-            value = log_chance(p, around, model["classes"][tokens]) + model["within"][tokens]
+        for ids, owner, tokens, around in blocks(batches, Inputs(rows)):
+            kinds, which = np.unique(tokens, return_inverse=True)
+            paths, value = model["tree"].paths(kinds.astype(np.int64), rows), np.zeros(len(tokens))
+            for at in range(0, len(tokens), CACHED_ROWS):
+                value[at : at + CACHED_ROWS] = log_chance(p, around[at : at + CACHED_ROWS], paths.of(which[at : at + CACHED_ROWS]))
             total = np.bincount(owner, value, len(ids))
             size = np.bincount(owner, minlength=len(ids))
             names, totals, sizes = [], [], []
@@ -365,8 +412,8 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """One row per document: id, ``n_tokens``, ``log_prob`` and ``mean_log_prob``.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, each counted by itself. Each is predicted from two
-    words on either side, itself left out, by embeddings, a tanh layer and a softmax over classes, whose number grows with
-    the vocabulary (see ``output_classes``); times the share of the word in its class. ``log_prob`` is the sum of the logarithms over all words, the
+    words on either side, itself left out, by embeddings, a tanh layer and a binary tree over all words (see ``Tree``), at each node of which the hidden
+    layer moves the odds from those of the counts. ``log_prob`` is the sum of the logarithms over all words, the
     pseudo-log-likelihood. Counts and weights come from all documents (see ``train``).
 
     A null or empty text has no tokens: the sum is 0 and the mean null. Long texts are scored in parts that see

@@ -9,6 +9,7 @@ import pytest
 from helpers import PROSE, no_documents, odd_documents, odd_rows
 
 from rowloom.llm import byte_cnn, pseudo_likelihood, secret_novelty
+from rowloom.llm.common import mix
 from rowloom.llm.byte_cnn import accepted, held_out, identify, train
 from rowloom.llm.pseudo_likelihood import score
 from rowloom.llm.secret_novelty import find_secrets
@@ -192,14 +193,97 @@ def test_secrets_in_odd_documents(spark):
     assert find_secrets(no_documents(spark)).count() == 0
 
 
+def plain_ways(counts, rows):
+    """The way to each rank by plain recursion: (slot, cut's base value, whether right) from the root on."""
+    before = np.concatenate(([0], np.cumsum(counts))).tolist()
+    ways = {}
+
+    def go(low, high, way):
+        if high - low == 1:
+            ways[low] = way
+            return
+        half = (before[low] + before[high]) // 2
+        cut = min(range(low + 1, high), key=lambda c: (abs(before[c] - half), c))
+        if len(way) < pseudo_likelihood.TOP:
+            slot = int("1" + "".join(str(int(right)) for _, _, right in way), 2) - 1
+        else:
+            slot = pseudo_likelihood.TOP_NODES + int(mix(np.array([cut], np.uint64))[0]) % (rows - pseudo_likelihood.TOP_NODES)
+        base = np.log((before[high] - before[cut]) / (before[cut] - before[low]))
+        go(low, cut, [*way, (slot, base, False)])
+        go(cut, high, [*way, (slot, base, True)])
+
+    go(0, len(counts), [])
+    return ways
+
+
+def plain_log_chance(p, around, way):
+    h = np.tanh(np.concatenate([p["e"][i] for i in around]).astype(float) @ p["w"].astype(float) + p["b"])
+    values = [base + h @ p["u"][slot].astype(float) for slot, base, _ in way]
+    return -sum(np.log1p(np.exp(-x if right else x)) for x, (_, _, right) in zip(values, way))
+
+
+def some_tree(words, seed):
+    rng = np.random.default_rng(seed)
+    counts = np.sort(rng.zipf(1.4, words).clip(max=10**6))[::-1]
+    n, size = np.unique(counts, return_counts=True)
+    return pseudo_likelihood.Tree(n[::-1], size[::-1]), counts
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 50, 3000])
+def test_tree_is_a_distribution_over_all_words(words):
+    tree, counts = some_tree(words, words)
+    rows = pseudo_likelihood.table_rows(words)
+    ways = plain_ways(counts, rows)
+    paths = tree.paths(np.arange(words), rows)
+    around = np.tile(np.array([[5, 0, 7, 4000]]), (words, 1))
+    p = pseudo_likelihood.initial(rows)
+    # Before anything is learned a word has its exact share of the counts.
+    assert np.allclose(pseudo_likelihood.log_chance(p, around, paths), np.log(counts / counts.sum()), atol=1e-4)
+    p["u"] = np.random.default_rng(2).normal(0, 1, p["u"].shape).astype(np.float32)
+    found = pseudo_likelihood.log_chance(p, around, paths)
+    assert np.exp(found).sum() == pytest.approx(1, abs=1e-4)
+    assert np.allclose(found, [plain_log_chance(p, around[0], ways[r]) for r in range(words)], atol=1e-3)
+    some = np.random.default_rng(3).integers(0, words, 200)
+    assert np.allclose(pseudo_likelihood.log_chance(p, around[np.zeros(200, int)], paths.of(some)), found[some], atol=1e-5)
+
+
+def test_gradient_of_the_tree():
+    tree, _ = some_tree(3000, 4)
+    rng = np.random.default_rng(5)
+    rows = pseudo_likelihood.table_rows(3000)
+    p = {k: v.astype(np.float64) for k, v in pseudo_likelihood.initial(rows).items()}
+    p["u"] = rng.normal(0, 0.5, p["u"].shape)
+    around, words = rng.integers(0, rows, (40, 4)), rng.integers(0, 3000, 40)
+    paths = tree.paths(words, rows)
+    found = {k: np.zeros_like(v) for k, v in p.items()}
+
+    class Recorder(pseudo_likelihood.Learner):
+        def _move(self, name, at, gradient):
+            found[name][at] += gradient
+
+    Recorder(p).step(around, paths)
+    for name, own in p.items():
+        touched = np.argwhere(found[name] != 0)
+        for at in map(tuple, touched[rng.integers(0, len(touched), 12)]):
+            kept, sides = own[at], []
+            for change in (1e-5, -1e-5):
+                own[at] = kept + change
+                sides.append(-pseudo_likelihood.log_chance(p, around, paths).mean())
+            own[at] = kept
+            assert found[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=2e-2, abs=1e-6)
+
+
 def test_scores_add_up_over_all_words(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["a b c d", "e f g h"]) for _ in range(rng.randrange(0, 60)))) for i in range(150)] + [(500, "a b c d " * 40_000), (None, "a b"), (501, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     tokens = pseudo_likelihood.pack_tokens(df, "doc_id", "text")
     model = pseudo_likelihood.train(tokens)
-    p, to_input = pseudo_likelihood.unflat(model["values"]), pseudo_likelihood.input_buckets()
+    p = pseudo_likelihood.unflat(model["values"])
+    to_input = pseudo_likelihood.Inputs(len(p["u"]))
     packed = {r["id"]: np.frombuffer(r["tokens"], pseudo_likelihood.TOKEN) for r in tokens.collect()}
+    counts = np.sort(np.bincount(np.concatenate(list(packed.values()))))[::-1]
+    ways = plain_ways(counts, len(p["u"]))
     import pyarrow as pa
 
     given = pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int64()), pa.array([x.tobytes() for x in packed.values()], pa.binary())], names=["id", "tokens"])
@@ -211,12 +295,19 @@ def test_scores_add_up_over_all_words(spark):
             assert r["n_tokens"] == 160_000
         for at in range(len(t)) if len(t) < 300 else ():
             around = [to_input[t[at + j]] if 0 <= at + j < len(t) else pseudo_likelihood.PAD for j in (-2, -1, 1, 2)]
-            chance = pseudo_likelihood.log_softmax(pseudo_likelihood.hidden(p, np.array([around])) @ p["o"] + p["c"])[0]
-            want += chance[model["classes"][t[at]]] + model["within"][t[at]]
-        assert len(t) >= 300 or r["log_prob"] == pytest.approx(want, rel=1e-4, abs=1e-4)
-    # The classes and what they hold are a distribution over all buckets.
-    total = np.bincount(model["classes"], np.exp(model["within"]), pseudo_likelihood.CLASSES)
-    assert np.allclose(total, 1)
+            want += plain_log_chance(p, around, ways[int(t[at])])
+        assert len(t) >= 300 or r["log_prob"] == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_order_matters_in_a_large_vocabulary(spark):
+    """20,000 words, far more than tables have rows: nearly all texts score above their own words in another order."""
+    rng = random.Random(17)
+    phrases = [[f"w{i + j}" for j in range(4)] for i in range(0, 20_000, 4)]
+    texts = [[w for _ in range(25) for w in rng.choice(phrases)] for _ in range(3000)]
+    other = [rng.sample(t, len(t)) for t in texts[:200]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + other)], "doc_id bigint, text string").coalesce(2)
+    found = {r["doc_id"]: r["mean_log_prob"] for r in score(df).collect()}
+    assert sum(found[i] > found[3000 + i] for i in range(200)) >= 190
 
 
 def test_order_matters_to_the_score(spark):
@@ -244,12 +335,12 @@ def test_every_word_has_its_own_count(spark):
         for word, k in zip(texts[r["id"]].lower().split(), np.frombuffer(r["tokens"], pseudo_likelihood.TOKEN).tolist(), strict=True):
             assert rank.setdefault(word, k) == k
     assert sorted(rank.values()) == list(range(len(want)))
-    model = pseudo_likelihood.train(tokens)
-    held = Counter()
-    for w, k in rank.items():
-        held[int(model["classes"][k])] += want[w]
-    assert all(model["within"][k] == pytest.approx(np.log(want[w] / held[int(model["classes"][k])])) for w, k in rank.items())
-    assert len(held) == len(model["classes"].values) and pseudo_likelihood.class_count(10**8) == 400
+    tree = pseudo_likelihood.train(tokens)["tree"]
+    words = sorted(rank, key=rank.get)
+    share = np.array([want[w] for w in words]) / sum(want.values())
+    paths = tree.paths(np.arange(len(words)), pseudo_likelihood.LEAST_ROWS)
+    found = pseudo_likelihood.log_chance(pseudo_likelihood.initial(), np.zeros((len(words), 4), int), paths)
+    assert np.allclose(found, np.log(share), atol=1e-4) and pseudo_likelihood.table_rows(10**8) == 80_000
 
 
 def test_texts_without_words_have_no_score(spark):
