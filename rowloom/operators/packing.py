@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.hashing import BUCKET_BITS, bucket
+from rowloom.functions.hashing import bucket
+from rowloom.operators.ordering import running
 
 # Block lengths of the two training paths, and the marker between examples.
 SHORT_BLOCK = 512
 LONG_BLOCK = 4096
 SEPARATOR = "</s>"
 
-# Rows are placed in 2^16 slots by hash: the totals of the slots fit one task, a slot holds 1/65,536 of the rows.
-SLOT_BITS = 16
+# Characters of a text that take part in the order of rows with one key.
+PREFIX = 64
 
 
 def words(text: Column) -> Column:
@@ -39,23 +40,17 @@ def pack_sequences(
 ) -> DataFrame:
     """Blocks of ``length`` tokens, one row each: block, tokens, n_tokens, n_pieces.
 
-    All rows are one stream in the order of the hash of their key, then key and text, and block ``b`` has the
-    tokens from ``b * length`` on. Only the very last block may be shorter; ``drop_tail`` leaves it out.
+    All rows are one stream in the order of the hash of their key, then key and text (by its first characters, then
+    its hash), and block ``b`` has the tokens from ``b * length`` on. Only the very last block may be shorter; ``drop_tail`` leaves it out.
 
-    The stream is cut into slots by the leading bits of the hash. One job adds up the tokens of each slot; the
-    texts are then shuffled by slot, a running sum inside the slot gives each row its place, and
-    the tokens, made only now, meet in their block. A block is at most its length, so what is collected is bounded.
+    Texts are range partitioned in that order, so rows of one key, or equal rows, go to as many tasks as they need; each
+    task adds up its sizes, and the tasks' totals give each row its place. The tokens meet in their
+    block. A block is at most its length, so what is collected is bounded.
     """
-    order = bucket("pack", key)
     tokens = _tokens("text", tokenizer, separator)
-    rows = df.select(F.shiftright(order, BUCKET_BITS - SLOT_BITS).alias("slot"), order.alias("h"), F.col(key).alias("k"), F.col(text).alias("text"))
-    sized = rows.withColumn("size", F.size(tokens).cast("bigint")).filter("size > 0")
-    slots = sized.groupBy("slot").agg(F.sum("size").alias("n"))
-    base = slots.select("slot", (F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    upto = Window.partitionBy("slot").orderBy("h", "k", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("start", F.sum("size").over(upto) - F.col("size"))
-    # At most 65,536 rows.
-    placed = placed.join(F.broadcast(base), "slot").withColumn("start", F.col("start") + F.col("base")).withColumn("tokens", tokens)
+    rows = df.select(bucket("pack", key).alias("h"), F.col(key).alias("k"), F.col(text).alias("text"))
+    order = [F.col("h"), F.col("k"), F.substring("text", 1, PREFIX), F.xxhash64("text")]
+    placed = running(rows, order, F.size(tokens), "size", "start").withColumn("tokens", tokens)
     first = F.floor(F.col("start") / length)
     last = F.floor((F.col("start") + F.col("size") - 1) / length)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import BUCKET_BITS, bucket
+from rowloom.operators.ordering import positioned
 
 # Seeds and default fractions.
 TRAIN_SEED = 42
@@ -29,6 +30,7 @@ DEFAULT_SPLIT = 0.9
 # the later ones see one slice of the one before.
 STEP_BITS = (10, 16, 16, 16)
 RANKED_ROWS = 1 << 20
+PREVIEW_BITS = 12
 
 TRAIN, TEST, EVAL = "train", "test", "eval"
 
@@ -93,9 +95,8 @@ def _marked(df: DataFrame, key: str, salt: str, wanted: int, n: int) -> DataFram
     at = bucket(salt, "__row")
     before, same = (at < last[0]) | ((at == last[0]) & (F.col("__row") < last[1])), F.col("__row") == last[1]
     rest = tied.filter(~same).withColumn("__head", before).drop("__row")
-    # These rows are all the same: one of them, repeated as often as there are.
-    copy = F.explode(F.sequence(F.lit(1), F.lit(last[3])))
-    equal = tied.filter(same).limit(1).withColumn("__head", copy).withColumn("__head", F.col("__head") <= last[2]).drop("__row")
+    # These rows are all the same: they are numbered where they are.
+    equal = positioned(tied.filter(same).drop("__row"), name="__at").withColumn("__head", F.col("__at") < last[2]).drop("__at")
     return others.unionByName(rest).unionByName(equal)
 
 
@@ -173,6 +174,24 @@ def preview(df: DataFrame, key: str, n: int, seed: int | str = 0) -> DataFrame:
     return df.orderBy(order, F.col(key).cast("string")).limit(n)
 
 
+def preview_each(df: DataFrame, group: str, key: str, n: int, seed: int | str = 0) -> DataFrame:
+    """``n`` rows of each group for a look, the same on every call; all rows of a smaller group. Null is a group.
+
+    Per group a histogram of the hash says below which slot the ``n`` smallest lie. Only those rows are ranked, and every task
+    drops what is not among its own first ``n`` of a group before the shuffle, so a group with most of the rows, or a key
+    with most of a group, sends no more than any other. Rows of one key are told apart by a hash of all columns.
+    """
+    place = df.select("*", bucket(seed, key).alias("__h"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    slot = F.shiftright("__h", BUCKET_BITS - PREVIEW_BITS)
+    sizes = place.groupBy(F.col(group).alias("__group"), slot.alias("__slot")).agg(F.count("*").alias("__n"))
+    # At most 2^PREVIEW_BITS rows of a group.
+    upto = F.sum("__n").over(Window.partitionBy("__group").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    last = sizes.withColumn("__before", F.coalesce(upto, F.lit(0))).filter(F.col("__before") < n).groupBy("__group").agg(F.max("__slot").alias("__last"))
+    near = place.join(last, F.col(group).eqNullSafe(F.col("__group")) & (slot <= F.col("__last")))
+    rank = F.row_number().over(Window.partitionBy("__group").orderBy("__h", _text(key), "__row"))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= n).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def split_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n_rows"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import with_row_key
-from rowloom.operators import packing, sampling
+from rowloom.operators import packing, sample_packing, sampling
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
 from rowloom.session import fresh_path
@@ -175,3 +175,48 @@ def split_repeated_keys(spark, sf):
     """Order keys repeat over the lines of an order; the sizes are exact all the same."""
     split = sampling.train_test_split(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate"), "l_orderkey", 0.7)
     return split.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+
+
+def _whole_sql(length: int, longer: str) -> str:
+    """First fit decreasing, one sample after another."""
+    cut = f"range((len(tokens) - 1) // {length} + 1)" if longer == "cut" else f"range(CASE WHEN len(tokens) <= {length} THEN 1 ELSE 0 END)"
+    return f"""WITH RECURSIVE {TOKENS.split("u AS")[0].strip().rstrip(",")},
+        s AS (SELECT h, doc_id, k, tokens[k * {length} + 1 : (k + 1) * {length}] AS piece FROM t, {cut} AS r(k)),
+        o AS (SELECT piece, len(piece) AS size, row_number() OVER (ORDER BY len(piece) DESC, h, doc_id, k) AS i FROM s),
+        fit AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS room, 0::BIGINT AS block, 0::BIGINT AS at
+                UNION ALL
+                SELECT i + 1, CASE WHEN b = 0 THEN list_append(room, {length} - size) ELSE list_concat(room[: b - 1], [room[b] - size], room[b + 1 :]) END,
+                       CASE WHEN b = 0 THEN len(room) ELSE b - 1 END, CASE WHEN b = 0 THEN 0 ELSE {length} - room[b] END
+                FROM (SELECT f.i, room, size, coalesce(list_position([x >= size for x in room], TRUE), 0) AS b FROM fit f JOIN o ON o.i = f.i + 1)),
+        l AS (SELECT block, at, size, piece, row_number() OVER (PARTITION BY block ORDER BY at) AS n FROM fit JOIN o USING (i)),
+        g AS (SELECT block, sum(size)::INTEGER AS n_tokens, count(*)::INTEGER AS n_samples, ({length} - sum(size))::INTEGER AS padding,
+                     string_agg(array_to_string(piece, ' ') || ' ', '' ORDER BY at) AS content, string_agg(repeat(n || ',', size), '' ORDER BY at) AS ids,
+                     string_agg(array_to_string(range(size), ',') || ',', '' ORDER BY at) AS positions FROM l GROUP BY block)"""
+
+
+def _whole(spark, sf, length, longer):
+    blocks = sample_packing.pack_samples(table(spark, sf, "documents"), "doc_id", "text", length, longer=longer)
+    digest = {"content": ("tokens", " "), "ids": ("sample_ids", ","), "positions": ("position_ids", ",")}
+    told = [F.md5(F.concat(F.array_join(F.col(c).cast("array<string>"), mark), F.lit(mark))).alias(name) for name, (c, mark) in digest.items()]
+    return blocks.select("block", "n_tokens", "n_samples", "padding", *told)
+
+
+_BLOCKS_SQL = """ SELECT block, n_tokens, n_samples, padding, md5(content || repeat('<pad> ', padding)) AS content,
+        md5(ids || repeat('0,', padding)) AS ids, md5(positions || repeat('0,', padding)) AS positions FROM g"""
+
+
+@query("pack_samples", _whole_sql(packing.LONG_BLOCK, "cut") + _BLOCKS_SQL)
+def pack_samples(spark, sf):
+    return _whole(spark, sf, packing.LONG_BLOCK, "cut")
+
+
+@query(
+    "pack_short_samples",
+    _whole_sql(packing.SHORT_BLOCK, "drop")
+    + f""" SELECT count(*) AS n_blocks, coalesce(sum(n_tokens), 0)::BIGINT AS n_tokens, coalesce(sum(n_samples), 0)::BIGINT AS n_samples,
+        round(sum(n_tokens)::DOUBLE / (count(*) * {packing.SHORT_BLOCK})::DOUBLE, 9) AS fill FROM g""",
+)
+def pack_short_samples(spark, sf):
+    """How well blocks are filled when samples longer than a block are left out."""
+    blocks = sample_packing.pack_samples(table(spark, sf, "documents"), "doc_id", "text", packing.SHORT_BLOCK, longer="drop")
+    return sample_packing.fill_rate(blocks, packing.SHORT_BLOCK).withColumn("fill", F.round("fill", 9))

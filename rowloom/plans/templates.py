@@ -162,6 +162,17 @@ def preview_examples(spark, sf):
     )
 
 
+@query(
+    "preview_each_dataset",
+    """SELECT doc_id, source, concat(lang, ': ', text) AS prediction
+       FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY @b(look;doc_id), CAST(doc_id AS VARCHAR)) AS n FROM @documents) WHERE n <= 5""",
+)
+def preview_each_dataset(spark, sf):
+    """Each source stands for a dataset."""
+    shown = sampling.preview_each(table(spark, sf, "documents"), "source", "doc_id", 5, "look")
+    return T.render_train(shown, "{lang}: {text}", eos=None).select("doc_id", "source", "prediction")
+
+
 _FORMATS = ", ".join(
     f"({i}, '{name}', {cols})" for i, (name, cols) in enumerate(template_choice.FORMATS.items())
 )

@@ -37,3 +37,17 @@ def test_short_and_empty_tables(spark):
     assert [r["tokens"] for r in packing.pack_sequences(df, "k", "t").collect()] == [["one", "two", "</s>"]]
     assert packing.pack_sequences(df.limit(0), "k", "t").count() == 0
     assert tuple(packing.dropped_tokens(df.limit(0), "t").first()) == (0, 0, 0)
+
+
+def test_one_key_with_most_of_the_table(spark):
+    rows = [(7, f"row {i % 50} " + "x " * (i % 9)) for i in range(400)] + [(None, "none at all")] * 100 + [(i, f"t{i}") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "k bigint, t string").repartition(6)
+    got = {r["block"]: r["tokens"] for r in packing.pack_sequences(df, "k", "t", 32).collect()}
+    want, size = expected([(k, t) for k, t in rows], 32, "</s>")
+    assert sum(map(len, got.values())) == size and sorted(t for b in got.values() for t in b) == sorted(t for b in want.values() for t in b)
+    # Keys keep their order; texts of the hot key are whole, in an order of their own.
+    stream = [t for b in sorted(got) for t in got[b]]
+    samples = " ".join(stream).split(" </s>")
+    assert sorted(" ".join(s.split()) for s in samples if s.strip()) == sorted(" ".join(t.split()) for _, t in rows)
+    again = {r["block"]: r["tokens"] for r in packing.pack_sequences(df.repartition(2), "k", "t", 32).collect()}
+    assert again == got

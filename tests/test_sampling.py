@@ -99,6 +99,25 @@ def test_preview_is_repeatable(spark):
     assert ids(S.preview(table(spark, 50), "k", 5, 3)) == ids(S.preview(table(spark, 50).repartition(9), "k", 5, 3))
 
 
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_preview_of_each_group(spark, parts):
+    rows = [("hot", i, f"t{i}") for i in range(900)] + [("hot", 7, "again")] * 300 + [(g, i, "x") for g in ("a", "b", None) for i in range(g == "a" and 3 or 40)]
+    df = spark.createDataFrame(rows, "g string, k int, t string").repartition(parts)
+    found = {}
+    for r in S.preview_each(df, "g", "k", 5, "s").collect():
+        found.setdefault(r["g"], []).append(r["k"])
+    order = lambda k: (int(hashlib.md5(f"s:{k}".encode()).hexdigest()[:15], 16), str(k))
+    for g in ("hot", "a", "b", None):
+        assert sorted(found[g]) == sorted(sorted((k for h, k, _ in rows if h == g), key=order)[:5])
+    assert S.preview_each(df.limit(0), "g", "k", 5).count() == 0
+
+
+def test_equal_rows_are_dealt_by_count(spark):
+    df = spark.createDataFrame([(7, "x")] * 500 + [(i, "y") for i in range(100)], "k int, t string").repartition(6)
+    split = S.train_test_split(df, "k", 0.6)
+    assert split.filter("split = 'test'").count() == 240 and sorted(map(tuple, split.drop("split").collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_leakage_counts_texts(spark):
     df = spark.createDataFrame(
         [(1, "a", "train"), (2, "a", "test"), (3, "b", "test"), (4, "c", "train"), (5, "a", "test")], "k int, t string, split string"
