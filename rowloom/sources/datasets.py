@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.operators.projection import normalize_splits
+from rowloom.sources.records import JsonScan, first_record, keys_of, read_csv_records, read_json_records, read_table_records
 
 # A quote inside a quoted field is doubled.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
@@ -18,19 +19,26 @@ def read_dataset(
     kind: str,
     schema: T.StructType | str | None = None,
     multiline: bool = False,
+    whole_files: bool = False,
 ) -> DataFrame:
     """A dataset with a ``split`` column; without splits every row is train.
 
     ``kind`` is csv, json (a file holds an array of objects, or one object), jsonl or parquet; a
     parquet dataset may be partitioned by ``split``. Give ``schema`` to save the pass that infers
-    it. CSV files are read in pieces; with line breaks inside fields (``multiline=True``) a file is one task.
+    it. Every file is read by many tasks. JSON files, and CSV files with line breaks inside fields (``multiline=True``), are cut
+    into records first, in the shared folder; with ``whole_files`` Spark's own reader takes them, a task for each file.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if kind == "csv":
+    if kind == "csv" and multiline and not whole_files:
+        inferred = {} if schema is not None else {"inferSchema": "true"}
+        df = read_csv_records(spark, path, CSV_OPTIONS | inferred, schema)
+    elif kind == "csv":
         reader = reader.options(**CSV_OPTIONS, multiLine=str(multiline).lower())
         if schema is None:
             reader = reader.option("inferSchema", "true")
         df = reader.csv(path)
+    elif kind == "json" and not whole_files:
+        df = read_json_records(spark, path, schema)
     elif kind == "json":
         df = reader.option("multiLine", "true").json(path)
     elif kind == "jsonl":
@@ -52,14 +60,11 @@ def dataset_features(spark: SparkSession, path: str, kind: str) -> list[str]:
         record = spark.read.text(path).filter(F.length(F.trim("value")) > 0).limit(1)
         keys = record.select(F.json_object_keys("value")).first()
     elif kind == "json":
-        # Reading an array of raw objects keeps their text, and with it the order of the keys.
-        whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value")).limit(1)
-        objects = F.from_json("value", T.ArrayType(T.StringType()))
-        one = F.when(F.startswith("value", F.lit("[")), F.get(objects, F.lit(0))).otherwise(F.col("value"))
-        keys = whole.select(F.json_object_keys(one)).first()
+        record = first_record(spark, path, JsonScan())
+        keys = [keys_of(record)] if record else None
     else:
         raise ValueError(f"cannot list features of a dataset of kind '{kind}'")
-    if keys is None or keys[0] is None:
+    if keys is None or not keys[0]:
         raise ValueError(f"no record with columns in {path}")
     return list(keys[0])
 
@@ -78,13 +83,9 @@ def read_split_orient(spark: SparkSession, path: str, schema: T.StructType) -> D
     """Rows of files that hold ``{"columns": [...], "data": [[...], ...]}`` each.
 
     Values are found by the position of their column name and cast to the schema. A file that is
-    not such a table is an error.
+    not such a table is an error. Every file is read by many tasks.
     """
-    shape = "columns array<string>, data array<array<string>>"
-    tables = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", shape, {"mode": "FAILFAST"}).alias("t")
-    )
-    rows = tables.select("t.columns", F.explode("t.data").alias("row"))
+    rows = read_table_records(spark, path)
     at = lambda name: F.nullif(F.array_position("columns", F.lit(name)), F.lit(0)).cast("int")
     return rows.select(
         *[F.try_element_at("row", at(f.name)).cast(f.dataType).alias(f.name) for f in schema]
