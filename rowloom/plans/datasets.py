@@ -12,7 +12,7 @@ from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
 from rowloom.session import fresh_path
 from rowloom.sources import datasets, results
-from rowloom.streaming import streams
+from rowloom.streaming import changes, streams
 
 
 @query(
@@ -294,6 +294,24 @@ def progress_stream(spark, sf):
     return streams.read_latest(spark, f"{path}/out", ["run", "key"]).select("run", "key", "value")
 
 
+@query(
+    "progress_changes",
+    """SELECT user_id AS run, event_type AS key, arg_max(value, (ts, event_id)) AS value FROM @events GROUP BY user_id, event_type""",
+)
+def progress_changes(spark, sf):
+    """The events come a few files at a time; what a batch changes goes to the log."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("key"), "ts", "event_id", "value")
+    path, keys = fresh_path(spark, "changes"), ["run", "key"]
+    for part in range(6):
+        events.filter(F.col("event_id") % 6 == part).write.mode("append").parquet(f"{path}/in")
+    files = len(spark.read.parquet(f"{path}/in").inputFiles())
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 6)).parquet(f"{path}/in")
+    with changes.rocks_state(spark):
+        changed = changes.newest_changes(stream, keys, "value", "ts", "event_id")
+        changes.write_changes(changed, f"{path}/log", f"{path}/checkpoint", keys)
+    return changes.read_changes(spark, f"{path}/log", keys).select("run", "key", "value")
+
+
 @query(
     "render_stream",
     "SELECT doc_id, concat('[', lang, '] ', text, '</s>') AS prediction FROM @documents",

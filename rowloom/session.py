@@ -51,3 +51,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _store(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of any store Spark knows; nothing if there is none."""
+    store, at = _store(spark, path), _path(spark, path)
+    return sorted(status.getPath().getName() for status in store.listStatus(at)) if store.exists(at) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table that Spark writes is whole."""
+    return _store(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _store(spark, path).delete(_path(spark, path), True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions.templates import render_train
+from rowloom.session import delete, finished, names_in
 
 
 def read_stream(spark: SparkSession, path: str, kind: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def write_latest(latest: DataFrame, path: str, checkpoint: str) -> None:
             batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/snapshot-{done[-1]}"))
         batch.groupBy(*keys).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
         for old in done[:-1]:
-            _files(spark, path).delete(_path(spark, f"{path}/snapshot-{old}"), True)
+            delete(spark, f"{path}/snapshot-{old}")
 
     query = (
         latest.writeStream.outputMode("update")
@@ -52,22 +53,10 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(f"{path}/snapshot-{_snapshots(spark, path)[-1]}").select(*keys, "last.*")
 
 
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _files(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the finished snapshots, in order."""
-    files, at = _files(spark, path), _path(spark, path)
-    if not files.exists(at):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(at)]
-    numbers = [int(n.removeprefix("snapshot-")) for n in names if n.startswith("snapshot-")]
-    return sorted(n for n in numbers if files.exists(_path(spark, f"{path}/snapshot-{n}/_SUCCESS")))
+    numbers = [int(n.removeprefix("snapshot-")) for n in names_in(spark, path) if n.startswith("snapshot-")]
+    return sorted(n for n in numbers if finished(spark, f"{path}/snapshot-{n}"))
 
 
 def render_stream(stream: DataFrame, template: str, path: str, checkpoint: str) -> None:
