@@ -25,10 +25,10 @@ def characters(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Vowel groups, and one for each word that has none."""
-    group = "[AEIOUYaeiouy]++"
-    silent = "(?<![A-Za-z0-9])[B-DF-HJ-NP-TV-XZb-df-hj-np-tv-xz0-9]++(?![A-Za-z0-9])"
-    return F.regexp_count(text, F.lit(f"{group}|{silent}"))
+    """Vowel groups, and one for each word that has none: the words less those that match from their first vowel on."""
+    vowel = "[AEIOUYaeiouy]"
+    with_vowel = F.regexp_count(text, F.lit(f"{vowel}[A-Za-z0-9]*+"))
+    return F.regexp_count(text, F.lit(f"{vowel}++")) + words(text) - with_vowel
 
 
 def flesch_kincaid(text: Column) -> Column:

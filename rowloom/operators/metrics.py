@@ -21,6 +21,9 @@ TOXIC_FROM = 0.5
 
 # Accuracy of the sketch that brackets a quantile.
 ACCURACY = 20_000
+# Size of the stored sketches, and three times the rank error it promises.
+SKETCH_SIZE = 2048
+SKETCH_ERROR = 0.0075
 
 _COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("hits", "predicted", "wanted")])
 
@@ -144,9 +147,9 @@ def long_form(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> Data
     return wide.unpivot(list(ids), list(metrics), "metric", "value").filter(F.col("value").isNotNull())
 
 
-def _brackets(long: DataFrame, keys: list[str], value: str, q: float, accuracy: int) -> DataFrame:
-    """Per group size, mean, variance, and two values between which the quantile lies for certain."""
-    ends = [max(0.0, q - 3.0 / accuracy), min(1.0, q + 3.0 / accuracy)]
+def _brackets(long: DataFrame, keys: list[str], value: str, q: float, accuracy: int, slack: float = 3.0) -> DataFrame:
+    """Per group size, mean, variance, and two values between which the quantile should lie."""
+    ends = [max(0.0, q - slack / accuracy), min(1.0, q + slack / accuracy)]
     found = long.groupBy(*keys).agg(
         F.count(value).alias("__n"),
         F.avg(value).alias("__mean"),
@@ -160,10 +163,11 @@ def _brackets(long: DataFrame, keys: list[str], value: str, q: float, accuracy:
     low = F.when(small, F.col("__min")).otherwise(F.get("__ends", F.lit(0))).alias("__low")
     high = F.when(small, F.col("__max")).otherwise(F.get("__ends", F.lit(1))).alias("__high")
     # Written, as it is read twice; its size then tells the planner how to join it.
-    return written(found.select(*keys, "__n", "__mean", "__variance", low, high), "brackets")
+    return written(found.select(*keys, "__n", "__mean", "__variance", "__min", "__max", low, high), "brackets")
 
 
-def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+def _ranked(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """The quantile by ranking the values in the bracket, and whether both ranks it needs lie in there."""
     x = F.col(value)
     joined = long.join(brackets.select(*keys, "__n", "__low", "__high"), keys)
     inside = (x >= F.col("__low")) & (x <= F.col("__high"))
@@ -186,19 +190,124 @@ def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str,
         F.max(F.col("__upto") > ceil).alias("__reached"),
     )
     value = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")
-    proved = F.when(F.col("__below") & F.col("__reached"), value).otherwise(F.raise_error(F.lit("a quantile lies outside of its bracket")))
-    return found.select(*keys, proved.alias("quantile"))
+    return found.select(*keys, value.alias("quantile"), "__below", "__reached")
+
+
+def _widened(missed: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Brackets of groups that missed a rank, opened on the side where it lies."""
+    low = F.when(F.col("__below"), F.col("__low")).otherwise(F.col("__min"))
+    high = F.when(F.col("__reached"), F.col("__high")).otherwise(F.col("__max"))
+    open_sides = brackets.join(missed.select(*keys, "__below", "__reached"), keys)
+    return open_sides.withColumns({"__low": low, "__high": high}).drop("__below", "__reached")
+
+
+def _narrowed(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """Brackets around the rank by a sketch of the values inside them alone."""
+    x = F.col(value)
+    joined = long.join(brackets.select(*keys, "__low", "__high"), keys).filter(x <= F.col("__high"))
+    inside = F.when(x >= F.col("__low"), x)
+    told = joined.groupBy(*keys).agg(F.count(inside).alias("__in"), F.count("*").alias("__upto"), F.kll_sketch_agg_double(inside.cast("double"), F.lit(SKETCH_SIZE)).alias("__sketch"))
+    at = (F.lit(q) * (F.col("__n") - 1) - (F.col("__upto") - F.col("__in"))) / F.col("__in")
+
+    def end(share: Column) -> Column:
+        return F.kll_sketch_get_quantile_double("__sketch", F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))
 
+    both = brackets.join(told, keys).withColumns({"__from": end(at - SKETCH_ERROR), "__to": end(at + SKETCH_ERROR)})
+    return both.withColumns({"__low": F.col("__from"), "__high": F.col("__to")}).drop("__in", "__upto", "__sketch", "__from", "__to")
 
-def exact_quantile(long: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = ACCURACY) -> DataFrame:
+
+def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """Exact quantiles. Groups whose rank is not in the bracket get a wider one, then a narrower one inside that.
+
+    Counts prove each round. The second bracket may be missed only if its sketch breaks its promise; from then on brackets are
+    only widened, at most to the whole group, so the rounds end.
+    """
+    found, narrow = None, True
+    while True:
+        ranked = written(_ranked(long, brackets, keys, value, q), "quantiles")
+        proved = ranked.filter("__below AND __reached").select(*keys, "quantile")
+        found = proved if found is None else found.unionByName(proved)
+        missed = ranked.filter("NOT (__below AND __reached)")
+        if missed.isEmpty():
+            return found
+        brackets = written(_widened(missed, brackets, keys), "brackets")
+        if narrow:
+            brackets, narrow = written(_narrowed(long, brackets, keys, value, q), "brackets"), False
+
+
+def exact_quantile(long: DataFrame, keys: Sequence[str], value: str, q: float, accuracy: int = ACCURACY, slack: float = 3.0) -> DataFrame:
     """The linearly interpolated quantile per group, exact at any size.
 
-    A mergeable sketch brackets the wanted rank within a few parts in ``accuracy``; counting says
+    A mergeable sketch brackets the wanted rank within ``slack`` parts in ``accuracy``; counting says
     how many values lie below the bracket; only the values inside it are ranked, after equal ones
-    have collapsed. So no task sees a whole large group.
+    have collapsed. So no task sees a whole large group. A bracket that misses is mended in further rounds.
+    """
+    rows = long.filter(F.col(value).isNotNull())
+    return _quantile(rows, _brackets(rows, list(keys), value, q, accuracy, slack), list(keys), value, q)
+
+
+def summarise(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """What is kept of a part of the rows, to be merged with other parts: keys, ``n, mean, m2, least, most, sketch``.
+
+    ``m2`` is the sum of squared distances from the mean, ``sketch`` a KLL sketch. One row per group, nulls left out.
     """
     rows = long.filter(F.col(value).isNotNull())
-    return _quantile(rows, _brackets(rows, list(keys), value, q, accuracy), list(keys), value, q)
+    return rows.groupBy(*keys).agg(
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        (F.var_pop(value) * F.count(value)).alias("m2"),
+        F.min(value).alias("least"),
+        F.max(value).alias("most"),
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_SIZE)).alias("sketch"),
+    )
+
+
+def merge_summaries(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary of all rows from those of their parts; merging again changes nothing but the last digits."""
+    keys = list(keys)
+    whole = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+    # Distances from the common mean: adding up squares and taking the mean off would lose digits.
+    means = whole.select(*keys, F.col("mean").alias("__mean"))
+    away = F.col("mean") - F.col("__mean")
+    spread = parts.join(means, keys).groupBy(*keys).agg(F.sum(F.col("m2") + F.col("n") * away * away).alias("m2"))
+    return whole.join(spread, keys).select(*keys, "n", "mean", "m2", "least", "most", "sketch")
+
+
+def merged_quantile(long: DataFrame, merged: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
+    """The exact quantile of all rows, with the merged sketch as the bracket instead of a pass over the rows."""
+    keys = list(keys)
+
+    def end(share: float) -> Column:
+        return F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, share))))
+
+    brackets = merged.select(
+        *keys,
+        F.col("n").alias("__n"),
+        F.col("least").alias("__min"),
+        F.col("most").alias("__max"),
+        end(q - SKETCH_ERROR).alias("__low"),
+        end(q + SKETCH_ERROR).alias("__high"),
+    )
+    return _quantile(long.filter(F.col(value).isNotNull()), written(brackets, "brackets"), keys, value, q)
+
+
+def merged_aggregates(long: DataFrame, merged: DataFrame, run: str) -> DataFrame:
+    """``metric_aggregates`` from stored summaries: moments need no row, the percentile only those in its bracket."""
+    keys = [run, "metric"]
+    p90 = merged_quantile(long, merged, keys, "value", 0.9)
+    wide = merged.join(p90, keys).select(*keys, "mean", (F.col("m2") / F.col("n")).alias("variance"), F.col("quantile").alias("p90"))
+    return _named(wide, run)
+
+
+def _named(wide: DataFrame, run: str) -> DataFrame:
+    long = wide.unpivot([run, "metric"], ["mean", "variance", "p90"], "aggregate", "score")
+    return long.select(run, F.concat_ws("/", "metric", F.lit(VERSION), "aggregate").alias("metric"), "score")
 
 
 def metric_aggregates(df: DataFrame, run: str, metrics: Sequence[str]) -> DataFrame:
@@ -212,9 +321,7 @@ def metric_aggregates(df: DataFrame, run: str, metrics: Sequence[str]) -> DataFr
     wide = brackets.join(p90, keys).select(
         *keys, F.col("__mean").alias("mean"), F.col("__variance").alias("variance"), F.col("quantile").alias("p90")
     )
-    return wide.unpivot(keys, ["mean", "variance", "p90"], "aggregate", "score").select(
-        run, F.concat_ws("/", "metric", F.lit(VERSION), "aggregate").alias("metric"), "score"
-    )
+    return _named(wide, run)
 
 
 def exact_match_rate(df: DataFrame, run: str, prediction: str, target: str) -> DataFrame:

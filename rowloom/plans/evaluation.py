@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import names, textstats
 from rowloom.functions.templates import INPUT_FIELD, OUTPUT_FIELD
-from rowloom.operators import compare, metrics, predict
+from rowloom.operators import compare, metrics, predict, text_join, toxicity
 from rowloom.plans import query
 from rowloom.plans.fixtures import given, table
 from rowloom.session import fresh_path
@@ -32,6 +32,19 @@ def batch_predict(spark, sf):
     return out.select("row_id", "model", "adapter", "prediction", (F.col("latency") >= 0).alias("timed"))
 
 
+@query(
+    "predict_missing",
+    """SELECT row_id, m.model, m.adapter, concat(m.model, '+', coalesce(m.adapter, 'None'), ': ', instruction) AS prediction
+       FROM #pairs, (VALUES ('base', NULL), ('base', 'tuned'), ('other', 'tuned')) m(model, adapter)""",
+)
+def predict_missing(spark, sf):
+    """Half of the rows first; the second call asks for the others only."""
+    rows = predict.fanout_models(given(spark, sf, "pairs").select("row_id", "instruction"), MODELS)
+    path = fresh_path(spark, "answers")
+    predict.predict_missing(rows.filter("row_id % 2 = 0"), "row_id", "instruction", load_echo, path, waves=2)
+    return predict.predict_missing(rows, "row_id", "instruction", load_echo, path, waves=2).select("row_id", "model", "adapter", "prediction")
+
+
 @query(
     "fanout_models",
     """SELECT row_id, concat('base: ', instruction) AS base, concat('base + tuned: ', instruction) AS "base + tuned",
@@ -191,6 +204,44 @@ def value_quantile(spark, sf):
     return found.select("l_returnflag", F.round("quantile", 9).alias("p90"))
 
 
+@query(
+    "coarse_quantile",
+    """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 9) AS p90 FROM @lineitem GROUP BY l_returnflag""",
+)
+def coarse_quantile(spark, sf):
+    """A sketch far too coarse, trusted to the point: its brackets miss and are mended."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = metrics.exact_quantile(rows, ["l_returnflag"], "l_extendedprice", 0.9, accuracy=10, slack=0.0)
+    return found.select("l_returnflag", F.round("quantile", 9).alias("p90"))
+
+
+@query("merged_aggregates", f"{_ALL_AGGREGATES} SELECT run, metric, score FROM g")
+def merged_aggregates(spark, sf):
+    """The rows come in seven parts; each leaves a summary, and the summaries are merged."""
+    rows = written_scores(spark, sf)
+    long = metrics.long_form(rows.withColumn("part", F.col("row_id") % 7), ["run", "part"], ["exact_match", "rouge1"])
+    path = fresh_path(spark, "summaries")
+    metrics.summarise(long, ["run", "metric", "part"], "value").write.partitionBy("run", "part").parquet(path)
+    merged = metrics.merge_summaries(spark.read.parquet(path), ["run", "metric"])
+    return metrics.merged_aggregates(long, merged, "run").withColumn("score", F.round("score", 9))
+
+
+@query("toxicity_scores")
+def toxicity_scores(spark, sf):
+    """All documents, by a model learnt from the labels of those with an even number."""
+    documents = table(spark, sf, "documents").select("doc_id", F.col("source").alias("run"), "text")
+    labelled = documents.join(table(spark, sf, "labels"), "doc_id").filter("doc_id % 2 = 0")
+    model = toxicity.train_toxicity(labelled, "text", "toxic")
+    return toxicity.score_toxicity(documents, model, "text").select("doc_id", "run", "toxicity")
+
+
+@query("scored_toxicity_stats")
+def scored_toxicity_stats(spark, sf):
+    path = fresh_path(spark, "toxicity")
+    toxicity_scores(spark, sf).write.parquet(path)
+    return metrics.toxicity_stats(spark.read.parquet(path).filter("toxicity IS NOT NULL"), "run", "toxicity").withColumn("score", F.round("score", 9))
+
+
 _REPORT = f"""{_ALL_AGGREGATES},
     rep AS (SELECT run, metric, score FROM g WHERE contains(metric, 'mean')
             UNION ALL SELECT run, 'exact_match/v1', score FROM g WHERE metric = 'exact_match/v1/mean')"""
@@ -243,6 +294,40 @@ def compare_rows(spark, sf):
     return compare.compare_rows(source, found, "run", RUNS, ["rouge1", "latency"])
 
 
+# Texts cut short, so that pairs repeat and some expected outputs are missing.
+_CUT = """SELECT row_id, run, substr(model_input, 1, 3) AS model_input, CASE WHEN length(expected_output) % 3 > 0 THEN substr(expected_output, 1, 2) END AS expected_output,
+        CAST(latency * 10 AS INT) AS tenth, length(prediction) > length(expected_output) AS longer FROM #predictions"""
+
+
+def _cut(spark, sf):
+    rows = given(spark, sf, "predictions")
+    expected = F.when(F.length(OUTPUT_FIELD) % 3 > 0, F.substring(OUTPUT_FIELD, 1, 2)).alias(OUTPUT_FIELD)
+    tenth, longer = F.round(F.col("latency") * 10).cast("int").alias("tenth"), (F.length("prediction") > F.length(OUTPUT_FIELD)).alias("longer")
+    return rows.select("row_id", "run", F.substring(INPUT_FIELD, 1, 3).alias(INPUT_FIELD), expected, tenth, longer)
+
+
+@query(
+    "join_results_by_text",
+    f"""WITH c AS ({_CUT})
+        SELECT a.model_input, a.expected_output, a.row_id % 7 AS note, b.tenth AS score FROM c a JOIN c b
+        ON a.model_input IS NOT DISTINCT FROM b.model_input AND a.expected_output IS NOT DISTINCT FROM b.expected_output WHERE a.run = 'good' AND b.run = 'weak'""",
+)
+def join_results_by_text(spark, sf):
+    rows = _cut(spark, sf)
+    source = rows.filter("run = 'good'").select(INPUT_FIELD, OUTPUT_FIELD, (F.col("row_id") % 7).alias("note"))
+    return text_join.join_results_by_text(source, rows.filter("run = 'weak'").select(INPUT_FIELD, OUTPUT_FIELD, F.col("tenth").alias("score")))
+
+
+@query(
+    "compare_rows_by_text",
+    f"""WITH c AS ({_CUT})
+        SELECT a.model_input, a.expected_output, a.tenth AS "tenth good", a.longer AS "longer good", b.tenth AS "tenth weak", b.longer AS "longer weak" FROM c a JOIN c b
+        ON a.model_input IS NOT DISTINCT FROM b.model_input AND a.expected_output IS NOT DISTINCT FROM b.expected_output WHERE a.run = 'good' AND b.run = 'weak'""",
+)
+def compare_rows_by_text(spark, sf):
+    return text_join.compare_rows_by_text(_cut(spark, sf), "run", RUNS, ["tenth", "longer"])
+
+
 @query(
     "first_non_null",
     """SELECT l_orderkey, arg_min(l_shipmark, pos) FILTER (WHERE l_shipmark IS NOT NULL) AS adapter_id

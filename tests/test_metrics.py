@@ -1,14 +1,18 @@
+import os
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rowloom.functions import textstats
 from rowloom.operators import compare, metrics, predict
 from rowloom.operators.overlap import sequence_hits, summary_hits
+from rowloom.session import fresh_path
 
 TEXTS = [
     ("the cat sat on the mat", "the cat lay on the mat the"),
@@ -197,3 +201,76 @@ def test_models_are_loaded_once_per_worker(spark, tmp_path):
     assert len(found) == 2100 and all(r["prediction"] == f"{r['model']}:{r['p']}" for r in found)
     with open(log) as f:
         assert len(f.readlines()) <= 4 * len(models)
+
+
+def test_brackets_that_miss_are_mended(spark):
+    random.seed(4)
+    rows = [("a", random.gauss(0, 10)) for _ in range(3000)] + [("b", float(i % 7)) for i in range(2000)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        for accuracy in (1, 5, 50):
+            found = {r["g"]: r["quantile"] for r in metrics.exact_quantile(df, ["g"], "x", q, accuracy=accuracy, slack=0.0).collect()}
+            for g in "abc":
+                values = [x for h, x in rows if h == g]
+                assert found[g] == pytest.approx(float(pd.Series(values).quantile(q)), abs=1e-9)
+            assert set(found) == {"a", "b", "c"}
+
+
+def test_parts_merge_to_the_whole(spark):
+    random.seed(5)
+    rows = [(run, metric, 1e6 + random.gauss(3, 2), random.randrange(7)) for run in ("r", "s") for metric in ("m", "n") for _ in range(700)] + [("r", "m", None, 0), ("t", "m", 4.0, 3)]
+    long = spark.createDataFrame(rows, "run string, metric string, value double, part int").repartition(4)
+    whole = metrics.summarise(long, ["run", "metric"], "value")
+    merged = metrics.merge_summaries(metrics.summarise(long, ["run", "metric", "part"], "value"), ["run", "metric"])
+    halves = metrics.summarise(long, ["run", "metric", "part"], "value").withColumn("half", F.col("part") % 2)
+    twice = metrics.merge_summaries(metrics.merge_summaries(halves, ["run", "metric", "half"]), ["run", "metric"])
+    want = {(r["run"], r["metric"]): r for r in whole.collect()}
+    for found in (merged, twice):
+        got = {(r["run"], r["metric"]): r for r in found.collect()}
+        assert set(got) == set(want)
+        for key, r in got.items():
+            assert (r["n"], r["least"], r["most"]) == (want[key]["n"], want[key]["least"], want[key]["most"])
+            assert r["mean"] == pytest.approx(want[key]["mean"], rel=1e-12) and r["m2"] == pytest.approx(want[key]["m2"], rel=1e-9)
+    told = {(r["run"], r["metric"]): r["score"] for r in metrics.merged_aggregates(long, merged, "run").collect()}
+    for run, metric in want:
+        values = pd.Series([v for a, b, v, _ in rows if (a, b) == (run, metric) and v is not None])
+        assert told[run, f"{metric}/v1/p90"] == pytest.approx(values.quantile(0.9), rel=1e-12)
+        assert told[run, f"{metric}/v1/variance"] == pytest.approx(values.var(ddof=0), rel=1e-6, abs=1e-9)
+
+
+def test_answers_survive_a_lost_call(spark):
+    path, calls = fresh_path(spark, "t"), fresh_path(spark, "calls").removeprefix("file:")
+    os.makedirs(calls)
+
+    def loader(broken):
+        def load(model, adapter):
+            def answer(prompts):
+                if broken and any("p9" in p for p in prompts):
+                    raise RuntimeError("lost")
+                open(f"{calls}/{uuid.uuid4().hex}-{len(prompts)}", "w").close()
+                return [f"{model}/{adapter}: {p}" for p in prompts]
+
+            return answer
+
+        return load
+
+    def asked():
+        return sum(int(name.split("-")[1]) for name in os.listdir(calls))
+
+    rows = [(i, f"p{i}", m, a) for i in range(30) for m, a in (("m", None), ("m", "x"))] + [(None, None, "m", None), (3, "p3", "m", None)]
+    df = spark.createDataFrame(rows, "k int, p string, model string, adapter string")
+    df = df.withColumn("p", F.coalesce("p", F.lit("none")))
+    with pytest.raises(Exception):
+        predict.predict_missing(df, "k", "p", loader(True), path, waves=8)
+    before = asked()
+    kept = sum(spark.read.parquet(f"{path}/{r['wave']}").count() for r in spark.read.parquet(f"{path}/manifest").collect())
+    assert 0 < kept < 62
+    done = predict.predict_missing(df, "k", "p", loader(False), path, waves=8)
+    assert asked() - before == 62 - kept
+    want = sorted((str(k), f"{m}/{a}: {p or 'none'}") for k, p, m, a in rows)
+    assert sorted((str(r["k"]), r["prediction"]) for r in done.collect()) == want
+    # Nothing is missing any more; a new prompt for an old key is.
+    before = asked()
+    again = predict.predict_missing(df.withColumn("p", F.when(F.col("k") == 5, "new").otherwise(F.col("p"))), "k", "p", loader(False), path)
+    assert asked() - before == 2 and again.count() == 62 and again.filter("prediction LIKE '%new'").count() == 2
+    assert predict.predict_missing(df.limit(0), "k", "p", loader(False), fresh_path(spark, "t")).count() == 0
