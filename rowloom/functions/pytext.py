@@ -38,14 +38,15 @@ def _shortest(value: Column) -> Column:
 
     # Whole numbers of 17 to 19 digits are rounded exactly; half-way between two texts the even one is taken.
     size = F.abs(value)
-    integer = (size >= 1e17) & (size < 9e18)
-    # By way of a whole number: a decimal is made from the digits that the JVM prints.
-    exact = F.when(integer, size.cast("bigint")).cast("decimal(20,0)")
+    integer = (size >= 1e17) & (size < 1e21)
+    # By way of a whole number, as a decimal is made from the digits that the JVM prints; from 2^62 on doubles are multiples of 1,024.
+    small_number, large_number = size < 9e18, (size / 1024).cast("bigint").cast("decimal(20,0)") * F.lit(1024).cast("decimal(4,0)")
+    exact = F.when(integer & small_number, size.cast("bigint").cast("decimal(24,0)")).when(integer, large_number.cast("decimal(24,0)"))
     length = F.length(exact.cast("string"))
 
     def whole_rounded(digits: int) -> Column:
-        tens = F.element_at(F.array(*[F.lit(10**k).cast("decimal(4,0)") for k in range(4)]), length - digits + 1)
-        text = F.bround(exact / tens, 0).cast("decimal(20,0)").cast("string")
+        tens = F.element_at(F.array(*[F.lit(10**k).cast("decimal(6,0)") for k in range(6)]), length - digits + 1)
+        text = F.bround(exact / tens, 0).cast("decimal(24,0)").cast("string")
         return written(text, F.length(text) - 1 + length - digits)
 
     near = F.when(integer, whole_rounded(16)).otherwise(sixteen)

@@ -24,6 +24,7 @@ ACCURACY = 20_000
 # Size of the stored sketches, and three times the rank error it promises.
 SKETCH_SIZE = 2048
 SKETCH_ERROR = 0.0075
+GRID = 256
 
 _COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("hits", "predicted", "wanted")])
 
@@ -209,11 +210,13 @@ def _narrowed(long: DataFrame, brackets: DataFrame, keys: list[str], value: str,
     told = joined.groupBy(*keys).agg(F.count(inside).alias("__in"), F.count("*").alias("__upto"), F.kll_sketch_agg_double(inside.cast("double"), F.lit(SKETCH_SIZE)).alias("__sketch"))
     at = (F.lit(q) * (F.col("__n") - 1) - (F.col("__upto") - F.col("__in"))) / F.col("__in")
 
-    def end(share: Column) -> Column:
-        return F.kll_sketch_get_quantile_double("__sketch", F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))
-
-    both = brackets.join(told, keys).withColumns({"__from": end(at - SKETCH_ERROR), "__to": end(at + SKETCH_ERROR)})
-    return both.withColumns({"__low": F.col("__from"), "__high": F.col("__to")}).drop("__in", "__upto", "__sketch", "__from", "__to")
+    # A sketch is asked for fixed ranks only: for a grid of them, of which each group takes two.
+    grid = F.kll_sketch_get_quantile_double("__sketch", F.array(*[F.lit(k / GRID) for k in range(GRID + 1)]))
+    first = F.greatest(F.lit(0), F.floor((at - SKETCH_ERROR) * GRID)).cast("int")
+    last = F.least(F.lit(GRID), F.ceil((at + SKETCH_ERROR) * GRID)).cast("int")
+    both = brackets.join(told, keys).withColumns({"__grid": grid, "__first": first, "__last": last})
+    both = both.withColumns({"__low": F.get("__grid", F.col("__first")), "__high": F.get("__grid", F.col("__last"))})
+    return both.drop("__in", "__upto", "__sketch", "__grid", "__first", "__last")
 
 
 def _quantile(long: DataFrame, brackets: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
