@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import Words, arrow_batches, mix, running, text_bytes, written
 
 SIDE = 2  # words on each side
-EMBEDDING, HIDDEN = 8, 16
+EMBEDDING, HIDDEN = 8, 8
 LEAST_ROWS, ROW_FACTOR = 4096, 8  # rows of the tables at least, and times the root of the vocabulary
 TOP = 8  # levels of the tree whose nodes have weights to themselves
 TOP_NODES = (1 << TOP) - 1
 BATCH, RATE = 512, 0.3
-BLOCK_WORDS = 1 << 16  # words whose ways through the tree are worked out together
+BLOCK_WORDS = 1 << 17  # words whose ways through the tree are worked out together
 CACHED_ROWS = 1024  # words that are scored at once
 STEEP = 60.0  # where the logistic function is a line, and its exponential far from overflowing
 FAN_IN = 16
@@ -146,11 +146,16 @@ class Tree:
             a, b, start, end = low[live], high[live], below[live], above[live]
             half = (start + end) // 2
             step = np.searchsorted(self.mass, half, "right") - 1
-            cut = np.clip(self.first[step] + (half - self.mass[step]) // self.n[step], a + 1, b - 1)
-            after = np.minimum(cut + 1, b - 1)
-            middle, other = self.before(cut), self.before(after)
-            nearer = np.abs(other - half) < np.abs(middle - half)
-            cut, middle = np.where(nearer, after, cut), np.where(nearer, other, middle)
+            each = self.n[step]
+            whole = (half - self.mass[step]) // each
+            cut, middle = self.first[step] + whole, self.mass[step] + whole * each
+            # Of this rank and the next the nearer one, but no cut at an end of the node.
+            nearer = (middle + each - half < half - middle) & (cut + 1 < b)
+            cut += nearer
+            middle += nearer * each
+            outside = np.flatnonzero((cut <= a) | (cut >= b))
+            cut[outside] = np.clip(cut[outside], a[outside] + 1, b[outside] - 1)
+            middle[outside] = self.before(cut[outside])
             right = ranks[live] >= cut
             base, sign = np.log((end - middle) / (middle - start)).astype(np.float32), np.where(right, np.float32(1), np.float32(-1))
             if depth < TOP:
@@ -180,7 +185,7 @@ class Paths:
         """The ways of some of the words, in their order."""
         counts = self.counts[words]
         at = np.repeat(self.starts[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return Paths(tuple(x[words] for x in self.top), tuple(x[at] for x in self.deep), counts)
+        return Paths(tuple(np.take(x, words, axis=0) for x in self.top), tuple(np.take(x, at) for x in self.deep), counts)
 
 
 def table_rows(vocabulary: int) -> int:
@@ -252,7 +257,7 @@ def blocks(batches: Iterator[pa.RecordBatch], to_input: Inputs) -> Iterator[tupl
 
 def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The embeddings around each word, and the hidden layer."""
-    inputs = p["e"][around].reshape(len(around), -1)
+    inputs = np.take(p["e"], around, axis=0).reshape(len(around), -1)
     h = inputs @ p["w"]
     h += p["b"]
     return inputs, np.tanh(h, out=h)
@@ -263,8 +268,8 @@ def node_values(p: dict[str, np.ndarray], h: np.ndarray, paths: Paths) -> tuple[
     slots, base, sign = paths.top
     top = (np.take_along_axis(h @ p["u"][:TOP_NODES].T, slots, axis=1) + base) * sign
     slots, base, sign = paths.deep
-    own, weights = np.repeat(np.arange(len(h)), paths.counts), p["u"][slots]
-    return top, (np.einsum("ij,ij->i", h[own], weights) + base) * sign, own, weights
+    own, weights = np.repeat(np.arange(len(h)), paths.counts), np.take(p["u"], slots, axis=0)
+    return top, (np.einsum("ij,ij->i", np.take(h, own, axis=0), weights) + base) * sign, own, weights
 
 
 def surprise(x: np.ndarray) -> np.ndarray:
@@ -301,7 +306,7 @@ class Learner:
         if len(some):
             back[some] += np.add.reduceat(wrong[:, None] * weights, paths.starts[some], axis=0)
         self._move("u", slice(0, TOP_NODES), wrong_top.T @ h)
-        self._move_rows("u", paths.deep[0], wrong[:, None] * h[own])
+        self._move_rows("u", paths.deep[0], wrong[:, None] * np.take(h, own, axis=0))
         back *= 1 - h * h
         to_inputs = (back @ p["w"].T).reshape(-1, EMBEDDING)
         self._move("w", slice(None), inputs.T @ back)
@@ -315,12 +320,14 @@ class Learner:
         order = np.argsort(rows, kind="stable")
         ordered = rows[order]
         first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        self._move(name, ordered[first], np.add.reduceat(gradients[order], first, axis=0))
+        self._move(name, ordered[first], np.add.reduceat(np.take(gradients, order, axis=0), first, axis=0))
 
     def _move(self, name: str, rows, gradient: np.ndarray) -> None:
-        square = self.square[name]
-        square[rows] += gradient * gradient
-        self.p[name][rows] -= RATE * gradient / np.sqrt(square[rows])
+        square = self.square[name][rows] + gradient * gradient
+        self.square[name][rows] = square
+        gradient *= np.float32(RATE)
+        gradient /= np.sqrt(square, out=square)
+        self.p[name][rows] -= gradient
 
 
 def _train(start: np.ndarray, tree: Tree):
