@@ -296,13 +296,13 @@ def compare_rows(spark, sf):
 
 # Texts cut short, so that pairs repeat and some expected outputs are missing.
 _CUT = """SELECT row_id, run, substr(model_input, 1, 3) AS model_input, CASE WHEN length(expected_output) % 3 > 0 THEN substr(expected_output, 1, 2) END AS expected_output,
-        CAST(latency * 10 AS INT) AS tenth, length(prediction) > length(expected_output) AS longer FROM #predictions"""
+        CAST(floor(latency * 10) AS INT) AS tenth, length(prediction) > length(expected_output) AS longer FROM #predictions"""
 
 
 def _cut(spark, sf):
     rows = given(spark, sf, "predictions")
     expected = F.when(F.length(OUTPUT_FIELD) % 3 > 0, F.substring(OUTPUT_FIELD, 1, 2)).alias(OUTPUT_FIELD)
-    tenth, longer = F.round(F.col("latency") * 10).cast("int").alias("tenth"), (F.length("prediction") > F.length(OUTPUT_FIELD)).alias("longer")
+    tenth, longer = F.floor(F.col("latency") * 10).cast("int").alias("tenth"), (F.length("prediction") > F.length(OUTPUT_FIELD)).alias("longer")
     return rows.select("row_id", "run", F.substring(INPUT_FIELD, 1, 3).alias(INPUT_FIELD), expected, tenth, longer)
 
 

@@ -183,15 +183,15 @@ def _whole_sql(length: int, longer: str) -> str:
     return f"""WITH RECURSIVE {TOKENS.split("u AS")[0].strip().rstrip(",")},
         s AS (SELECT h, doc_id, k, tokens[k * {length} + 1 : (k + 1) * {length}] AS piece FROM t, {cut} AS r(k)),
         o AS (SELECT piece, len(piece) AS size, row_number() OVER (ORDER BY len(piece) DESC, h, doc_id, k) AS i FROM s),
-        fit AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS room, 0::BIGINT AS block, 0::BIGINT AS at
+        fit AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS room, 0::BIGINT AS block, 0::BIGINT AS place
                 UNION ALL
                 SELECT i + 1, CASE WHEN b = 0 THEN list_append(room, {length} - size) ELSE list_concat(room[: b - 1], [room[b] - size], room[b + 1 :]) END,
                        CASE WHEN b = 0 THEN len(room) ELSE b - 1 END, CASE WHEN b = 0 THEN 0 ELSE {length} - room[b] END
                 FROM (SELECT f.i, room, size, coalesce(list_position([x >= size for x in room], TRUE), 0) AS b FROM fit f JOIN o ON o.i = f.i + 1)),
-        l AS (SELECT block, at, size, piece, row_number() OVER (PARTITION BY block ORDER BY at) AS n FROM fit JOIN o USING (i)),
+        l AS (SELECT block, place, size, piece, row_number() OVER (PARTITION BY block ORDER BY place) AS n FROM fit JOIN o USING (i)),
         g AS (SELECT block, sum(size)::INTEGER AS n_tokens, count(*)::INTEGER AS n_samples, ({length} - sum(size))::INTEGER AS padding,
-                     string_agg(array_to_string(piece, ' ') || ' ', '' ORDER BY at) AS content, string_agg(repeat(n || ',', size), '' ORDER BY at) AS ids,
-                     string_agg(array_to_string(range(size), ',') || ',', '' ORDER BY at) AS positions FROM l GROUP BY block)"""
+                     string_agg(array_to_string(piece, ' ') || ' ', '' ORDER BY place) AS content, string_agg(repeat(n || ',', size), '' ORDER BY place) AS ids,
+                     string_agg(array_to_string(range(size), ',') || ',', '' ORDER BY place) AS positions FROM l GROUP BY block)"""
 
 
 def _whole(spark, sf, length, longer):
