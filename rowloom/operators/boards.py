@@ -123,14 +123,10 @@ def latest_deployment(models: DataFrame, builds: DataFrame, deployments: DataFra
 
 
 def jobs_by_parent(jobs: DataFrame, parent: str) -> DataFrame:
-    """Parents and how many jobs they have; ``jobs_of`` gives the rows of one."""
+    """Parents and how many jobs they have."""
     return jobs.groupBy(parent).agg(F.count("*").alias("n_jobs"))
 
 
-def jobs_of(jobs: DataFrame, parent: str, value: object) -> DataFrame:
-    return jobs.filter(F.col(parent) == value)
-
-
 def utilization(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """One row per resource: share in use, used and free amounts as text."""
     rows = F.array(
