@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,7 +161,7 @@ def _chained(first, rest):
 REPORT = "file string, start bigint, base int, in_out boolean, depth_out bigint, least_out bigint, in_in boolean, depth_in bigint, least_in bigint"
 
 
-def _report(scan) -> callable:
+def _report(scan) -> Callable:
     """What a range does to quotes and depth if it begins outside quotes, and if it begins inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RECORDS = "file string, start bigint, number bigint, opened bigint, value string"
 
 
-def _cut(scan) -> callable:
+def _cut(scan) -> Callable:
     """Records of a range; parts of records that go over its borders carry the range in which they begin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def records(spark: SparkSession, path: str, scan: CsvScan | JsonScan | TableScan
     return whole.unionByName(joined.mapInArrow(_join(scan), "file string, start bigint, number bigint, value string"))
 
 
-def _join(scan) -> callable:
+def _join(scan) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("file", "start", "number", "values")))
