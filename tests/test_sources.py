@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,21 @@ def test_snapshot_round_trip(spark):
     assert compact == {"configs": {"id": "c1", "config": "x"}}
 
 
+def test_snapshot_is_packed_in_files_of_bounded_rows(spark, monkeypatch):
+    path = fresh_path(spark, "t")
+    monkeypatch.setattr(registry, "FILE_ROWS", 1000)
+    jobs = registry.as_table(spark.range(4000).coalesce(1).selectExpr("concat('j', id) AS id", "int(id % 5) AS num_workers"), "fine_tuning_jobs")
+    for compression, share in (("lz4", 4), ("gzip", 8)):
+        registry.export_snapshot({"fine_tuning_jobs": jobs}, path, compression)
+        files = [f for f in os.listdir(f"{path}/fine_tuning_jobs/data") if f.startswith("part-")]
+        assert len(files) == 4
+        packed = sum(os.path.getsize(f"{path}/fine_tuning_jobs/data/{f}") for f in files)
+        lines = jobs.select(F.to_json(F.struct(*jobs.columns), {"ignoreNullFields": "false"}).alias("t"))
+        assert packed * share < lines.agg(F.sum(F.length("t"))).first()[0]
+        assert registry.read_snapshot(spark, path, "fine_tuning_jobs").exceptAll(jobs).isEmpty()
+        assert registry.read_snapshot(spark, path, "fine_tuning_jobs").count() == 4000
+
+
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         registry.merge_snapshot("nope", spark.range(1), spark.range(1))
