@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,8 +156,7 @@ def merge_snapshot(table: str, current: DataFrame, incoming: DataFrame, position
     columns = current.columns
     order = F.col(position) if position else F.to_json(F.struct(*incoming.columns))
     row = F.struct(*[c for c in incoming.columns if c != position])
-    # Only rows with new ids are reduced.
-    new = incoming.join(current.select("id"), "id", "left_anti").select(F.col("id").alias("__id"), row.alias("__row"), order.alias("__order"))
-    first = F.row_number().over(Window.partitionBy("__id").orderBy("__order"))
-    added = new.withColumn("__first", first).filter("__first = 1").select("__row.*")
+    # Only rows with new ids are reduced, in the order the join has put them: an order within an id would sort them all again.
+    new = incoming.join(current.select("id"), "id", "left_anti")
+    added = new.groupBy("id").agg(F.min_by(row, F.struct(order)).alias("__row")).select("__row.*")
     return current.unionByName(added, allowMissingColumns=True).select(*columns)

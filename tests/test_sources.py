@@ -118,6 +118,20 @@ def test_snapshot_is_packed_in_files_of_bounded_rows(spark, monkeypatch):
         assert registry.read_snapshot(spark, path, "fine_tuning_jobs").count() == 4000
 
 
+def test_merge_takes_first_rows_without_a_second_order(spark):
+    current = registry.as_table(spark.createDataFrame([("a",)], "id string"), "models")
+    rows = [("b", "x", 2), ("b", "none", None), ("b", "y", 1), (None, "z", 5), (None, "w", 4), ("a", "new", 0)]
+    incoming = spark.createDataFrame(rows, "id string, name string, pos int")
+    merged = registry.merge_snapshot("models", current.hint("merge"), incoming, "pos")
+    # A row without a position comes first; ids that are null are one id.
+    assert {(r["id"], r["name"]) for r in merged.collect()} == {("a", None), ("b", "none"), (None, "w")}
+    # An order for the join on either side, none within an id.
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 2 and "Window" not in plan
+    by_columns = registry.merge_snapshot("models", current, incoming.drop("pos"))
+    assert {(r["id"], r["name"]) for r in by_columns.collect()} == {("a", None), ("b", "none"), (None, "w")}
+
+
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         registry.merge_snapshot("nope", spark.range(1), spark.range(1))
