@@ -40,7 +40,7 @@ class Newest(StatefulProcessor):
     after that is handed on whatever its time is, and the log takes the newer of both.
     """
 
-    def __init__(self, keys: list[str], point: T.StructType, idle_ms: int | None) -> None:
+    def __init__(self, keys: list[str], point: T.StructType, idle_ms: int) -> None:
         self.keys, self.point, self.idle_ms = keys, point, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -55,10 +55,9 @@ class Newest(StatefulProcessor):
             point = tuple(row[f.name] for f in self.point)
             if best is None or _order(point) > _order(best):
                 best = point
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(arrived.timestamp() * 1000) + self.idle_ms)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(arrived.timestamp() * 1000) + self.idle_ms)
         if best != known:
             self.last.update(best)
             yield Row(**dict(zip(self.keys, key)), **dict(zip(self.point.names, best)))
@@ -80,15 +79,29 @@ def newest_changes(series: DataFrame, keys: list[str], value: str, ts: str, tie:
     """A stream of keys whose newest point has changed: keys, ``ts``, ``tie``, ``value``.
 
     A repeated or late point changes nothing. State is one point per key that had one within ``idle_ms``, or per key
-    without it. The watermark follows the time of arrival, not that of the points: a point is compared by its own time however late it
-    is, and none is dropped. Needs the state store named in ``STATE_STORE``.
+    without it. A point is compared by its own time however late it is, and none is dropped. Without ``idle_ms`` the state is that of an
+    aggregation. With it, a timer per key follows the time of arrival, which needs the state store named in ``STATE_STORE``.
     """
-    rows = series.select(*keys, ts, tie, value, F.current_timestamp().alias(ARRIVAL)).withWatermark(ARRIVAL, "0 seconds")
+    rows = series.select(*keys, ts, tie, value, F.current_timestamp().alias(ARRIVAL))
+    if idle_ms is None:
+        return _newest_kept(rows, keys, value, ts, tie)
+    rows = rows.withWatermark(ARRIVAL, "0 seconds")
     point = T.StructType([rows.schema[c] for c in (ts, tie, value)])
     out = T.StructType([rows.schema[c] for c in keys] + list(point))
     return rows.groupBy(*keys).transformWithState(Newest(keys, point, idle_ms), out, "Update", "EventTime")
 
 
+def _newest_kept(rows: DataFrame, keys: list[str], value: str, ts: str, tie: str) -> DataFrame:
+    """The newest point of each key, of equal ones the first to arrive; handed on by the batch in which it has arrived.
+
+    All rows of a batch have the batch's time as that of their arrival, also if the batch is run again.
+    """
+    point = F.struct(F.col(ts), F.col(tie), (-F.unix_micros(ARRIVAL)).alias(ARRIVAL), F.col(value))
+    newest = rows.groupBy(*keys).agg(F.max(point).alias("__last"))
+    arrived = F.col(f"__last.{ARRIVAL}") == -F.unix_micros(F.current_timestamp())
+    return newest.filter(arrived).select(*keys, *[F.col("__last")[c].alias(c) for c in (ts, tie, value)])
+
+
 def runs_of(count: int) -> list[tuple[int, int]]:
     """The runs that hold the first ``count`` batches, as ranges of batches: one per digit unit of ``count`` to the base of ``FAN_OUT``."""
     runs, at, size = [], 0, 1

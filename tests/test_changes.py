@@ -55,6 +55,23 @@ def test_log_equals_batch_with_late_and_repeated_points(spark):
     assert left == {"run-0-4", "run-4-5"}
 
 
+def test_kept_points_never_leave_the_engine(spark):
+    path = fresh_path(spark, "t")
+    rows = [(1, "loss", 5, 1, 0.5), (2, "loss", None, 2, 0.1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{path}/in")
+    changed = changes.newest_changes(stream, KEYS, "value", "ts", "seq")
+    assert changed.columns == ["run", "key", "ts", "seq", "value"]
+    plan = changed._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+    changes.write_changes(changed, f"{path}/log", f"{path}/checkpoint", KEYS)
+    # A repeated point with another value, a late one and one without a time change nothing; a first time does.
+    arrive(spark, path, [(1, "loss", 5, 1, 0.9), (1, "loss", 4, 7, 0.8), (1, "loss", None, 9, 0.7), (2, "loss", 0, 0, None)])
+    assert sizes(spark, path)[(1, 2)] == 1
+    got = {r["run"]: (r["ts"], r["seq"], r["value"]) for r in changes.read_changes(spark, f"{path}/log", KEYS).collect()}
+    assert got == {1: (5, 1, 0.5), 2: (0, 0, None)}
+
+
 def test_idle_keys_are_forgotten_and_come_back(spark):
     path = fresh_path(spark, "t")
     arrive(spark, path, [(1, "loss", 5, 1, 0.5), (2, "loss", 5, 2, 0.1)], idle_ms=0)
