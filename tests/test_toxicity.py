@@ -1,7 +1,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from rowloom.operators import metrics, toxicity
 
@@ -58,3 +61,36 @@ def test_held_out_documents(spark):
     model = toxicity.train_toxicity(labelled.filter("doc_id % 2 = 0"), "text", "toxic")
     held_out = toxicity.score_toxicity(labelled.filter("doc_id % 2 = 1"), model, "text")
     assert toxicity.area_under_curve(held_out, "toxic") >= 0.9
+
+
+def test_scores_are_those_of_the_models_own_steps(spark, monkeypatch):
+    random.seed(4)
+    odd = ["", None, " ", "one", "İstanbul ÉTÉ ß ſ", "a a a a", "don't 'quote' x_y", "𝒳𝒴 𝟙 你好 мир ½ e\u0301", "\x00 \x1f\ttab\nline", "é" * 999]
+    texts = [t for _, t, _ in rows(200, 3)] + odd + ["".join(random.choices("abé'1 .-\n你", k=k)) for k in range(60)]
+    labelled = spark.createDataFrame(rows(200, 3), "id int, text string, toxic int")
+    model = toxicity.train_toxicity(labelled, "text", "toxic")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    steps = model.transform(df.withColumn("__runs", toxicity.word_runs(F.col("text")))).select("id", vector_to_array("__probability")[1])
+    want = dict(map(tuple, steps.collect()))
+    for block in (1 << 22, 50):
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+        got = {r["id"]: r["toxicity"] for r in toxicity.score_toxicity(df, model, "text").collect()}
+        assert {i for i, s in got.items() if s is None} == {texts.index(None)}
+        assert all(s is None or abs(s - want[i]) < 1e-12 for i, s in got.items())
+    words = sorted({w for t in texts if t for w in t.split()})
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) for w in words])
+    slots = toxicity.slots_of(data, np.concatenate(([0], ends[:-1])), ends).tolist()
+    assert slots == [model.stages[0].indexOf(w) for w in words]
+
+
+def test_texts_are_read_once_for_training(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    labelled = spark.createDataFrame(rows(100, 5), "id int, text string, toxic int").withColumn("text", F.udf(seen)("text"))
+    toxicity.train_toxicity(labelled, "text", "toxic")
+    assert read.value == 100
