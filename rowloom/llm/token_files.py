@@ -39,6 +39,7 @@ FILE_DOCUMENTS = 1 << 20
 KEPT_WORDS = 1 << 20  # words whose ids a worker remembers
 KEPT_IDS = 1 << 23
 JOINED = 64
+GATHERED = 1 << 23  # bytes of texts that are encoded together at least, if a task has as many
 TAIL = ".,;:!?"
 NO_ID = -(1 << 63)
 
@@ -186,6 +187,15 @@ def _byte_level(path: str) -> bool:
     return [[s["type"] for s in step] for step in steps] == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not steps[1][1]["add_prefix_space"]
 
 
+def _with_room(values: np.ndarray, used: int, wanted: int) -> np.ndarray:
+    """An array that has place for ``wanted`` values, the first ``used`` as before."""
+    if wanted <= len(values):
+        return values
+    grown = np.empty(max(wanted, 2 * len(values)), values.dtype)
+    grown[:used] = values[:used]
+    return grown
+
+
 class Encoder:
     """Texts to ids by a tokenizer that treats words between white space by themselves.
 
@@ -204,9 +214,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Slot 0 has the end id; the ids of slot s lie in ``pool`` from ``begins[s]`` on."""
+        """Slot 0 has the end id; the ids of slot s lie in ``pool`` between bytes ``ends[s]`` and ``ends[s + 1]``. Both have room for more than is in use."""
         self.known: dict[str, int] = {}
-        self.pool, self.begins, self.sizes = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.pool, self.ends = np.array([self.end], np.uint32), np.array([0, 4])
+        self.slots_used = self.ids_used = 1
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -219,6 +230,9 @@ class Encoder:
         found: list[list[int] | None] = [None] * len(words)
         joined, single = [], []
         for i, word in enumerate(words):
+            if self.byte_level and word.isascii() and word.isalpha():
+                found[i] = self._part(word)
+                continue
             parts = _pieces(word)
             if parts and self.byte_level and word.isascii():
                 stem = word.rstrip(TAIL)
@@ -243,17 +257,19 @@ class Encoder:
     def _slots(self, words: list[str]) -> np.ndarray:
         slots = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(slots < 0)
-        if len(missing) and (len(self.sizes) + len(missing) > KEPT_WORDS or len(self.pool) > KEPT_IDS):
+        if len(missing) and (self.slots_used + len(missing) > KEPT_WORDS or self.ids_used > KEPT_IDS):
             self._forget()
             missing = np.arange(len(words))
         if len(missing):
             new = [words[i] for i in missing.tolist()]
             ids = self._new(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.sizes)
-            self.begins = np.concatenate((self.begins, len(self.pool) + np.cumsum(sizes) - sizes))
-            self.sizes = np.concatenate((self.sizes, sizes))
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+            first, at = self.slots_used, self.ids_used
+            self.slots_used, self.ids_used = first + len(ids), at + int(sizes.sum())
+            # Room is doubled, so that a batch does not copy what earlier ones have brought.
+            self.ends, self.pool = _with_room(self.ends, first + 1, self.slots_used + 1), _with_room(self.pool, at, self.ids_used)
+            self.ends[first + 1 : self.slots_used + 1] = 4 * (at + np.cumsum(sizes))
+            self.pool[at : self.ids_used] = np.fromiter(chain.from_iterable(ids), np.uint32, self.ids_used - at)
             self.known.update(zip(new, range(first, first + len(new))))
             slots[missing] = np.arange(first, first + len(new))
         return slots
@@ -265,12 +281,13 @@ class Encoder:
         slots = np.append(self._slots(flat.dictionary.to_pylist()), 0)
         # The end of a text is a word of its own after the text's words.
         after = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        code = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), after, len(slots) - 1)
-        lengths = self.sizes[slots][code]
-        ends = np.cumsum(lengths)
-        places = np.arange(ends[-1]) + np.repeat(self.begins[slots][code] - (ends - lengths), lengths)
+        code = np.insert(flat.indices.to_numpy(zero_copy_only=False), after, len(slots) - 1)
+        # The ids of a word are copied as one stretch of bytes.
+        pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.slots_used, [None, pa.py_buffer(self.ends), pa.py_buffer(self.pool)])
+        found = pool.take(pa.array(slots[code]))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[1:] // 4
         cuts = ends[after + np.arange(len(after))]
-        return np.split(self.pool[places], cuts[:-1])
+        return np.split(np.frombuffer(found.buffers()[2], np.uint32, int(cuts[-1]) if len(cuts) else 0), cuts[:-1])
 
 
 def _encoder(path: str, end_id: int) -> Encoder:
@@ -303,13 +320,27 @@ def write_ids(documents: DataFrame, folder: str, tokenizer: str, end_id: int, fi
     return written(rows.mapInArrow(_write(folder, tokenizer, end_id, file_ids), schema), "id-files")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of several batches together, so that words are looked up once for all of them."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        texts.append(batch.column("text").cast(pa.large_string()))
+        size += texts[-1].nbytes
+        if size >= GATHERED:
+            yield ids, pa.concat_arrays(texts)
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, pa.concat_arrays(texts)
+
+
 def _write(folder: str, tokenizer: str, end_id: int, file_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part, file, before, done = None, TaskContext.get().partitionId(), None, 0, []
-        for batch in batches:
+        for doc_ids, texts in _gathered(batches):
             encode = encode or _encoder(tokenizer, end_id)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+            for doc_id, ids in zip(doc_ids, encode(texts)):
                 if file is None:
                     store, base = store_of(folder)
                     store.create_dir(base, recursive=True)

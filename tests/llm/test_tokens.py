@@ -11,6 +11,7 @@ from helpers import no_documents, odd_documents, odd_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from rowloom.llm import token_files
 from rowloom.llm.token_files import BLOCK_IDS, COUNTS, WIDTHS, Encoder, FileWriter, _blocks, footer_of, pack, read_ids, round_trip, store_of, unpack, write_ids
 from rowloom.session import fresh_path
 
@@ -106,3 +107,25 @@ def test_unknown_store_is_refused_before_any_work(spark):
     with pytest.raises(ValueError, match="ftp"):
         write_ids(no_documents(spark), "ftp://host/folder", TOKENIZER, 1)
     assert store_of("file:/tmp/x")[1] == store_of("/tmp/x")[1] == store_of("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_known_words_are_not_copied_and_batches_share_lookups(monkeypatch):
+    encode, tokenizer = Encoder(TOKENIZER, 1), Tokenizer.from_file(TOKENIZER)
+    texts = ["a Dog, café x1 &&&", "", None, " über   a ", "word" * 50] + [f"w{i} tail{i}." for i in range(300)]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    pools = []
+    for at in range(0, len(texts), 5):
+        got = encode(pa.array(texts[at : at + 5], pa.string()))
+        assert [g.tolist() for g in got] == want[at : at + 5]
+        if not pools or pools[-1] is not encode.pool:
+            pools.append(encode.pool)
+        assert len(encode.pool) >= encode.ids_used
+    # Sixty batches bring new words; the pool moves only when it has doubled.
+    assert len(pools) < 20
+    calls, batches = [], [pa.RecordBatch.from_pydict({"doc_id": [i, None], "text": ["x" * 400, "é"]}) for i in range(10)]
+    monkeypatch.setattr(token_files, "GATHERED", 1000)
+    for ids, part in token_files._gathered(iter(batches)):
+        calls.append((ids, part.to_pylist()))
+    assert 1 < len(calls) < 10
+    assert [x for ids, _ in calls for x in ids] == [x for i in range(10) for x in (i, None)]
+    assert [x for _, part in calls for x in part] == ["x" * 400, "é"] * 10
