@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import Words, arrow_batches, mix, running, text_bytes, written
 
 SIDE = 2  # words on each side
-EMBEDDING, HIDDEN = 8, 8
+EMBEDDING, HIDDEN = 8, 8  # equal, so that rows of all tables are alike
 LEAST_ROWS, ROW_FACTOR = 4096, 8  # rows of the tables at least, and times the root of the vocabulary
 TOP = 8  # levels of the tree whose nodes have weights to themselves
 TOP_NODES = (1 << TOP) - 1
+DENSE = 5  # levels of few nodes, which are worked out for all words by products of matrices
+DENSE_NODES = (1 << DENSE) - 1
 BATCH, RATE = 512, 0.3
 BLOCK_WORDS = 1 << 17  # words whose ways through the tree are worked out together
-CACHED_ROWS = 1024  # words that are scored at once
+CACHED_ROWS = 2048  # words that are scored at once
 STEEP = 60.0  # where the logistic function is a line, and its exponential far from overflowing
 FAN_IN = 16
+NEAR = np.array([j for j in range(-SIDE, SIDE + 1) if j])  # where the words around a word are
 PAD = 0  # the embedding that stands for "outside of the text"
 TOKEN = np.dtype("<u4")
-CHUNK_WORDS = 1 << 21  # words of texts that are numbered together before all words are
+NODE = np.dtype([("slot", np.int64), ("base", np.float32), ("sign", np.float32)])
+CHUNK_WORDS = 1 << 22  # words of texts that are numbered together before all words are
 
 
 def pack_tokens(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -132,19 +136,24 @@ class Tree:
         step = np.searchsorted(self.first, ranks, "right") - 1
         return self.mass[step] + (ranks - self.first[step]) * self.n[step]
 
-    def paths(self, ranks: np.ndarray, rows: int) -> Paths:
-        """The nodes on the way to each word: the first ``TOP`` levels side by side, deeper ones in a row after each other.
+    def paths(self, ranks: np.ndarray, rows: int) -> Paths | Ways:
+        """The nodes on the way to each word: the first ``DENSE`` levels side by side, deeper ones in a row after each other.
 
-        Each node of the top levels has a row of weights to itself; deeper ones share the others by a hash of where they cut.
+        Each node of the ``TOP`` levels has a row of weights to itself; deeper ones share the others by a hash of where they cut.
+        Words go down together: a node is cut once for all words below it, which follow each other in order of their ranks.
         """
+        if len(ranks) > 1 and (ranks[1:] <= ranks[:-1]).any():
+            kinds, which = np.unique(ranks, return_inverse=True)
+            return self.paths(kinds, rows).of(which)
         count = len(ranks)
-        low, high = np.zeros(count, np.int64), np.full(count, self.size, np.int64)
-        below, above = np.zeros(count, np.int64), np.full(count, self.total, np.int64)
-        top = np.zeros((count, TOP), np.int64), np.zeros((count, TOP), np.float32), np.zeros((count, TOP), np.float32)
-        heap, live, depth, deep = np.ones(count, np.int64), np.flatnonzero(high > 1), 0, []
-        while len(live):
-            a, b, start, end = low[live], high[live], below[live], above[live]
-            half = (start + end) // 2
+        top = np.zeros((count, DENSE), NODE)
+        top["slot"] = DENSE_NODES
+        # The nodes of a level: their ranks, the counts before their ends, the words below them, their number in the tree.
+        some = int(count > 0 and self.size > 1)
+        a, b, start, end, first, last, heap = (np.full(some, x, np.int64) for x in (0, self.size, 0, self.total, 0, count, 1))
+        depth, deep, counts = 0, [], np.zeros(count, np.int64)
+        while len(a):
+            half = (start + end) >> 1
             step = np.searchsorted(self.mass, half, "right") - 1
             each = self.n[step]
             whole = (half - self.mass[step]) // each
@@ -156,36 +165,71 @@ class Tree:
             outside = np.flatnonzero((cut <= a) | (cut >= b))
             cut[outside] = np.clip(cut[outside], a[outside] + 1, b[outside] - 1)
             middle[outside] = self.before(cut[outside])
-            right = ranks[live] >= cut
-            base, sign = np.log((end - middle) / (middle - start)).astype(np.float32), np.where(right, np.float32(1), np.float32(-1))
-            if depth < TOP:
-                for column, values in zip(top, (heap[live] - 1, base, sign)):
-                    column[live, depth] = values
-                heap[live] = 2 * heap[live] + right
-            else:
+            base = np.log((end - middle) / (middle - start)).astype(np.float32)
+            width, turn = last - first, first + (ranks[first] < cut)
+            several = np.flatnonzero(width > 1)
+            turn[several] = np.searchsorted(ranks, cut[several])
+            whose = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            sign = np.where(whose >= np.repeat(turn, width), np.float32(1), np.float32(-1))
+            slots = heap - 1
+            if depth >= TOP:
                 slots = TOP_NODES + (mix(cut.astype(np.uint64)) % np.uint64(rows - TOP_NODES)).astype(np.int64)
-                deep.append((live, slots, base, sign))
-            low[live], high[live] = np.where(right, cut, a), np.where(right, b, cut)
-            below[live], above[live] = np.where(right, middle, start), np.where(right, end, middle)
-            live, depth = live[high[live] - low[live] > 1], depth + 1
-        whose = np.concatenate([np.zeros(0, np.int64), *[d[0] for d in deep]])
-        order = np.argsort(whose, kind="stable")
-        kinds = (np.int64, np.float32, np.float32)
-        rest = tuple(np.concatenate([np.zeros(0, kind), *[d[i + 1] for d in deep]])[order] for i, kind in enumerate(kinds))
-        return Paths(top, rest, np.bincount(whose, minlength=count))
+            if depth < DENSE:
+                nodes, at = top[:, depth], whose
+            else:
+                nodes, at = np.empty(len(whose), NODE), slice(None)
+                deep.append((whose, nodes))
+                counts[whose] = len(deep)
+            nodes["slot"][at], nodes["base"][at], nodes["sign"][at] = np.repeat(slots, width), np.repeat(base, width), sign
+            halves = ((a, cut), (cut, b), (start, middle), (middle, end), (first, turn), (turn, last), (2 * heap, 2 * heap + 1))
+            nodes = [np.stack(x, axis=1).reshape(-1) for x in halves]
+            live = np.flatnonzero((nodes[5] > nodes[4]) & (nodes[1] - nodes[0] > 1))
+            a, b, start, end, first, last, heap = (x[live] for x in nodes)
+            depth += 1
+        found = Paths(top, np.empty(counts.sum(), NODE), counts)
+        for level, (whose, nodes) in enumerate(deep):
+            found.deep.view(np.complex128)[found.starts[whose] + level] = nodes.view(np.complex128)
+        return found
 
 
 class Paths:
-    """Ways through the tree: ``top`` has slots, base values and signs by word and level, ``deep`` the same by node, ``counts`` deep nodes of each word."""
+    """Ways through the tree: ``top`` has the nodes by word and level, ``deep`` the others in a row, ``counts`` of them for each word."""
 
-    def __init__(self, top: tuple, deep: tuple, counts: np.ndarray) -> None:
+    def __init__(self, top: np.ndarray, deep: np.ndarray, counts: np.ndarray) -> None:
         self.top, self.deep, self.counts, self.starts = top, deep, counts, np.cumsum(counts) - counts
+        self.falling = -counts.astype(np.int16)  # numpy sorts short numbers fastest
 
-    def of(self, words: np.ndarray) -> Paths:
-        """The ways of some of the words, in their order."""
+    def of(self, words: np.ndarray) -> Ways:
+        """The ways of some of the words."""
+        order = np.argsort(self.falling[words], kind="stable")
+        words = words[order]
         counts = self.counts[words]
-        at = np.repeat(self.starts[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        return Paths(tuple(np.take(x, words, axis=0) for x in self.top), tuple(np.take(x, at) for x in self.deep), counts)
+        # So many words, the first ones, have a deep node on a level.
+        active = len(words) - np.cumsum(np.bincount(counts))[:-1]
+        total = np.cumsum(active)
+        whose = np.arange(total[-1] if len(total) else 0) - np.repeat(total - active, active)
+        at = np.take(self.starts[words], whose) + np.repeat(np.arange(len(active)), active)
+        return Ways(np.take(self.top, words, axis=0), np.take(self.deep, at), whose, active.tolist(), order)
+
+    def all(self) -> Ways:
+        return self.of(np.arange(len(self.counts)))
+
+
+class Ways:
+    """Ways of words in ``order``, those with most deep nodes first: ``deep`` is level by level, of the ``active`` first words each, ``whose`` says which."""
+
+    def __init__(self, top: np.ndarray, deep: np.ndarray, whose: np.ndarray, active: list[int], order: np.ndarray) -> None:
+        self.top, self.deep, self.whose, self.active, self.order = top, deep, whose, active, order
+
+    def all(self) -> Ways:
+        return self
+
+    def add(self, total: np.ndarray, values: np.ndarray) -> None:
+        """Add the rows of deep nodes to those of their words."""
+        at = 0
+        for n in self.active:
+            total[:n] += values[at : at + n]
+            at += n
 
 
 def table_rows(vocabulary: int) -> int:
@@ -228,60 +272,99 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def contexts(inputs: np.ndarray) -> np.ndarray:
-    """The words around each word of one text, left to right; the word itself is masked."""
-    edge = np.full(SIDE, PAD, np.int32)
-    padded = np.concatenate((edge, inputs, edge))
-    return np.stack([padded[j : j + len(inputs)] for j in range(2 * SIDE + 1) if j != SIDE], axis=1)
-
-
-def blocks(batches: Iterator[pa.RecordBatch], to_input: Inputs) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """``ids, owner, tokens, contexts`` over many short texts, or a part of a long one, at a time."""
-    ids, tokens, around, size = [], [], [], 0
+class Block:
+    """Many short texts, or a part of a long one: its words are ``kinds[which]``, of the texts ``owner``, at the places ``at`` of a row of inputs."""
+
+    def __init__(self, ids: list, parts: list, to_input: Inputs) -> None:
+        sizes = np.array([len(part) for _, part, _ in parts])
+        self.ids, self.owner = ids, np.repeat(np.arange(len(parts)), sizes)
+        kinds, self.which = np.unique(np.concatenate([part for _, part, _ in parts]), return_inverse=True)
+        self.kinds = kinds.astype(np.int64)
+        # All parts in a row, each with room for its neighbours on both sides.
+        self.at = np.arange(len(self.which)) + SIDE * (2 * self.owner + 1)
+        self.row = np.full(len(self.which) + 2 * SIDE * len(parts), PAD, np.int32)
+        self.row[self.at] = to_input[kinds][self.which]
+        for start, (before, part, after) in zip((np.cumsum(sizes + 2 * SIDE) - sizes - SIDE).tolist(), parts):
+            if len(before) or len(after):
+                self.row[start - len(before) : start] = to_input[before]
+                self.row[start + len(part) : start + len(part) + len(after)] = to_input[after]
+
+    def batches(self, size: int) -> Iterator[tuple[slice, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """So many words at a time: which of the block, inputs and places, kinds."""
+        for start in range(0, len(self.which), size):
+            some = slice(start, start + size)
+            at = self.at[some]
+            low = at[0] - SIDE
+            yield some, (self.row[low : at[-1] + SIDE + 1], at - low), self.which[some]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[Block]:
+    to_input, ids, parts, size = Inputs(rows), [], [], 0
     for batch in batches:
         for name, packed in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist()):
             own = np.frombuffer(packed, TOKEN)
             for at in range(0, max(1, len(own)), BLOCK_WORDS):
-                low, high = max(0, at - SIDE), min(len(own), at + BLOCK_WORDS + SIDE)
-                part = own[at : at + BLOCK_WORDS]
+                end = min(len(own), at + BLOCK_WORDS)
                 ids.append((name, at == 0))
-                tokens.append(part)
-                around.append(contexts(to_input[own[low:high]])[at - low : at - low + len(part)])
-                size += len(part)
+                parts.append((own[max(0, at - SIDE) : at], own[at:end], own[end : end + SIDE]))
+                size += end - at
                 if size >= BLOCK_WORDS:
-                    yield ids, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), np.concatenate(tokens), np.concatenate(around)
-                    ids, tokens, around, size = [], [], [], 0
+                    yield Block(ids, parts, to_input)
+                    ids, parts, size = [], [], 0
     if ids:
-        yield ids, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), np.concatenate(tokens), np.concatenate(around)
+        yield Block(ids, parts, to_input)
+
+
+def in_a_row(around: np.ndarray | tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs in a row and the places of the words in it. The words around each word may be given instead: each has a stretch of its own then."""
+    if isinstance(around, tuple):
+        return around
+    row = np.full((len(around), 2 * SIDE + 1), PAD, np.int32)
+    row[:, SIDE + NEAR] = around
+    return row.reshape(-1), np.arange(len(around)) * (2 * SIDE + 1) + SIDE
 
 
-def hidden(p: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The embeddings around each word, and the hidden layer."""
-    inputs = np.take(p["e"], around, axis=0).reshape(len(around), -1)
+def hidden(p: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings around each word, left to right, and the hidden layer; the word itself is masked."""
+    inputs = np.take(np.take(p["e"], row, axis=0), at[:, None] + NEAR, axis=0).reshape(len(at), -1)
     h = inputs @ p["w"]
     h += p["b"]
     return inputs, np.tanh(h, out=h)
 
 
-def node_values(p: dict[str, np.ndarray], h: np.ndarray, paths: Paths) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """How strongly each node of the ways speaks for the side that is taken: top nodes, deep nodes, the word of each deep node, and its weights."""
-    slots, base, sign = paths.top
-    top = (np.take_along_axis(h @ p["u"][:TOP_NODES].T, slots, axis=1) + base) * sign
-    slots, base, sign = paths.deep
-    own, weights = np.repeat(np.arange(len(h)), paths.counts), np.take(p["u"], slots, axis=0)
-    return top, (np.einsum("ij,ij->i", np.take(h, own, axis=0), weights) + base) * sign, own, weights
+def node_values(p: dict[str, np.ndarray], h: np.ndarray, ways: Ways) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """How strongly each node of the ways speaks for the side that is taken: top nodes and deep nodes; places of the top ones, weights and words of the deep ones."""
+    places = np.arange(0, len(h) << DENSE, 1 << DENSE)[:, None] + ways.top["slot"]
+    top = np.take(h @ p["u"][: 1 << DENSE].T, places)
+    top += ways.top["base"]
+    top *= ways.top["sign"]
+    weights, own = np.take(p["u"], ways.deep["slot"], axis=0), np.take(h, ways.whose, axis=0)
+    deep = (own * weights) @ np.ones(HIDDEN, h.dtype)
+    deep += ways.deep["base"]
+    deep *= ways.deep["sign"]
+    return top, deep, (places, weights, own)
 
 
 def surprise(x: np.ndarray) -> np.ndarray:
     """Minus the logarithm of the logistic function."""
-    return np.log1p(np.exp(np.minimum(-x, STEEP))) + np.maximum(-x - STEEP, 0)
+    found = np.log(1 + np.exp(np.minimum(-x, STEEP)))
+    return found if x.min(initial=0) > -STEEP else found + np.maximum(-x - STEEP, 0)
 
 
-def log_chance(p: dict[str, np.ndarray], around: np.ndarray, paths: Paths) -> np.ndarray:
+def log_chance(p: dict[str, np.ndarray], around: np.ndarray | tuple, paths: Paths | Ways) -> np.ndarray:
     """The logarithm of the probability of each word: of the sides taken at all nodes on its way."""
-    top, deep, own, _ = node_values(p, hidden(p, around)[1], paths)
-    there = np.abs(paths.top[2])
-    return -(surprise(top) * there).sum(1) - np.bincount(own, surprise(deep), len(around))
+    (row, at), ways = in_a_row(around), paths.all()
+    top, deep, _ = node_values(p, hidden(p, row, at[ways.order])[1], ways)
+    total = (surprise(top) * np.abs(ways.top["sign"])).sum(1, dtype=np.float64)
+    ways.add(total, surprise(deep))
+    found = np.empty(len(total))
+    found[ways.order] = -total
+    return found
+
+
+def _rows(table: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Each row of numbers as one value, which numpy sets faster."""
+    return table.view(kind)[:, 0]
 
 
 class Learner:
@@ -290,44 +373,63 @@ class Learner:
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
         self.square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-
-    def step(self, around: np.ndarray, paths: Paths) -> None:
-        p, scale = self.p, np.float32(1 / len(around))
-        inputs, h = hidden(p, around)
-        top, deep, own, weights = node_values(p, h, paths)
-        slots, _, sign = paths.top
-        wrong_top = np.zeros((len(h), TOP_NODES), np.float32)
-        # A node occurs once on a way; levels that a short way does not have are slot 0 with sign 0, and come last.
-        for level in reversed(range(TOP)):
-            wrong_top[np.arange(len(h)), slots[:, level]] = -sign[:, level] / (1 + np.exp(np.minimum(top[:, level], STEEP))) * scale
-        wrong = -paths.deep[2] / (1 + np.exp(np.minimum(deep, STEEP))) * scale
-        back = wrong_top @ p["u"][:TOP_NODES]
-        some = np.flatnonzero(paths.counts)
-        if len(some):
-            back[some] += np.add.reduceat(wrong[:, None] * weights, paths.starts[some], axis=0)
-        self._move("u", slice(0, TOP_NODES), wrong_top.T @ h)
-        self._move_rows("u", paths.deep[0], wrong[:, None] * np.take(h, own, axis=0))
+        self.place = np.zeros(max(len(v) for v in p.values()), np.int64)
+        self.row = np.dtype((np.void, EMBEDDING * p["e"].itemsize))
+
+    def step(self, around: np.ndarray | tuple, paths: Paths | Ways) -> None:
+        row, at = in_a_row(around)
+        p, size, ways = self.p, len(at), paths.all()
+        at, scale = at[ways.order], np.float32(1 / size)
+        inputs, h = hidden(p, row, at)
+        top, deep, (places, weights, own) = node_values(p, h, ways)
+        # By word and node. Levels that a short way does not have are one more node, with sign 0.
+        wrong = np.zeros((size, 1 << DENSE), h.dtype)
+        wrong.reshape(-1)[places] = -ways.top["sign"] / (1 + np.exp(np.minimum(top, STEEP))) * scale
+        back = wrong @ p["u"][: 1 << DENSE]
+        self._move("u", slice(0, DENSE_NODES), (wrong.T @ h)[:DENSE_NODES])
+        wrong = -ways.deep["sign"] / (1 + np.exp(np.minimum(deep, STEEP))) * scale
+        wrong = np.repeat(wrong, HIDDEN).reshape(-1, HIDDEN)
+        weights *= wrong
+        ways.add(back, weights)
+        own *= wrong
+        self._move_rows("u", np.ascontiguousarray(ways.deep["slot"]), own)
         back *= 1 - h * h
-        to_inputs = (back @ p["w"].T).reshape(-1, EMBEDDING)
+        # What comes back to each place of the row, from the words around it.
+        placed = np.zeros((len(row) + 2 * SIDE, HIDDEN), h.dtype)
+        _rows(placed, self.row)[at + SIDE] = _rows(back, self.row)
+        near = np.concatenate([placed[SIDE - j : len(placed) - SIDE - j] for j in NEAR], axis=1)
+        to_inputs = near @ p["w"].reshape(len(NEAR), EMBEDDING, HIDDEN).swapaxes(1, 2).reshape(-1, EMBEDDING)
         self._move("w", slice(None), inputs.T @ back)
-        self._move("b", slice(None), back.sum(0))
-        self._move_rows("e", around.reshape(-1), to_inputs)
+        self._move("b", slice(None), np.ones(size, h.dtype) @ back)
+        self._move_rows("e", row, to_inputs)
 
     def _move_rows(self, name: str, rows: np.ndarray, gradients: np.ndarray) -> None:
-        """Only the rows that occur move: their gradients are added up in order of their number."""
+        """Only the rows that occur move: their gradients are added up, two numbers at a time as a complex one."""
         if not len(rows):
             return
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
-        self._move(name, ordered[first], np.add.reduceat(np.take(gradients, order, axis=0), first, axis=0))
+        each = np.arange(len(rows))
+        self.place[rows] = each
+        some = np.take(rows, np.flatnonzero(np.take(self.place, rows) == each))
+        self.place[some] = each[: len(some)]
+        where, total = np.take(self.place, rows), np.zeros((len(some), gradients.shape[1]), gradients.dtype)
+        pair = np.result_type(gradients, np.complex64)
+        for column, values in zip(total.view(pair).T, gradients.view(pair).T):
+            np.add.at(column, where, values)
+        self._move(name, some, total)
 
     def _move(self, name: str, rows, gradient: np.ndarray) -> None:
-        square = self.square[name][rows] + gradient * gradient
-        self.square[name][rows] = square
+        values, squares = self.p[name], self.square[name]
+        if isinstance(rows, slice):
+            square, value = squares[rows], values[rows]
+            square += gradient * gradient
+            value -= gradient * np.float32(RATE) / np.sqrt(square)
+            return
+        square = np.take(squares, rows, axis=0)
+        square += gradient * gradient
+        _rows(squares, self.row)[rows] = _rows(square, self.row)
         gradient *= np.float32(RATE)
         gradient /= np.sqrt(square, out=square)
-        self.p[name][rows] -= gradient
+        _rows(values, self.row)[rows] = _rows(np.take(values, rows, axis=0) - gradient, self.row)
 
 
 def _train(start: np.ndarray, tree: Tree):
@@ -336,12 +438,11 @@ def _train(start: np.ndarray, tree: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, words = Learner(unflat(start)), 0
         rows = len(learner.p["u"])
-        for _, _, tokens, around in blocks(batches, Inputs(rows)):
-            kinds, which = np.unique(tokens, return_inverse=True)
-            paths = tree.paths(kinds.astype(np.int64), rows)
-            for at in range(0, len(tokens), BATCH):
-                learner.step(around[at : at + BATCH], paths.of(which[at : at + BATCH]))
-            words += len(tokens)
+        for block in blocks(batches, rows):
+            paths = tree.paths(block.kinds, rows)
+            for _, around, which in block.batches(BATCH):
+                learner.step(around, paths.of(which))
+            words += len(block.which)
         columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([words], pa.int64()), pa.array([flat(learner.p).tobytes()], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["task", "words", "weights"])
 
@@ -391,15 +492,14 @@ def _score(model: dict[str, np.ndarray]):
 
         # A text that is split over blocks is given out once its last part has been added.
         open_name, open_total, open_n, live = None, 0.0, 0, False
-        for ids, owner, tokens, around in blocks(batches, Inputs(rows)):
-            kinds, which = np.unique(tokens, return_inverse=True)
-            paths, value = model["tree"].paths(kinds.astype(np.int64), rows), np.zeros(len(tokens))
-            for at in range(0, len(tokens), CACHED_ROWS):
-                value[at : at + CACHED_ROWS] = log_chance(p, around[at : at + CACHED_ROWS], paths.of(which[at : at + CACHED_ROWS]))
-            total = np.bincount(owner, value, len(ids))
-            size = np.bincount(owner, minlength=len(ids))
+        for block in blocks(batches, rows):
+            paths, value = model["tree"].paths(block.kinds, rows), np.zeros(len(block.which))
+            for some, around, which in block.batches(CACHED_ROWS):
+                value[some] = log_chance(p, around, paths.of(which))
+            total = np.bincount(block.owner, value, len(block.ids))
+            size = np.bincount(block.owner, minlength=len(block.ids))
             names, totals, sizes = [], [], []
-            for (name, first), t, n in zip(ids, total.tolist(), size.tolist()):
+            for (name, first), t, n in zip(block.ids, total.tolist(), size.tolist()):
                 if first:
                     if live:
                         names.append(open_name)

@@ -273,6 +273,46 @@ def test_gradient_of_the_tree():
             assert found[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, rel=2e-2, abs=1e-6)
 
 
+def test_nodes_are_cut_once_for_all_words_below_them(monkeypatch):
+    tree, _ = some_tree(3000, 6)
+    hashed = []
+    monkeypatch.setattr(pseudo_likelihood, "mix", lambda x: hashed.append(len(x)) or mix(x))
+    tree.paths(np.arange(3000), pseudo_likelihood.table_rows(3000))
+    assert 0 < sum(hashed) < 3000  # the tree has 2,999 nodes
+
+
+def test_repeated_rows_move_once_by_all_their_gradients():
+    p = pseudo_likelihood.initial()
+    learner, rng = pseudo_likelihood.Learner(p), np.random.default_rng(8)
+    want, square = p["e"].astype(float), np.full(p["e"].shape, 1e-4)
+    for size in (1, 700, 5000):
+        rows, gradients = rng.integers(0, 300, size), rng.normal(0, 1, (size, pseudo_likelihood.EMBEDDING)).astype(np.float32)
+        total = np.zeros(want.shape)
+        np.add.at(total, rows, gradients)
+        square += total**2
+        want -= pseudo_likelihood.RATE * total / np.sqrt(square)
+        learner._move_rows("e", rows, gradients)
+        assert np.allclose(learner.p["e"], want, atol=1e-4)
+
+
+def test_parts_of_long_texts_see_each_others_words(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 9000, n).astype(pseudo_likelihood.TOKEN) for n in (0, 1, 3, 64, 65, 300, 0, 2)]
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], names=["id", "tokens"])
+    to_input, found = pseudo_likelihood.Inputs(4096), []
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK_WORDS", 64)
+    for block in pseudo_likelihood.blocks(iter([given]), 4096):
+        for some, (row, at), which in block.batches(10):
+            found += zip([block.ids[i][0] for i in block.owner[some]], block.kinds[which].tolist(), row[at[:, None] + pseudo_likelihood.NEAR].tolist())
+    want = []
+    for name, t in enumerate(texts):
+        inputs = [0, 0, *to_input[t].tolist(), 0, 0]
+        want += [(name, word, [inputs[i], inputs[i + 1], inputs[i + 3], inputs[i + 4]]) for i, word in enumerate(t.tolist())]
+    assert found == want
+
+
 def test_scores_add_up_over_all_words(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["a b c d", "e f g h"]) for _ in range(rng.randrange(0, 60)))) for i in range(150)] + [(500, "a b c d " * 40_000), (None, "a b"), (501, None)]
